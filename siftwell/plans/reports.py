@@ -5,6 +5,8 @@ Money is summed as decimals: the result then does not depend on how rows are spl
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,15 +83,16 @@ def by_source(ledger: DataFrame) -> DataFrame:
 
 
 def run_cost(usage: DataFrame) -> DataFrame:
-    """Priced cost from token counts and scraped postings, to six digits."""
-    million = F.lit(1_000_000)
-    model = F.round(
-        F.col("cache_hit_tokens") / million * PRICE_CACHE_HIT
-        + F.col("cache_miss_tokens") / million * PRICE_CACHE_MISS
-        + F.col("completion_tokens") / million * PRICE_COMPLETION, 6)
-    scrape = F.round(F.col("scraped_jobs_count") * PRICE_PER_POSTING, 6)
-    return usage.withColumns({"model_cost_usd": model, "scrape_cost_usd": scrape}).withColumn(
-        "total_cost_usd", F.round(F.col("model_cost_usd") + F.col("scrape_cost_usd"), 6))
+    """Priced cost from token counts and scraped postings, to six digits (exact decimals, ties up)."""
+    price = lambda c, p: F.col(c).cast("bigint") * F.lit(Decimal(str(p)))
+    model = (price("cache_hit_tokens", PRICE_CACHE_HIT) + price("cache_miss_tokens", PRICE_CACHE_MISS)
+             + price("completion_tokens", PRICE_COMPLETION)) * F.lit(Decimal("0.000001"))
+    scrape = price("scraped_jobs_count", PRICE_PER_POSTING)
+    return usage.withColumns({
+        "model_cost_usd": F.round(model, 6).cast("double"),
+        "scrape_cost_usd": F.round(scrape, 6).cast("double"),
+        "total_cost_usd": F.round(F.round(model, 6) + F.round(scrape, 6), 6).cast("double"),
+    })
 
 
 def cache_hit_rate(usage: DataFrame, keys: list[str]) -> DataFrame:

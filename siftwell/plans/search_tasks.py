@@ -24,14 +24,14 @@ def geo_id(place: Column) -> Column:
 
 def _places(target_locations, platform: str) -> Column:
     """Places as array of (name, geo_id): the user's comma list, else the default cities."""
-    place = lambda name, number: F.struct(F.lit(name).alias("name"), F.lit(number).alias("geo_id"))
+    place = lambda name, number: F.named_struct(F.lit("name"), name, F.lit("geo_id"), number)
     if platform in SINGLE_LOCATION_PLATFORMS:
-        return F.array(place("India", GEO_IDS["india"]))
+        return F.array(place(F.lit("India"), F.lit(GEO_IDS["india"])))
     own = F.filter(
         F.transform(F.split(F.coalesce(target_locations, F.lit("")), ","), lambda p: F.lower(trim_ws(p))),
         lambda p: p != "")
-    own = F.transform(own, lambda p: F.struct(p.alias("name"), geo_id(p).alias("geo_id")))
-    default = F.array(*[place(n, g) for n, g in DEFAULT_LOCATIONS])
+    own = F.transform(own, lambda p: place(p, geo_id(p)))
+    default = F.array(*[place(F.lit(n), F.lit(g)) for n, g in DEFAULT_LOCATIONS])
     return F.when(F.size(own) > 0, own).otherwise(default)
 
 

@@ -220,7 +220,7 @@ SCORE_SQL = """CASE category WHEN 'strong_match' THEN 10 WHEN 'minor_gaps' THEN
 SELECT k AS p_partkey, category, {SCORE_SQL} AS score, reason,
   CASE WHEN category IN ('strong_match', 'minor_gaps') THEN 'matched' ELSE 'rejected' END AS status,
   array_to_string(omreq, '|') AS missing_required, array_to_string(ompref, '|') AS missing_preferred,
-  array_to_string(list_concat(greq, gpref), '|') AS matched_skills FROM e""")
+  array_to_string(list_concat(greq, list_filter(gpref, lambda x: NOT list_contains(greq, x))), '|') AS matched_skills FROM e""")
 def fit_evaluate(spark, sf):
     out = evaluate_fit(_facts(spark, sf))
     return out.select(

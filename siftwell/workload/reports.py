@@ -136,9 +136,9 @@ USAGE_SQL = """usage AS (
 
 
 @query(I.with_(USAGE_SQL) + """
-SELECT event_id, model_cost_usd, scrape_cost_usd, round(model_cost_usd + scrape_cost_usd, 6) AS total_cost_usd FROM (
-  SELECT event_id, round(hit / 1000000 * 0.014::DOUBLE + miss / 1000000 * 0.14::DOUBLE + done / 1000000 * 0.28::DOUBLE, 6) AS model_cost_usd,
-    round(k * 0.001::DOUBLE, 6) AS scrape_cost_usd FROM usage)""")
+SELECT event_id, CAST(m AS DOUBLE) AS model_cost_usd, CAST(s AS DOUBLE) AS scrape_cost_usd, CAST(m + s AS DOUBLE) AS total_cost_usd FROM (
+  SELECT event_id, round(CAST(hit * 0.014 + miss * 0.14 + done * 0.28 AS DECIMAL(20,3)) * CAST(0.000001 AS DECIMAL(7,6)), 6) AS m,
+    round(CAST(k * 0.001 AS DECIMAL(20,3)), 6) AS s FROM usage)""")
 def token_cost(spark, sf):
     return reports.run_cost(_usage(spark, sf)).select(
         "event_id", "model_cost_usd", "scrape_cost_usd", "total_cost_usd")

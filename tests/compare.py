@@ -57,9 +57,11 @@ def difference(got, want) -> str | None:
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
         return f"{len(got[1])} rows != {len(want[1])}"
-    for g, w in zip(got[1], want[1]):
-        if g != w:
-            return f"\n   got {g}\n  want {w}"
+    extra = [g for g in map(repr, got[1]) if g not in set(map(repr, want[1]))] if got[1] != want[1] else []
+    if extra:
+        wanted = set(map(repr, got[1]))
+        missing = [w for w in map(repr, want[1]) if w not in wanted]
+        return f"{len(extra)} rows differ\n   got {extra[0]}\n  want {missing[0]}"
     return None
 
 
@@ -81,7 +83,7 @@ if __name__ == "__main__":
             sql = entry.oracle_sql().get(name)
             diff = difference(got, sql_rows(con, sql)) if sql else "no sql"
         except Exception as error:  # report and go on
-            diff, took, got = f"{type(error).__name__}: {str(error)[:1500]}", time.time() - start, ([], [])
+            diff, took, got = f"{type(error).__name__}: {str(error)[:700]}", time.time() - start, ([], [])
         bad += diff is not None
         print(f"{'ok ' if diff is None else 'BAD'} {name} {len(got[1])} rows {took:.1f}s {diff or ''}", flush=True)
     print("bad:", bad, "of", len(names))
