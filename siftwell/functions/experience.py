@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import SPACE, WORD_END, WORD_START, col, number_text
 
-# One mention: optional "up to", a number, optional "+" or range end, then year(s).
-# The "up to" part is case-sensitive; the rest is not.
+# One mention: optional "up to", a number, optional "+" or range end, then year(s), also written
+# year's. The "up to" part is case-sensitive, "year" is not. Every alternative begins with a test of
+# one character, so that the scan over a long text stays cheap.
+_NOT_IN_WORD = "(?<![0-9A-Za-z_].)"  # the character just read does not continue a word
 MENTION = (
-    f"(?i)((?-i:{WORD_START}up{SPACE}+to{SPACE}*)?)([0-9]+)"
-    f"(?:{SPACE}*\\+|{SPACE}*[–\\-]{SPACE}*([0-9]+))?{SPACE}*years?{WORD_END}"
+    f"(?=[u0-9])((?:u{_NOT_IN_WORD}p{SPACE}+to{SPACE}*)?)([0-9]+)"
+    f"(?:{SPACE}*\\+|{SPACE}*[–\\-]{SPACE}*([0-9]+))?{SPACE}*[yY](?i:ear(?:'?s)?){WORD_END}"
 )
 POSSESSIVE = f"(?i){WORD_START}year'?s{WORD_END}"
-FRESHER = f"(?i){WORD_START}(?:freshers?|fresh[ -]?graduat(?:es?|ion)){WORD_END}"
+BARE = f"(?i)^.*years?{WORD_END}"
+FRESHER = f"[fF]{_NOT_IN_WORD}(?i:reshers?|resh[ -]?graduat(?:es?|ion)){WORD_END}"
 UP_TO_REACH = 15  # characters before the number in which "up to" is looked for
 
 
@@ -25,8 +28,11 @@ def extract_yoe(c) -> Column:
     "+" mentions bound from below only, "up to" from above only; a range end of 0 is ignored. text
     is the last mention, except that an "up to" one is taken only when it raises max.
     """
-    text = F.regexp_replace(F.coalesce(col(c), F.lit("")), POSSESSIVE, "year")
-    found = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(MENTION), F.lit(0))
+
+    def shown(text: Column) -> Column:
+        """years and year's read as year."""
+        return F.regexp_extract(F.regexp_replace(text, POSSESSIVE, "year"), BARE, 0)
 
     def parse(mention: Column) -> Column:
         group = lambda i: F.regexp_extract(mention, MENTION, i)
@@ -37,7 +43,7 @@ def extract_yoe(c) -> Column:
             upper.alias("upper"),
             F.when(~upper, F.least(first, second)).alias("lo"),
             F.when(upper, first).when(second.isNotNull(), F.greatest(first, second)).alias("hi"),
-            F.substring(mention, F.length(prefix) + 1, F.length(mention)).alias("text"),
+            shown(F.substring(mention, F.length(prefix) + 1, F.length(mention))).alias("text"),
         )
 
     def fold(acc: Column, m: Column) -> Column:

@@ -9,7 +9,7 @@ from siftwell.constants import (
     CATEGORY_SCORES, MATCHED_CATEGORIES, MINOR_COVERAGE, PREFERRED_BONUS_COVERAGE, STRONG_COVERAGE,
 )
 from siftwell.functions.experience import candidate_years, yoe_label
-from siftwell.functions.text import col, collapse_ws, number_text, trim_ws
+from siftwell.functions.text import col, collapse_ws, let, number_text, trim_ws
 
 NO_SKILLS_DOMAIN_MATCH = (
     "No explicit skills listed; domain matches but skill extraction unavailable — not sent."
@@ -29,7 +29,8 @@ def normalize_skill(c: Column) -> Column:
 def skills_missing(target, matched) -> Column:
     """Target skills not among the matched ones; order and repeats of the target stay."""
     have = F.transform(strings(matched), normalize_skill)
-    return F.filter(strings(target), lambda t: ~F.array_contains(have, normalize_skill(t)))
+    return let(have, lambda h: F.filter(
+        strings(target), lambda t: ~F.array_contains(h, normalize_skill(t))))
 
 
 def ordered_union(a, b) -> Column:

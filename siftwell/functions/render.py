@@ -10,7 +10,7 @@ from siftwell.functions.experience import yoe_short_label
 from siftwell.functions.fit import ordered_union, strings
 from siftwell.functions.links import source_label
 from siftwell.functions.text import (
-    col, first_truthy, html_escape, number_text, trim_ws, truthy, url_component,
+    col, first_truthy, html_escape, let, number_text, trim_ws, truthy, url_component,
 )
 
 ALERTS = {tier: alerts for tier, _, _, alerts in TIERS}
@@ -39,8 +39,8 @@ def fill_template(template, values: dict[str, Column]) -> Column:
     lookup = F.create_map(*pairs)
     texts = F.split(template, r"\{[0-9A-Za-z_]+\}", -1)
     names = F.regexp_extract_all(template, F.lit(r"\{([0-9A-Za-z_]+)\}"), F.lit(1))
-    filled = F.transform(names, lambda n: F.coalesce(
-        F.try_element_at(lookup, n), F.concat(F.lit("{"), n, F.lit("}"))))
+    filled = let(lookup, lambda values: F.transform(names, lambda n: F.coalesce(
+        F.try_element_at(values, n), F.concat(F.lit("{"), n, F.lit("}")))))
     pieces = F.zip_with(texts, filled, lambda t, v: F.concat(t, F.coalesce(v, F.lit(""))))
     return F.array_join(pieces, "")
 

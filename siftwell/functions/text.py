@@ -11,8 +11,11 @@ SPACE_CHARS = (
     "\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-SPACE = "[" + SPACE_CHARS.replace("\t", "\\t").replace("\n", "\\n").replace("\x0b", "\\x0B").replace(
-    "\f", "\\f").replace("\r", "\\r") + "]"
+# The same set as a regex class. The range test in front of the rare characters keeps the check of
+# an ordinary character short, which matters on long texts.
+SPACE = (
+    r"[\t-\r \u00a0[\u1680-\ufeff&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]]"
+)
 WORD_START = "(?<![0-9A-Za-z_])"
 WORD_END = "(?![0-9A-Za-z_])"
 
@@ -21,6 +24,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    An expression used inside the lambda of filter() or transform() is computed again for every
+    element; binding it to a lambda variable first avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c) -> Column:
     return F.btrim(col(c), F.lit(SPACE_CHARS))
 
@@ -47,7 +59,9 @@ def normalize_text(c) -> Column:
 def fingerprint(title, company, description) -> Column:
     """Content key of a posting: sha-256 over the three normalised texts."""
     parts = [normalize_text(c) for c in (title, company, description)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    # coalesce tells the optimizer the key is never null; a join on it then needs no second hash of
+    # the text for a null check
+    return F.coalesce(F.sha2(F.concat_ws("|", *parts), 256), F.lit(""))
 
 
 # (pattern, replacement) in the order they apply. "&amp;" is decoded before "&lt;" on purpose.

@@ -11,7 +11,7 @@ from siftwell.constants import (
 )
 from siftwell.functions.experience import extract_yoe, fresher_friendly, yoe_reject_reason
 from siftwell.functions.fit import strings
-from siftwell.functions.text import col, contains_any, first_contained, number_text, trim_ws, truthy
+from siftwell.functions.text import col, contains_any, first_contained, let, number_text, trim_ws, truthy
 
 
 def company_blocked(company, blocklist=BLOCKED_COMPANIES) -> Column:
@@ -45,7 +45,7 @@ def keyword_hits(title, seniority, excludes) -> Column:
     text = F.concat(F.lower(F.coalesce(col(title), F.lit(""))), F.lit(" "),
                     F.lower(F.coalesce(col(seniority), F.lit(""))))
     words = F.transform(strings(excludes), lambda k: trim_ws(F.lower(k)))
-    return F.filter(words, lambda k: (k != "") & F.contains(text, k))
+    return let(text, lambda t: F.filter(words, lambda k: (k != "") & F.contains(t, k)))
 
 
 def seniority_keyword(title, candidate) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.constants import PREFERRED_SKILL_GROUPS, SKILL_GROUPS, SKILL_LINEAGE
 from siftwell.functions.fit import normalize_skill, strings
-from siftwell.functions.text import SPACE, col
+from siftwell.functions.text import SPACE, col, let
 
 
 def implied_skills(groups=SKILL_GROUPS, lineage=SKILL_LINEAGE, extra_groups=None) -> dict[str, list[str]]:
@@ -37,7 +37,8 @@ def expand_skills(known, implied: dict[str, list[str]]) -> Column:
 
 def matched_skills(wanted, expanded) -> Column:
     """Wanted skills the candidate has, in the posting's spelling and order."""
-    return F.filter(strings(wanted), lambda s: F.array_contains(col(expanded), normalize_skill(s)))
+    return let(col(expanded), lambda e: F.filter(
+        strings(wanted), lambda s: F.array_contains(e, normalize_skill(s))))
 
 
 def match_skills(df: DataFrame, known="known_skills", required="required_skills",
@@ -62,10 +63,14 @@ def known_skill_names() -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def mentioned_skills(text, dictionary: list[str] | None = None) -> Column:
-    """Dictionary skills that occur in the text as whole words, in dictionary order."""
+def mention_skills(df: DataFrame, text: str, name: str, dictionary: list[str] | None = None) -> DataFrame:
+    """Add the dictionary skills that occur in the text as whole words, in dictionary order.
+
+    The cleaned text is its own column, so it is made once and not once per dictionary word.
+    """
     words = dictionary or known_skill_names()
-    plain = F.concat(F.lit(" "), F.regexp_replace(
-        F.lower(F.coalesce(col(text), F.lit(""))), f"(?:{SPACE}|[,;:()!?]|\\.(?=$|{SPACE}))+", " "), F.lit(" "))
-    hits = [F.when(F.contains(plain, F.lit(f" {w} ")), F.lit(w)) for w in words]
-    return F.array_compact(F.array(*hits))
+    between = f"(?:{SPACE}|[,;:()!?]|[.](?=$|{SPACE}))+"
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), between, " "),
+                     F.lit(" "))
+    hits = F.array(*[F.when(F.contains("_plain", F.lit(f" {w} ")), F.lit(w)) for w in words])
+    return df.withColumn("_plain", plain).withColumn(name, F.array_compact(hits)).drop("_plain")

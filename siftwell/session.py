@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # plans here are built from many small column calls; recording each call site slows that down
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.constants import BLOCKED_TITLE_WORDS, BLOCKED_URL_WORDS
 from siftwell.functions.fit import strings
-from siftwell.functions.text import col, collapse_ws, contains_any, first_truthy, strip_html, trim_ws, truthy
+from siftwell.functions.text import col, collapse_ws, contains_any, first_truthy, let, strip_html, trim_ws, truthy
 from siftwell.schemas import EMBEDDED_PAGE
 
 
@@ -145,10 +145,12 @@ def list_items(pages: DataFrame, keep=("page_id",)) -> DataFrame:
 def last_wins_map(entries: Column) -> Column:
     """Map from (key, value) entries; of repeated keys the last one counts."""
     entries = F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != ""))
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: ~F.array_contains(
-        F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]))
-    return F.map_from_entries(last)
+
+    def keep_last(all_entries: Column) -> Column:
+        later = lambda i: F.slice(all_entries, i + 2, F.size(all_entries) + 1)
+        return F.filter(all_entries, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"]))
+
+    return F.map_from_entries(let(entries, keep_last))
 
 
 def criteria_map(html, item: str, label: str, value: str, strip_colon: bool = False) -> Column:

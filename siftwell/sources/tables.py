@@ -11,6 +11,17 @@ def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def widen(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A few large unsplittable files (one row group, gzip, multi-line JSON) would otherwise bind all
+    text work to a few tasks. A scan with enough splits is left alone, so big tables never pay for
+    this. Only for plain scans: it looks at the number of splits.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(2 * cores, key)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, lower=None, upper=None,
               partitions: int = 1, **options) -> DataFrame:
     """A table of a relational database, read in ``partitions`` ranges of ``column`` in parallel."""

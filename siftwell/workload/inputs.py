@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.sources.tables import load_table, widen
+
 NOW = "2024-02-01 00:00:00"
 RETENTION_NOW = "2001-08-01 00:00:00"
 BLOCKLIST = ["es corp"]
@@ -18,8 +20,12 @@ def now(text: str = NOW):
     return F.lit(text).cast("timestamp")
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    scan = load_table(spark, sf, name)
+    return widen(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
 
 
 # --- postings: documents with a role title, an experience sentence and a date --------------

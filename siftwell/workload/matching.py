@@ -9,7 +9,7 @@ from siftwell.operators.rules import (
     company_block as block_companies, fresh, keyword_filter as exclude_keywords,
     seniority_filter as exclude_seniority, yoe_filter as exclude_yoe,
 )
-from siftwell.operators.skills import matched_skills, match_skills, implied_skills, mentioned_skills
+from siftwell.operators.skills import match_skills, implied_skills, mention_skills
 from siftwell.plans.cascade import audit_rows, classify, funnel, stage_postings
 from siftwell.plans.digest import digest_cards, rank_digest
 from siftwell.workload import query
@@ -279,8 +279,8 @@ SELECT doc_id, array_to_string(list_filter([{', '.join(repr(w) for w in MENTION_
   lambda w: contains(p, ' ' || w || ' ')), '|') AS skills FROM t""")
 def skill_mentions(spark, sf):
     """Dictionary terms found as whole words in the text."""
-    return I.table(spark, sf, "documents").select(
-        "doc_id", F.array_join(mentioned_skills("text", MENTION_WORDS), "|").alias("skills"))
+    out = mention_skills(I.table(spark, sf, "documents"), "text", "found", MENTION_WORDS)
+    return out.select("doc_id", F.array_join("found", "|").alias("skills"))
 
 
 # --- digest, posts, queue ---------------------------------------------------------------------------------
