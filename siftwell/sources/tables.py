@@ -35,7 +35,7 @@ def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = Non
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(key, text) of whole text objects; the key is the path below the folder."""
     root = path.rstrip("/") + "/"
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     full = F.col("_metadata.file_path")
     at = F.instr(full, root)
     return files.select(
