@@ -34,14 +34,17 @@ def call_model(
     is booked on the first row of a call, so plain sums give the totals.
 
     Rows are spread by (group, hash of order), so one group's rows reach many tasks; within a task
-    they are sorted by group, which keeps the constant part of prompts together.
+    they are sorted by group, which keeps the constant part of prompts together. The number of
+    tasks is fixed (by default four per core): a number left to Spark would be lowered for small
+    inputs, and calls in flight with it.
     """
     usage_types = ["bigint"] * 4 + ["double"]
     schema = T.StructType(df.schema.fields + [T.StructField("model_json", T.StringType())] + [
         T.StructField(n, T.LongType() if t == "bigint" else T.DoubleType())
         for n, t in zip(USAGE, usage_types)])
     spread = [F.col(group), F.pmod(F.xxhash64(order), F.lit(1024))]
-    parts = df.repartition(parallelism, *spread) if parallelism else df.repartition(*spread)
+    tasks = parallelism or 4 * df.sparkSession.sparkContext.defaultParallelism
+    parts = df.repartition(tasks, *spread)
 
     def ask(ctx: dict, items: list[dict]) -> tuple[dict, dict]:
         answer = fn(ctx, items)

@@ -75,11 +75,25 @@ def description_objects(matched: DataFrame) -> DataFrame:
         "user_id", "ledger_id", description_key().alias("key"), F.col("description_text").alias("text"))
 
 
+TEXT_BUCKETS = 256
+
+
+def write_texts(objects: DataFrame, path: str, row_id: str) -> None:
+    """Append text objects in a fixed number of folders by user hash.
+
+    One folder per user would mean as many small files as users times tasks. A user's rows may go
+    to several tasks, so an owner of very many texts does not end up in one.
+    """
+    spread = objects.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(TEXT_BUCKETS)).cast("int"))
+    spread = spread.repartition("bucket", F.pmod(F.xxhash64(row_id), F.lit(16)))
+    spread.write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def store_descriptions(matched: DataFrame, path: str) -> DataFrame:
     """Write the descriptions apart from the ledger (long text stays out of the hot table) and
     return the (id, key) mapping to apply to it."""
     objects = description_objects(matched)
-    objects.write.mode("append").partitionBy("user_id").parquet(path)
+    write_texts(objects, path, "ledger_id")
     return objects.select(F.col("ledger_id").alias("id"), F.col("key").alias("new_value"))
 
 
@@ -116,9 +130,9 @@ def export_pending(rows: DataFrame, done: DataFrame, path: str, id_col: str = "i
     """Write what is not exported yet and return the new (id, key) entries. Running it again with
     the grown ``done`` table writes nothing twice."""
     todo = export_status(rows, done, id_col, text, user).filter(F.col("export_status") == "upload")
-    out = todo.select(F.col(id_col), F.col(user), description_key(user, id_col).alias("key"),
+    out = todo.select(F.col(id_col), F.col(user).alias("user_id"), description_key(user, id_col).alias("key"),
                       F.col(text).alias("text"))
-    out.write.mode("append").partitionBy(user).parquet(path)
+    write_texts(out, path, id_col)
     return out.select(id_col, "key")
 
 

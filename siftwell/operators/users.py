@@ -129,6 +129,8 @@ def resolve_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     ident = trim_ws("identifier")
     is_id = ident.rlike(UUID) & ~F.contains(ident, F.lit("@"))
     mails = users.select(F.col("id").alias("_found"), F.lower("email").alias("_mail"))
-    wanted = requests.withColumn("_mail", F.when(~is_id, F.lower(ident)))
+    # requests that need no lookup get a key of their own; nulls would all meet in one task
+    wanted = requests.withColumn("_mail", F.when(is_id, F.concat(F.lit("id:"), ident)).otherwise(
+        F.coalesce(F.lower(ident), F.lit(""))))
     return wanted.join(mails, "_mail", "left").withColumn(
         "user_id", F.when(is_id, ident).otherwise(F.col("_found"))).drop("_mail", "_found")

@@ -68,7 +68,10 @@ def write_fan_out(postings: DataFrame, members: DataFrame, path: str, salts: int
     ``postings`` has task_key and a ``job`` struct, ``members`` has task_key and user_id. A popular
     task's subscribers are spread over ``salts`` tasks; only its postings (one scrape) are repeated.
     """
-    fan_out(postings, members, salts).write.mode("append").partitionBy("user_id", "platform").json(path)
+    copies = fan_out(postings, members, salts)
+    # at most four tasks write into a user's folder, so files stay few and a large user is still split
+    copies = copies.repartition("user_id", "platform", F.pmod(F.xxhash64(*copies.columns), F.lit(4)))
+    copies.write.mode("append").partitionBy("user_id", "platform").json(path)
 
 
 def fan_out(postings: DataFrame, members: DataFrame, salts: int = 16) -> DataFrame:

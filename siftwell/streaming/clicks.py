@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.constants import CLICK_KEYS
 from siftwell.functions.text import truthy
 from siftwell.operators.clicks import click_key, trackable
+from siftwell.operators.keyed import attach
 
 # Local days start at 18:30 UTC of the day before.
 LOCAL_DAY_START = "18 hours 30 minutes"
@@ -22,7 +23,7 @@ def running_clicks(clicks: DataFrame, ledger: DataFrame | None = None) -> DataFr
     user = truthy("userId")
     if ledger is not None:
         owners = ledger.select(F.col("id").alias("jobId"), F.col("user_id").alias("_owner"))
-        rows = rows.join(owners, "jobId", "left")
+        rows = attach(rows, owners, "jobId", spread=rows.columns, how="left")
         user = F.coalesce(user, F.col("_owner"))
     return rows.withColumn("user_id", user).filter(F.col("user_id").isNotNull()).groupBy(
         "user_id", "key").agg(F.count(F.lit(1)).alias("clicks"))

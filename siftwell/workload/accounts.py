@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.render import account_status as status_text, resume_markdown as to_markdown, run_summary
 from siftwell.operators import users as U
+from siftwell.operators.normalize import candidate_context
 from siftwell.operators.validation import (
     SEARCH_DEFAULTS, search_rules, subscription_rules, validate, with_defaults, with_errors,
 )
@@ -46,6 +47,18 @@ def users_after_downgrade(spark, sf):
     return after.select("id", "tier", F.date_format("subscription_expires_at", "yyyy-MM-dd").alias("expires"))
 
 
+@query(I.with_(I.USERS_SQL, SUBSCRIBERS_SQL) + " SELECT id, chat_id, subscription_amount FROM hit")
+def expired_users(spark, sf):
+    return U.expired(_subscribers(spark, sf), I.now()).select("id", "chat_id", "subscription_amount")
+
+
+@query(I.with_(I.USERS_SQL) + """
+SELECT id AS user_id, CAST(ceil(experience_years) AS BIGINT) AS years, c_mktsegment AS primary_domain,
+  'Python, AWS' AS skills_text FROM users JOIN customer USING (c_custkey)""")
+def candidate_contexts(spark, sf):
+    return candidate_context(I.users(spark, sf)).select("user_id", "years", "primary_domain", "skills_text")
+
+
 @query(I.with_(I.USERS_SQL) + " SELECT id, email, is_active, chat_id, tier FROM users WHERE is_active AND tier = 'premium'")
 def active_premium_users(spark, sf):
     return U.active_users(I.users(spark, sf), "premium", ["id", "email", "is_active", "chat_id", "tier"])

@@ -53,13 +53,17 @@ def yoe_sentence_sql(n: str) -> str:
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return postings_from(table(spark, sf, "documents"))
+
+
+def postings_from(documents: DataFrame) -> DataFrame:
     n = F.col("n_chars")
     first_line = F.get(F.split("text", "\n"), F.lit(0))
     role = (F.when(n % 7 == 0, "Senior Manager").when(n % 7 == 1, "Junior Developer")
             .when(n % 7 == 2, "Tech Lead").when(n % 7 == 3, "Intern Analyst").otherwise("Engineer"))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 40).cast("int")), "yyyy-MM-dd")
     none = F.lit(None).cast("string")
-    return table(spark, sf, "documents").select(
+    return documents.select(
         (n % 100).cast("string").alias("user_id"), F.col("doc_id").alias("ord"),
         F.concat(F.lit("https://Jobs.example.com/view/"), F.col("doc_id").cast("string"), F.lit("?ref=x")).alias("link"),
         F.concat(role, F.lit(" "), first_line).alias("title"),

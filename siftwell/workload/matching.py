@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.fit import evaluate_fit
 from siftwell.functions.render import fill_template, post_text
-from siftwell.operators.queue import build_post_messages, release_slots
+from siftwell.operators.queue import build_post_messages, post_status, read_messages, release_slots
 from siftwell.operators.rules import (
     company_block as block_companies, fresh, keyword_filter as exclude_keywords,
     seniority_filter as exclude_seniority, yoe_filter as exclude_yoe,
@@ -386,6 +386,23 @@ def post_messages(spark, sf):
     return build_post_messages(matched, users)
 
 
+@query("""
+SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'unknown_user' WHEN c_custkey % 2 = 1 THEN 'no_credentials' ELSE 'ready' END AS status,
+  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ': ' || event_type END AS post
+FROM events LEFT JOIN customer ON c_custkey = user_id * 17""")
+def post_statuses(spark, sf):
+    """Queue messages read back, checked against their owners, and turned into post texts."""
+    job = F.struct(F.col("event_type").alias("title"))
+    body = F.struct(F.lit("linkedin").alias("platform"), (F.col("user_id") * 17).cast("string").alias("userId"), job.alias("job"))
+    messages = read_messages(I.table(spark, sf, "events").select("event_id", F.to_json(body).alias("message")))
+    token = F.when(F.col("c_custkey") % 2 == 0, F.lit("t"))
+    owners = I.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.lit("1").alias("phone"),
+        F.struct(token.alias("accessToken"), F.lit("p").alias("personUrn")).alias("credentials"),
+        F.concat("c_mktsegment", F.lit(": {title}")).alias("post_template"))
+    return post_status(messages, owners, spread=["event_id"]).select("event_id", "status", "post")
+
+
 @query("""
 SELECT event_id, user_id, strftime(TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 30 MINUTE * (n - 1), '%Y-%m-%d %H:%M:%S') AS release_at
 FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from siftwell.functions.experience import extract_yoe, fresher_friendly, yoe_label, yoe_short_label
-from siftwell.functions.fit import strings
 from siftwell.functions.links import lookback_code, normalize_link, region_of, source_label
 from siftwell.functions.text import fingerprint
 from siftwell.operators.dedup import (
@@ -13,9 +12,11 @@ from siftwell.operators.ledger import (
     attach_ids, cascade_delete, description_objects, export_status, id_map, insert_if_absent, ledger_id,
     migrate, purge, apply_mapping as set_from_mapping,
 )
-from siftwell.operators.normalize import normalize_jobs, to_ledger_rows
+from siftwell.operators.normalize import extraction_payload, normalize_jobs
 from siftwell.operators.rules import valid_posting
 from siftwell.schemas import RAW_POSTING
+from siftwell.session import materialize
+from siftwell.sources.tables import attach_texts
 from siftwell.workload import query
 from siftwell.workload import inputs as I
 
@@ -62,6 +63,11 @@ def normalize_postings(spark, sf):
                       F.length("description_text").cast("bigint").alias("n_text"))
 
 
+@query(I.with_(I.POSTINGS_SQL) + f" SELECT ord, user_id FROM postings WHERE {VALID}")
+def valid_postings(spark, sf):
+    return valid_posting(I.postings(spark, sf)).select("ord", "user_id")
+
+
 @query(I.with_(I.POSTINGS_SQL, KEYED_SQL) + " SELECT user_id, fingerprint, ord, job_link AS link FROM uniq")
 def batch_dedup_first_wins(spark, sf):
     return unique_in_batch(I.postings(spark, sf)).select("user_id", "fingerprint", "ord", "link")
@@ -149,7 +155,7 @@ SELECT o.ord, o.user_id, coalesce(a.id, b.id) AS ledger_id FROM offers o
 LEFT JOIN ids a ON a.user_id = o.user_id AND a.job_link = o.job_link
 LEFT JOIN ids b ON b.user_id = o.user_id AND b.fingerprint = o.fingerprint""")
 def ledger_id_map(spark, sf):
-    offers, stored = _offers(spark, sf), _stored(spark, sf)
+    offers, stored = materialize(_offers(spark, sf), "offers"), materialize(_stored(spark, sf), "stored")
     ids = id_map(offers, insert_if_absent(offers, stored), stored)
     return attach_ids(offers, ids).select("ord", "user_id", "ledger_id")
 
@@ -241,6 +247,35 @@ def migrate_ids(spark, sf):
         ("add", "billed", "double", 0.0), ("add", "domain", "string", None)])
 
 
+@query(I.with_(I.POSTINGS_SQL) + """
+SELECT ord, title, description_text AS text, source AS company FROM postings""")
+def extraction_payloads(spark, sf):
+    """What a model sees of a posting, read back from its JSON."""
+    rows = extraction_payload(I.postings(spark, sf).withColumn("extracted_yoe_text", F.lit(None).cast("string")))
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return rows.select("ord", field("title").alias("title"), field("descriptionText").alias("text"),
+                       F.col("source").alias("company"))
+
+
+@query(I.with_(I.POSTINGS_SQL) + """
+SELECT p.ord, CASE WHEN l.quality = 1 THEN description_text END AS description_text,
+  CASE WHEN l.quality IS NOT NULL THEN 'Resume of ' || p.user_id END AS resume_text
+FROM postings p LEFT JOIN labels l ON l.doc_id = p.ord""")
+def tailoring_inputs(spark, sf):
+    """Description and resume texts looked up by their object keys; missing objects give null."""
+    rows = I.postings(spark, sf)
+    labels = I.table(spark, sf, "labels").withColumnRenamed("doc_id", "ord")
+    key = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("ord").cast("string"), F.lit(".txt"))
+    marked = rows.join(labels, "ord", "left")
+    descriptions = marked.filter(F.col("quality") == 1).select(
+        key("job-descriptions").alias("key"), F.col("description_text").alias("text"))
+    resumes = labels.join(rows.select("ord", "user_id"), "ord").select(
+        key("user-resumes").alias("key"), F.concat(F.lit("Resume of "), "user_id").alias("text"))
+    keyed = rows.select("ord", key("job-descriptions").alias("description_key"), key("user-resumes").alias("resume_key"))
+    out = attach_texts(keyed, descriptions, "description_key", "description_text")
+    return attach_texts(out, resumes, "resume_key", "resume_text").select("ord", "description_text", "resume_text")
+
+
 # --- text ---------------------------------------------------------------------------------------------
 
 YOE_PATTERN = r"(?i)((?-i:\bup\s+to\s*)?)(\d+)(?:\s*\+|\s*[–\-]\s*(\d+))?\s*years?\b"

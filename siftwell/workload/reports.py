@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from siftwell.operators.clicks import click_counters as pivot_clicks, click_counts
+from siftwell.constants import CLICK_KEYS
+from siftwell.operators.clicks import (
+    add_clicks_to_users, click_counters as pivot_clicks, click_counts, trackable,
+)
 from siftwell.plans import dashboard, reports
 from siftwell.sources.logs import log_body, log_digest
 from siftwell.workload import query
@@ -86,6 +89,28 @@ def click_counters(spark, sf):
     return pivot_clicks(click_counts(I.clicks(spark, sf), I.scored(spark, sf)))
 
 
+@query(I.with_(I.CLICKS_SQL) + """
+SELECT count(*) AS kept FROM events WHERE event_id % 2 = 0 OR event_type <> 'error'""")
+def trackable_clicks(spark, sf):
+    """Clicks that name a source, a type and a posting or user; posting-only errors lose their type."""
+    rows = I.clicks(spark, sf).withColumn("type", F.when(
+        (F.col("source") != "mail") | F.col("userId").isNotNull(), F.col("type")))
+    return trackable(rows).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(I.with_(I.USERS_SQL, I.CLICKS_SQL, CLICK_SUM_SQL) + """
+SELECT id, CAST(count(*) FILTER (WHERE key = 'telegram_apply') AS INTEGER) AS telegram_apply_clicks,
+  CAST(count(*) FILTER (WHERE key = 'telegram_resume') + 1 AS INTEGER) AS telegram_resume_clicks,
+  CAST(count(*) FILTER (WHERE key = 'dashboard_apply') AS INTEGER) AS dashboard_apply_clicks,
+  CAST(count(*) FILTER (WHERE key = 'dashboard_resume') AS INTEGER) AS dashboard_resume_clicks
+FROM users LEFT JOIN owned ON owned.user_id = id GROUP BY id""")
+def users_with_clicks(spark, sf):
+    """Lifetime counters after adding the counted clicks."""
+    base = I.users(spark, sf).select("id").withColumns({
+        f"{k}_clicks": F.lit(1 if k == "telegram_resume" else 0) for k in CLICK_KEYS})
+    return add_clicks_to_users(base, pivot_clicks(click_counts(I.clicks(spark, sf), I.scored(spark, sf))))
+
+
 @query(I.with_(I.SCORED_SQL) + """
 SELECT user_id, id, ai_score, position, total, CAST(ceil(total / 3.0) AS BIGINT) AS total_pages, c_name AS user_name FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ai_score DESC NULLS FIRST, created_at, id) AS position,

@@ -4,13 +4,19 @@ from pyspark.sql import functions as F
 
 from siftwell.session import scratch_path
 from siftwell.streaming.clicks import daily_activity, running_clicks
-from siftwell.streaming.seen import first_seen
+from siftwell.streaming.ingest import start_ingest, stored_ledger
+from siftwell.streaming.seen import drop_late, first_seen
 from siftwell.streaming.throttle import throttle
 from siftwell.workload import query
 from siftwell.workload import inputs as I
+from siftwell.workload.matching import CASCADE_SQL
 from siftwell.workload.reports import CENTS
 
 
+def title_model(context: dict, items: list[dict]) -> dict:
+    return {"results": [{"id": i["id"], "required_skills": i["title"].split()[:2]} for i in items]}
+
+
 def stream_table(spark, sf, name):
     schema = I.table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -63,6 +69,28 @@ def stream_daily(spark, sf):
     return run_complete(daily_activity(rows, ["event_type"]), "daily")
 
 
+@query(f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
+WHERE o_orderkey % 9 = 0 OR o_orderdate >= TIMESTAMP '{I.RETENTION_NOW}' - INTERVAL 14 DAY""")
+def stream_fresh(spark, sf):
+    """Late postings leave the stream; undated ones stay."""
+    k = F.col("o_orderkey")
+    rows = stream_table(spark, sf, "orders").select(
+        k.cast("string").alias("id"), F.when(k % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("posted_at"))
+    return run_to_files(drop_late(rows, I.now(I.RETENTION_NOW)).select("id"), "fresh")
+
+
+@query(CASCADE_SQL.replace("WHERE quality = 1", "WHERE quality = 7").replace("es corp", "scoutit") + """
+SELECT user_id, fp AS fingerprint, 'https://www.linkedin.com/jobs/view/' || ord AS job_link FROM staged WHERE stage = 'evaluate'""")
+def stream_cascade(spark, sf):
+    """The whole service on a stream: postings through rules and model into an empty ledger."""
+    root = scratch_path(spark, "service")
+    postings = I.postings_from(stream_table(spark, sf, "documents"))
+    start_ingest(postings, lambda: I.users(spark, sf), f"{root}/ledger", f"{root}/runs", f"{root}/state",
+                 title_model, now=I.now).awaitTermination()
+    return stored_ledger(spark, f"{root}/ledger").select("user_id", "fingerprint", "job_link")
+
+
 @query("""
 WITH q AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
   CAST(ceil((epoch_us(ts) // 1000) / 1800000.0) AS BIGINT) AS slot FROM events)
