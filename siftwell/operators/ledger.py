@@ -33,10 +33,11 @@ def insert_if_absent(new: DataFrame, ledger: DataFrame, order: str = "ord") -> D
     """
     rows = last_per_link(new, order)
     rows = rows.join(ledger.select("user_id", "job_link"), ["user_id", "job_link"], "left_anti")
-    rows = rows.join(
-        ledger.select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti")
-    rows = rows.withColumn("_key", F.coalesce(
-        F.concat(F.lit("f:"), "fingerprint"), F.concat(F.lit("l:"), "job_link")))
+    # a row without fingerprint is its own key; existing keys and first-wins then share an exchange
+    content = F.concat(F.lit("f:"), "fingerprint")
+    rows = rows.withColumn("_key", F.coalesce(content, F.concat(F.lit("l:"), "job_link")))
+    known = ledger.select("user_id", content.alias("_key"))
+    rows = rows.join(known, ["user_id", "_key"], "left_anti")
     rows = first_per_key(rows, ["user_id", "_key"], [order]).drop("_key")
     return rows.withColumn("id", ledger_id())
 

@@ -45,7 +45,9 @@ def run_batch(postings: DataFrame, users: DataFrame, ledger: DataFrame, fn: Mode
     })
     inserted = materialize(insert_if_absent(rows, ledger), "inserted")
     ids = id_map(rows, inserted, ledger)
-    with_ids = attach_ids(evaluated.withColumn("job_link", F.col("link")), ids)
+    # ids are looked up on the keys alone; the wide rows then move once
+    keys = evaluated.select("user_id", "fingerprint", F.col("link").alias("job_link"))
+    with_ids = evaluated.join(attach_ids(keys, ids), ["user_id", "fingerprint"], "left")
 
     counts = funnel(staged)
     runs = audit_rows(counts, outcome(evaluated), now)
