@@ -21,8 +21,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return top_per_key(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str) -> DataFrame:
-    """The first ``n`` rows of each key with their rank; ``n`` is the size of a report page."""
+GROUP_LIMIT = 1000  # up to this rank the planner cuts groups below the exchange
+
+
+def top_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str, bucket: Sequence = ()
+) -> DataFrame:
+    """The first ``n`` rows of each key with their rank; ``n`` is the size of a report page.
+
+    Beyond the planner's group limit (a very deep page) rows are ranked in buckets instead.
+    """
+    if n > GROUP_LIMIT and bucket:
+        return rank_per_key(df, keys, order, bucket, rank).filter(F.col(rank) <= n)
     window = Window.partitionBy(*keys).orderBy(*_columns(order))
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 

@@ -96,7 +96,7 @@ def test_pages_of_postings(spark):
         mine.sort(key=lambda r: (r[2] is not None, -(r[2] or 0), r[3], r[0]))
         return [r[0] for r in mine[(page - 1) * limit:page * limit]], len(mine)
 
-    for page, limit, score in ((1, 5, 6), (2, 4, 6), (1, 7, 0), (99, 5, 6)):
+    for page, limit, score in ((1, 5, 6), (2, 4, 6), (1, 7, 0), (99, 5, 6), (300, 5, 6), (1, 1001, 0)):
         all_rows = dashboard.all_pages(df, everyone, page, limit, score=score).collect()
         for uid in ("u", "v"):
             ids, total = want(uid, page, limit, score)
