@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwell.constants import INDIAN_PLACES, NAMED_LOOKBACKS
-from siftwell.functions.text import col, trim_ws
+from siftwell.functions.text import col, let, trim_ws, truthy
 
 CANONICAL_VIEW = "https://www.linkedin.com/jobs/view/"
 # scheme, optional user info, host, optional port, path
@@ -22,24 +22,28 @@ def normalize_link(c) -> Column:
     """
     link = trim_ws(c)
     part = lambda i: F.regexp_extract(link, URL, i)
-    scheme, host, port = F.lower(part(1)), F.lower(part(2)), part(3)
-    path = F.when(part(4) == "", F.lit("/")).otherwise(part(4))
-    default_port = F.lit(False)
-    for name, number in DEFAULT_PORTS.items():
-        default_port = default_port | ((scheme == name) & (port == number))
-    shown_port = F.when((port == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    origin = F.concat(scheme, F.lit("://"), host, shown_port)
-
-    view_id = F.regexp_extract(path, r"/view/([0-9]+)", 1)
+    path = part(4)
     query = F.regexp_extract(link, r"^[^?#]*\?([^#]*)", 1)
-    param = F.regexp_extract(query, r"(?:^|&)currentJobId=([^&]*)", 1)
-    param = F.coalesce(F.try_url_decode(param), param)
-    posting_id = F.coalesce(F.nullif(view_id, F.lit("")), F.nullif(param, F.lit("")))
-    return (
-        F.when(~link.rlike(URL), col(c))
-        .when(posting_id.isNotNull(), F.concat(F.lit(CANONICAL_VIEW), posting_id))
-        .otherwise(F.concat(origin, path))
-    )
+    url = F.struct(
+        F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), part(3).alias("port"),
+        F.when(path == "", "/").otherwise(path).alias("path"), query.alias("query"))
+
+    def canonical(u: Column) -> Column:
+        param = F.regexp_extract(u["query"], r"(?:^|&)currentJobId=([^&]*)", 1)
+        posting_id = F.coalesce(
+            truthy(F.regexp_extract(u["path"], r"/view/([0-9]+)", 1)),
+            truthy(F.coalesce(F.try_url_decode(param), param)))
+        default_port = F.lit(False)
+        for name, number in DEFAULT_PORTS.items():
+            default_port = default_port | ((u["scheme"] == name) & (u["port"] == number))
+        port = F.when((u["port"] == "") | default_port, "").otherwise(F.concat(F.lit(":"), u["port"]))
+        return (
+            F.when(u["host"] == "", col(c))  # not a URL
+            .when(posting_id.isNotNull(), F.concat(F.lit(CANONICAL_VIEW), posting_id))
+            .otherwise(F.concat(u["scheme"], F.lit("://"), u["host"], port, u["path"]))
+        )
+
+    return let(url, canonical)
 
 
 def source_label(source, link) -> Column:

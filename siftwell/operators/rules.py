@@ -29,9 +29,26 @@ def posting_complete(link="link", title="title", company="company_name", descrip
     return present & (F.length(trim_ws(F.coalesce(col(description), F.lit("")))) >= min_chars)
 
 
+# Written dates besides ISO forms, each with the shape it is tried on.
+WRITTEN_DATES = [
+    ("^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$", "MMM d, yyyy"),
+    ("^[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}$", "MMMM d, yyyy"),
+    ("^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$", "d MMM yyyy"),
+    ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+]
+
+
 def posted_time(posted_at) -> Column:
-    """The posting time, or null when missing or not a date ("2 days ago")."""
-    return F.try_to_timestamp(col(posted_at))
+    """The posting time, or null when missing or not a date ("2 days ago").
+
+    A format is only tried on texts of its shape: failing parses are slow.
+    """
+    text = trim_ws(posted_at)
+    out = F.when(text.rlike("^[0-9]{4}"), F.try_to_timestamp(text))
+    for shape, pattern in WRITTEN_DATES:
+        parsed = F.try_to_timestamp(text, F.lit(pattern))
+        out = out.when(text.rlike(shape) & parsed.isNotNull(), parsed)
+    return out
 
 
 def outdated(posted_at, now: Column, days: int = FRESHNESS_DAYS) -> Column:

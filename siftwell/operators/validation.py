@@ -224,6 +224,27 @@ SEARCH_DEFAULTS = {
 }
 
 
+def sanitize_search(df: DataFrame, platform: str) -> DataFrame:
+    """A valid request as the search uses it: trimmed, defaulted, with lower-case choices."""
+    spec = {"keyword": Default("text"), "location": Default("text"), "limit": Default("int", 25),
+            "page": Default("int", 1 if platform == "simplyhired" else 0)}
+    if platform == "linkedin":
+        spec |= {f: Default("flag") for f in ("easyApply", "has_verification", "under_10_applicants")}
+    out = with_defaults(df, spec)
+    lower = lambda c: F.lower(_text(c))
+    if platform == "naukri":
+        by_date = lower("sort").isin("date", "f")
+        out = out.withColumns({
+            "sort": F.when(_given("sort"), F.when(by_date, "date").otherwise("relevance")),
+            "wfhType": F.transform(F.split(lower("wfhType"), ","), trim_ws),
+            "jobAge": truthy(_text("jobAge")).try_cast("int"),
+        })
+    elif platform in ("indeed", "simplyhired"):
+        items = F.filter(F.transform(F.split(lower("jobType"), ","), trim_ws), lambda i: i != "")
+        out = out.withColumns({"sort": truthy(lower("sort")), "jobType": F.when(_given("jobType"), items)})
+    return out
+
+
 # --- account requests ------------------------------------------------------------------
 
 def run_request_rules() -> list[Column]:

@@ -12,6 +12,7 @@ from siftwell.operators.ledger import attach_ids, description_objects, id_map, i
 from siftwell.operators.normalize import to_ledger_rows
 from siftwell.plans.cascade import (
     CARRY, audit_rows, classify, evaluate, funnel, outcome, stage_postings, survivors,
+    with_silent_users,
 )
 from siftwell.session import materialize
 
@@ -28,9 +29,13 @@ class BatchResult:
 
 
 def run_batch(postings: DataFrame, users: DataFrame, ledger: DataFrame, fn: ModelFn, now: Column,
-              batch_size: int = 5, parallelism: int | None = None) -> BatchResult:
+              batch_size: int = 5, parallelism: int | None = None, present: DataFrame | None = None
+              ) -> BatchResult:
     """Run the cascade over landed postings.
 
+    ``present`` (see ``users_with_files``) names the users that had files; those without a readable
+    posting then get their audit row as well.
+
     Two results are written once to the shared folder because several consumers need them and they
     must not be computed twice: the staged postings, and the model's answers (a model may answer
     differently when asked again).
@@ -50,6 +55,9 @@ def run_batch(postings: DataFrame, users: DataFrame, ledger: DataFrame, fn: Mode
     with_ids = evaluated.join(attach_ids(keys, ids), ["user_id", "fingerprint"], "left")
 
     counts = funnel(staged)
+    if present is not None:
+        active = users.filter(F.col("is_active")).select(F.col("id").alias("user_id"))
+        counts = with_silent_users(counts, present.join(active, "user_id", "left_semi"))
     runs = audit_rows(counts, outcome(evaluated), now)
     matched = with_ids.filter(F.col("status") == "matched")
     descriptions = description_objects(matched)

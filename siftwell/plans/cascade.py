@@ -110,6 +110,12 @@ def funnel(staged: DataFrame) -> DataFrame:
     )
 
 
+def with_silent_users(counts: DataFrame, present: DataFrame) -> DataFrame:
+    """Add zero counts for users whose files held no readable posting; they get an audit row too."""
+    joined = present.select("user_id").distinct().join(counts, "user_id", "left")
+    return joined.fillna(0, subset=[c for c in counts.columns if c != "user_id"])
+
+
 def exit_stage() -> Column:
     """The stage a user's run ended at, from the funnel columns."""
     c = F.col

@@ -96,11 +96,15 @@ def pages_to_items(pages: DataFrame, site: str = "linkedin", keep=("page_id",))
         }
     elif site == "naukri":
         href = attribute_of_class(c, "title", "href")
+        # the company is the first link of the details block, or the one marked as company name
+        wrapped = F.regexp_extract(c, r'(?is)class="(?:[^"]*\s)?comp-dtls-wrap(?:\s[^"]*)?"[^>]*>.*?(<a\b[^>]*>.*?</a>)', 1)
+        wrapped_title = attribute_of_tag(F.regexp_extract(wrapped, "(?s)^<a[^>]*>", 0), "a", "title")
         company_tag_title = attribute_of_class(c, "comp-name", "title")
         fields = {
             "id": F.lit(""),
             "position": text_of_class(c, "title", "row1"),
-            "company": first_truthy(company_tag_title, text_of_class(c, "comp-name")),
+            "company": first_truthy(
+                wrapped_title, inner_text(wrapped), company_tag_title, text_of_class(c, "comp-name")),
             "location": text_of_class(c, "locWdth"),
             "date": F.lit(""),
             "salary": first_truthy(text_of_class(c, "sal-wrap", "sal"), default="Not specified"),

@@ -133,7 +133,9 @@ def test_postings_cross_one_exchange_and_no_python(spark, landed):
 def test_batch_run(spark, landed):
     path, users = landed
     postings = read_raw_batches(spark, str(path / "raw-jobs"))
-    result = run_batch(postings, users, known_ledger(spark, postings), model, F.lit(NOW), parallelism=2)
+    users = users.unionByName(spark.createDataFrame([user("broken"), user("bare", active=False)], schemas.USERS))
+    result = run_batch(postings, users, known_ledger(spark, postings), model, F.lit(NOW), parallelism=2,
+                       present=users_with_files(spark, str(path / "raw-jobs")))
     rows = {(r.user_id, r.title): r for r in result.evaluated.collect()}
     assert {k: r.status for k, r in rows.items()} == {("good", "Engineer"): "matched", ("good", "Other"): "rejected"}
     assert all(r.ledger_id for r in rows.values())
@@ -142,7 +144,8 @@ def test_batch_run(spark, landed):
     assert inserted["Engineer"].location == "Pune" and inserted["Engineer"].job_link.endswith("/view/1")
     runs = {r.user_id: r for r in result.runs.collect()}
     assert (runs["good"].matched_jobs_count, runs["good"].rejected_jobs_count, runs["good"].actual_cost_usd) == (1, 1, 1.0)
-    assert runs["good"].input_tokens == 20 and "idle" not in runs
+    assert runs["good"].input_tokens == 20 and not {"idle", "bare"} & set(runs)
+    assert (runs["broken"].scraped_jobs_count, runs["broken"].exit_stage) == (0, "blocked_companies")
     assert [r.key for r in result.descriptions.collect()] == [f"job-descriptions/good/{rows['good', 'Engineer'].ledger_id}.txt"]
     heads = {r.user_id: r for r in digest_headers(result.runs, users).collect()}
     assert "Final Matches Found:</b> <b>1</b>" in heads["good"].header and "01 Feb 2024, 05:30 am IST" in heads["good"].header

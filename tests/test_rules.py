@@ -28,8 +28,10 @@ def test_complete(values):
 
 def test_outdated(values):
     now = F.lit(datetime(2024, 2, 1))
-    rows = ["2024-01-18", "2024-01-17T23:59:59Z", "2 days ago", None, "", "2025-01-01"]
-    assert values(lambda: rules.outdated("p", now), rows, "p string") == [False, True, False, False, False, False]
+    rows = ["2024-01-18", "2024-01-17T23:59:59Z", "2 days ago", None, "", "2025-01-01", "Jan 5, 2024", "January 25, 2024",
+            "5 Jan 2024", "1/5/2024", "Foo 5, 2024", "10:00"]
+    assert values(lambda: rules.outdated("p", now), rows, "p string") == [
+        False, True, False, False, False, False, True, False, True, True, False, False]
 
 
 def test_keyword_hits_keep_order_and_trim(one):
@@ -150,6 +152,16 @@ def test_other_platforms(spark, platform, row, error):
     assert (error in got) if error else got == ""
 
 
+def test_sanitized_requests(spark):
+    df = spark.createDataFrame([(" dev ", None, "0", None, "F", "Remote, 2", "7")],
+                               "keyword string, location string, limit string, page string, sort string, wfhType string, jobAge string")
+    r = V.sanitize_search(df, "naukri").head()
+    assert (r.keyword, r.limit, r.page, r.sort, r.wfhType, r.jobAge) == ("dev", 25, 0, "date", ["remote", "2"], 7)
+    df = df.withColumn("jobType", F.lit("FullTime,,contract"))
+    r = V.sanitize_search(df, "simplyhired").head()
+    assert (r.page, r.sort, r.jobType) == (1, "f", ["fulltime", "contract"])
+
+
 def test_array_valued_request_fields(spark):
     df = spark.createDataFrame([(["remote", "Hybrid"],), (["moon"],), (None,)], "remoteFilter array<string>")
     rule = V.all_of_array("remoteFilter", K.REMOTE_VALUES, lambda v: F.concat(F.lit("bad "), v))

@@ -33,6 +33,9 @@ def test_naukri_cards(spark):
     card = '<div class="srp-jobtuple-wrapper"><a class="title" href="{h}">{t}</a><a class="comp-name" title="{c}">short</a>' \
            '<span class="locWdth">Pune</span><span class="sal">9 L</span><span class="job-post-day">Today</span></div>'
     html = card.format(h="/job-1", t="Dev", c="Acme Ltd") + card.format(h="https://n/2", t="", c="X")
+    wrapped = ('<div class="srp-jobtuple-wrapper"><a class="title" href="https://n/3">Ops</a><span class="x comp-dtls-wrap">'
+               '<a href="/c">Beta <i>Co</i></a></span></div>')
+    assert pages.pages_to_items(page(spark, wrapped), "naukri").head().company == "Beta Co"
     got = pages.pages_to_items(page(spark, html), "naukri").collect()
     assert [(r.position, r.company, r.jobUrl, r.salary, r.source) for r in got] == [
         ("Dev", "Acme Ltd", "https://www.naukri.com/job-1", "9 L", "naukri")]
