@@ -15,9 +15,19 @@ from siftwell.schemas import EMBEDDED_PAGE
 
 # --- markup helpers ------------------------------------------------------------------
 
+# Decoded once, "&amp;" last, as a browser does; strip_html keeps its own order for descriptions.
+TEXT_ENTITIES = [
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"),
+    ("&#x27;", "'"), ("&amp;", "&"),
+]
+
+
 def inner_text(html: Column) -> Column:
-    """Text of a fragment: tags dropped, entities decoded, trimmed."""
-    return strip_html(html)
+    """Text of a fragment: tags dropped without a break, entities decoded, trimmed."""
+    out = F.regexp_replace(html, "<[^>]+>", "")
+    for entity, char in TEXT_ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return trim_ws(out)
 
 
 def _tag_with_class(name: str) -> str:

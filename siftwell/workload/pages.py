@@ -21,12 +21,17 @@ def strip_html_pages(spark, sf):
     return I.table(spark, sf, "pages").select("page_id", strip_html("html").alias("text"))
 
 
+INNER = lambda e: (
+    f"replace(replace(replace(replace(replace(replace(regexp_replace({e}, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'),"
+    " '&gt;', '>'), '&quot;', '\"'), '&#039;', chr(39)), '&amp;', '&')")
+
+
 @query(f"""
 WITH li AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li\\b[^>]*>.*?</li>', 0)) AS card,
   generate_subscripts(regexp_extract_all(html, '(?is)<li\\b[^>]*>.*?</li>', 0), 1) - 1 AS pos FROM pages)
-SELECT page_id, pos, trim(regexp_replace({STRIP('card')}, '\\s+', ' ', 'g')) AS text,
+SELECT page_id, pos, trim(regexp_replace({INNER('card')}, '\\s+', ' ', 'g')) AS text,
   regexp_extract(card, '(?is)<a\\b[^>]*\\bhref="([^"]*)"', 1) AS href FROM li
-WHERE trim(regexp_replace({STRIP('card')}, '\\s+', ' ', 'g')) <> ''""")
+WHERE trim(regexp_replace({INNER('card')}, '\\s+', ' ', 'g')) <> ''""")
 def page_items(spark, sf):
     return list_items(I.table(spark, sf, "pages"))
 
