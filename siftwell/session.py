@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # user settings and similar attribute tables of this size are sent to all executors
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
     # plans here are built from many small column calls; recording each call site slows that down
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -38,13 +40,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only when the cluster names none (local tests) is a temporary folder made and recorded.
+    Only when the cluster names none (local tests) is a temporary folder made; the context keeps it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

@@ -62,7 +62,7 @@ def stream_raw_batches(spark: SparkSession, path: str, archive: str | None = Non
     return explode_envelopes(reader.json(path))
 
 
-def write_fan_out(postings: DataFrame, members: DataFrame, path: str, salts: int = 16) -> None:
+def write_fan_out(postings: DataFrame, members: DataFrame, path: str, salts: int = 64) -> None:
     """Deliver each task's postings to every subscriber of the task.
 
     ``postings`` has task_key and a ``job`` struct, ``members`` has task_key and user_id. A popular
@@ -74,7 +74,7 @@ def write_fan_out(postings: DataFrame, members: DataFrame, path: str, salts: int
     copies.write.mode("append").partitionBy("user_id", "platform").json(path)
 
 
-def fan_out(postings: DataFrame, members: DataFrame, salts: int = 16) -> DataFrame:
+def fan_out(postings: DataFrame, members: DataFrame, salts: int = 64) -> DataFrame:
     """(user_id, posting columns): one copy per subscriber. Tasks without postings or subscribers
     give nothing."""
     spread = members.select("task_key", "user_id").withColumn(

@@ -28,13 +28,14 @@ def company_block(spark, sf):
 
 @query(f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS posted FROM orders
-WHERE o_orderkey % 9 = 0 OR o_orderkey % 10 = 0 OR o_orderdate >= TIMESTAMP '{I.RETENTION_NOW}' - INTERVAL 14 DAY""")
+WHERE o_orderpriority IN ('5-LOW', '2-HIGH') OR o_orderdate >= TIMESTAMP '{I.RETENTION_NOW}' - INTERVAL 14 DAY""")
 def freshness(spark, sf):
     """Missing and unreadable dates pass."""
     k = F.col("o_orderkey")
     rows = I.table(spark, sf, "orders").select(
         k.cast("string").alias("id"), F.col("o_orderdate").alias("posted"),
-        F.when(k % 9 == 0, F.lit(None).cast("string")).when(k % 10 == 0, "2 days ago")
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("string"))
+        .when(F.col("o_orderpriority") == "2-HIGH", "2 days ago")
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("posted_at"))
     return fresh(rows, I.now(I.RETENTION_NOW)).select("id", "posted")
 

@@ -48,12 +48,12 @@ CARD = (
 SELECT page_id, 'u' || page_id AS id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS raw_title,
   split_part(url, '/', 3) AS company, 'X & Y' AS location, '2024-01-05' AS date, 'Not specified' AS salary,
   'https://x.org/view/' || page_id AS "jobUrl", '3 days ago' AS "agoTime" FROM pages
-WHERE page_id % 5 <> 0""")
+WHERE NOT contains(url, 'example.org')""")
 def result_cards(spark, sf):
-    """A result card built from each page's own title and host; every fifth has no company."""
+    """A result card built from each page's own title and host; cards of one domain lack the company."""
     p, k = I.table(spark, sf, "pages"), F.col("page_id").cast("string")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    company = F.when(F.col("page_id") % 5 != 0, F.split_part("url", F.lit("/"), F.lit(3))).otherwise("")
+    company = F.when(~F.contains("url", F.lit("example.org")), F.split_part("url", F.lit("/"), F.lit(3))).otherwise("")
     html = F.lit(CARD)
     for name, value in (("{k}", k), ("{t}", F.replace(title, F.lit("&"), F.lit("&amp;"))), ("{c}", company)):
         html = F.replace(html, F.lit(name), value)
@@ -82,18 +82,18 @@ def page_criteria(spark, sf):
 
 @query("""
 SELECT page_id, 0 AS pos, 'k' || page_id AS id, 'Boss' AS company, '5 LPA' AS salary, 'https://b/j?a=' || page_id AS "jobUrl",
-  'Work' AS description FROM pages WHERE page_id % 3 <> 0
+  'Work' AS description FROM pages WHERE NOT contains(url, 'example.net')
 UNION ALL
-SELECT page_id, 1, 'j' || page_id, split_part(url, '/', 3), 'Not specified', '', NULL FROM pages WHERE page_id % 3 <> 0""")
+SELECT page_id, 1, 'j' || page_id, split_part(url, '/', 3), 'Not specified', '', NULL FROM pages WHERE NOT contains(url, 'example.net')""")
 def embedded_page_json(spark, sf):
-    """Pages carrying their results as JSON; every third has broken JSON and gives nothing."""
+    """Pages carrying their results as JSON; those of one domain have broken JSON and give nothing."""
     p, k = I.table(spark, sf, "pages"), F.col("page_id").cast("string")
     text = F.concat(
         F.lit('{"props":{"pageProps":{"jobs":[{"jobKey":"k'), k,
         F.lit('","title":"T","company":"C","salaryInfo":{"raw":"5 LPA"},"encodedUrl":"/j%3Fa%3D'), k,
         F.lit('"},{"jobKey":"j'), k, F.lit('","title":"T","company":"'), F.split_part("url", F.lit("/"), F.lit(3)),
         F.lit('"}],"viewJobData":{"employerName":"Boss","jobDescriptionHtml":"<p>Work</p>"},"pageCursors":{"2":"x"}}}}'))
-    text = F.when(F.col("page_id") % 3 == 0, F.substring(text, 1, 90)).otherwise(text)
+    text = F.when(F.contains("url", F.lit("example.net")), F.substring(text, 1, 90)).otherwise(text)
     html = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), text, F.lit("</script>"))
     rows = pages_embedded_json(p.select("page_id", html.alias("html")), F.lit("https://b"))
     return rows.select("page_id", "pos", "id", "company", "salary", "jobUrl",

@@ -71,12 +71,12 @@ def stream_daily(spark, sf):
 
 @query(f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
-WHERE o_orderkey % 9 = 0 OR o_orderdate >= TIMESTAMP '{I.RETENTION_NOW}' - INTERVAL 14 DAY""")
+WHERE o_orderpriority = '5-LOW' OR o_orderdate >= TIMESTAMP '{I.RETENTION_NOW}' - INTERVAL 14 DAY""")
 def stream_fresh(spark, sf):
     """Late postings leave the stream; undated ones stay."""
-    k = F.col("o_orderkey")
+    dated = F.when(F.col("o_orderpriority") != "5-LOW", F.date_format("o_orderdate", "yyyy-MM-dd"))
     rows = stream_table(spark, sf, "orders").select(
-        k.cast("string").alias("id"), F.when(k % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("posted_at"))
+        F.col("o_orderkey").cast("string").alias("id"), dated.alias("posted_at"))
     return run_to_files(drop_late(rows, I.now(I.RETENTION_NOW)).select("id"), "fresh")
 
 
