@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from siftwell import constants as K
 from siftwell.functions.text import col, trim_ws, truthy
 
-Rule = Callable[[], Column]
 EMAIL = r"^[A-Za-z0-9_+&*\-]+(?:\.[A-Za-z0-9_+&*\-]+)*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?Z$"
 UUID = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"

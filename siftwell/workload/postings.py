@@ -287,9 +287,9 @@ MENTIONS_SQL = f"""mentions AS (
     SELECT k, regexp_extract_all(regexp_replace(txt, '(?i)\\byear''?s\\b', 'year', 'g'), '{YOE_PATTERN}', 0) AS ms
     FROM texts))),
 bounds AS (
-  SELECT k, i, prefix <> '' AS up, substr(m, length(prefix) + 1) AS txt,
-    CASE WHEN prefix = '' THEN least(a, coalesce(b, a)) END AS lo,
-    CASE WHEN prefix <> '' THEN a WHEN b IS NOT NULL THEN greatest(a, b) END AS hi
+  SELECT k, i, length(prefix) BETWEEN 1 AND 15 AS up, substr(m, length(prefix) + 1) AS txt,
+    CASE WHEN NOT up THEN least(a, coalesce(b, a)) END AS lo,
+    CASE WHEN up THEN a WHEN b IS NOT NULL THEN greatest(a, b) END AS hi
   FROM mentions),
 folded AS (
   SELECT *, max(hi) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before

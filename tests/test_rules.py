@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell import constants as K
 from siftwell.functions.fit import evaluate_fit, skills_missing
@@ -49,41 +50,31 @@ def test_seniority(values):
 
 # --- fit --------------------------------------------------------------------------------------------
 
-def expected_fit(f, years):
-    """Plain reading of the decision table."""
-    req, pref = f["required_skills"], f["preferred_skills"]
-    got, bonus = f["candidate_matched_required_skills"], f["candidate_matched_preferred_skills"]
-    if f["min_required_yoe"] is not None and years < f["min_required_yoe"]:
-        return "experience_mismatch"
-    if f["max_required_yoe"] is not None and years > f["max_required_yoe"]:
-        return "experience_mismatch"
-    if not req and not pref:
-        return "no_match"
-    if req:
-        cover = len(got) / len(req)
-        if cover >= 0.8:
-            return "strong_match"
-        if cover < 0.6:
-            return "skills_mismatch"
-        return "strong_match" if pref and len(bonus) / len(pref) >= 0.8 else "minor_gaps"
-    cover = len(bonus) / len(pref)
-    return "strong_match" if cover >= 0.8 else "minor_gaps" if cover >= 0.6 else "no_match"
+# (skills asked, skills had): band of the share
+SHARES = {(0, 0): "none", (5, 2): "low", (10, 5): "low", (5, 3): "middle", (10, 6): "middle", (10, 7): "middle",
+          (3, 2): "middle", (5, 4): "high", (10, 8): "high", (5, 5): "high", (2, 3): "high"}
+DECISION = {  # (required band, preferred band): category
+    ("none", "none"): "no_match", ("none", "low"): "no_match", ("none", "middle"): "minor_gaps", ("none", "high"): "strong_match",
+    ("low", "none"): "skills_mismatch", ("low", "low"): "skills_mismatch", ("low", "middle"): "skills_mismatch",
+    ("low", "high"): "skills_mismatch", ("middle", "none"): "minor_gaps", ("middle", "low"): "minor_gaps",
+    ("middle", "middle"): "minor_gaps", ("middle", "high"): "strong_match", ("high", "none"): "strong_match",
+    ("high", "low"): "strong_match", ("high", "middle"): "strong_match", ("high", "high"): "strong_match",
+}
+# stated range: does a candidate of 2.2 years (counted as 3) fit it
+RANGES = {(None, None): True, (3.0, None): True, (3.5, None): False, (4.0, 9.0): False, (None, 2.0): False, (None, 3.0): True}
 
 
 def test_fit_table_over_all_edges(spark):
     rows, want = [], []
     names = [f"s{i}" for i in range(10)]
-    shapes = [(0, 0), (5, 2), (5, 3), (5, 4), (5, 5), (10, 5), (10, 6), (10, 7), (10, 8), (3, 4)]
-    for (r, gr), (p, gp), (lo, hi), domain in itertools.product(
-            shapes, shapes, [(None, None), (3.0, None), (2.5, None), (None, 2.0), (None, 3.0)], [True, False]):
-        f = {
-            "job_domain": None, "min_required_yoe": lo, "max_required_yoe": hi, "required_skills": names[:r],
-            "preferred_skills": names[:p], "candidate_matched_required_skills": names[:gr],
-            "candidate_matched_preferred_skills": names[:gp], "domain_matches_candidate": domain,
-            "job_location": None, "direct_apply": None}
-        rows.append((len(rows), 2.2, f))
-        want.append(expected_fit(f, 3))
-    from pyspark.sql import types as T
+    for (req, pref), (bounds, fits), domain in itertools.product(
+            itertools.product(SHARES, SHARES), RANGES.items(), [True, False]):
+        rows.append((len(rows), 2.2, {
+            "job_domain": None, "min_required_yoe": bounds[0], "max_required_yoe": bounds[1],
+            "required_skills": names[:req[0]], "preferred_skills": names[:pref[0]],
+            "candidate_matched_required_skills": names[:req[1]], "candidate_matched_preferred_skills": names[:pref[1]],
+            "domain_matches_candidate": domain, "job_location": None, "direct_apply": None}))
+        want.append(DECISION[SHARES[req], SHARES[pref]] if fits else "experience_mismatch")
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("experience_years", T.DoubleType()),
                            T.StructField("facts", FACTS)])
     got = evaluate_fit(spark.createDataFrame(rows, schema)).orderBy("i").select("category", "score", "status").collect()

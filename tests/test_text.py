@@ -2,12 +2,14 @@
 
 import hashlib
 import random
-import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import experience, links, render, text
+from siftwell.workload.postings import MENTIONS_SQL
 
 
 def test_space_class_equals_char_set(values):
@@ -66,40 +68,39 @@ def test_url_component(one):
 
 # --- years of experience ------------------------------------------------------------------------
 
-def spoken(source: str):
-    """Row-by-row reading of the rule, as an independent check."""
-    source = re.sub(r"\byear'?s\b", "year", source, flags=re.I | re.A)
-    lo = hi = best = None
-    for m in re.finditer(r"([0-9]+)(?:\s*\+|\s*[–\-]\s*([0-9]+))?\s*years?\b", source, re.I | re.A):
-        n, end = int(m[1]), int(m[2]) if m[2] else 0
-        if re.search(r"\bup\s+to\b\s*$", source[max(0, m.start() - 15):m.start()], re.A):
-            if hi is None or n > hi:
-                hi, best = n, m[0]
-            continue
-        low, high = (min(n, end), max(n, end)) if end else (n, None)
-        lo = low if lo is None else max(lo, low)
-        if high is not None:
-            hi = high if hi is None else max(hi, high)
-        best = m[0]
-    return lo, hi, best
-
-
-CASES = [
-    "2-4 years", "5+ years", "up to 3 years and 2 years", "Up to 3 years", "0–2 years", "3 - 0 years", "4 year's",
-    "10 years, 2-3 years", "", "none", "up to 5-8 years", "2 years. up to 1 year. up to 9 years", "5yearsX", "5years",
-    "5year's", "7 YEARS'", "up  to 4years", "cup to 4 years", "up to             4 years", "12+years 3 - 5 Year",
-    "fre 5 years’", "0 years", "1-2-3 years",
-]
-
-
-def test_extract_yoe_cases_and_random_texts(values):
+MENTIONS = {  # text: (min, max, shown)
+    "2-4 years": (2, 4, "2-4 year"), "5+ years": (5, None, "5+ year"), "up to 3 years and 2 years": (2, 3, "2 year"),
+    "Up to 3 years": (3, None, "3 year"), "0–2 years": (0, 2, "0–2 year"), "3 - 0 years": (3, None, "3 - 0 year"),
+    "4 year's": (4, None, "4 year"), "10 years, 2-3 years": (10, 3, "2-3 year"), "": (None, None, None),
+    "none": (None, None, None), "up to 5-8 years": (None, 5, "5-8 year"),
+    "2 years. up to 1 year. up to 9 years": (2, 9, "9 year"), "up to 9 years, up to 4 years": (None, 9, "9 year"),
+    "5yearsX": (None, None, None), "5years": (5, None, "5years"), "5year's": (5, None, "5year"),
+    "7 YEARS'": (7, None, "7 year"), "up  to 4years": (None, 4, "4years"), "cup to 4 years": (4, None, "4 year"),
+    "up to             4 years": (4, None, "4 year"), "12+years 3 - 5 Year": (12, 5, "3 - 5 Year"),
+    "fre 5 years’": (5, None, "5 year"), "0 years": (0, None, "0 year"), "1-2-3 years": (2, 3, "2-3 year"),
+    "\u00a03\u2003+\u00a0years": (3, None, "3\u2003+\u00a0year"),
+}
+
+
+def test_extract_yoe_cases(values):
+    got = values(lambda: experience.extract_yoe("s"), list(MENTIONS), "s string")
+    for source, g in zip(MENTIONS, got):
+        assert (g["min"], g["max"], g["text"]) == MENTIONS[source], source
+
+
+def test_extract_yoe_random_texts_equal_sql(values):
     rnd = random.Random(7)
     words = ["up to ", "Up to ", "up\nto", "years", "year", "year's", "Years", " ", "  ", "+", "-", "–", "3", "12", "0", "x",
              "and ", ". ", "cup to "]
-    texts = CASES + ["".join(rnd.choice(words) for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
     got = values(lambda: experience.extract_yoe("s"), texts, "s string")
-    for source, g in zip(texts, got):
-        assert (g["min"], g["max"], g["text"]) == spoken(source), source
+    con = duckdb.connect()
+    con.register("texts", pd.DataFrame({"k": range(len(texts)), "txt": texts}))
+    want = {k: (lo, hi, t) for k, lo, hi, t in con.execute(
+        f"WITH {MENTIONS_SQL} SELECT k, yoe_min, yoe_max, yoe_text FROM yoe").fetchall()}
+    assert len(want) > 300
+    for k, g in enumerate(got):
+        assert (g["min"], g["max"], g["text"]) == want.get(k, (None, None, None)), texts[k]
 
 
 def test_extract_yoe_null(one):
