@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import packing, token_counts, token_files
+from siftwell.llm import packing, ring, secrets, token_counts, token_files
+from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,20 @@ def op7_token_counts(spark, sf_dir):
         table(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"),
         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op1_hash_ring_shards(spark, sf_dir):
+    text = whole(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = ring.assign(rows, "doc_id", 40, ["text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_secret_ownership(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return secrets.find(docs, F.col("doc_id"), F.col("source")).drop("source")
