@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import packing, ring, secrets, token_counts, token_files
+from siftwell.llm import packing, ring, secrets, simhash, token_counts, token_files
 from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
@@ -65,3 +65,8 @@ def op1_hash_ring_shards(spark, sf_dir):
 def op10_secret_ownership(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return secrets.find(docs, F.col("doc_id"), F.col("source")).drop("source")
+
+
+@query
+def op3_simhash_components(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
