@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import packing, ring, secrets, simhash, token_counts, token_files
+from siftwell.llm import packing, ring, secrets, simhash, token_counts, token_files, vptree
 from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
@@ -70,3 +70,9 @@ def op10_secret_ownership(spark, sf_dir):
 @query
 def op3_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_vantage_point_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
