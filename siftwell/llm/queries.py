@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import packing, ring, secrets, simhash, token_counts, token_files, vptree
+from siftwell.llm import packing, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
 from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
@@ -76,3 +76,11 @@ def op3_simhash_components(spark, sf_dir):
 def op9_vantage_point_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vptree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op2_toxic_span_chain(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
