@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import packing, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
+from siftwell.llm import packing, quality, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
 from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
@@ -84,3 +84,10 @@ def op2_toxic_span_chain(spark, sf_dir):
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model, keep=["doc_id"]).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
+
+
+@query
+def op8_perplexity_rules(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "log_perplexity")
