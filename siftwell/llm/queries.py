@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import packing, quality, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
+from siftwell.llm import byte_pairs, packing, quality, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
 from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
@@ -91,3 +91,9 @@ def op8_perplexity_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "log_perplexity")
+
+
+@query
+def op4_byte_pair_round_trip(spark, sf_dir):
+    return byte_pairs.digests(table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
