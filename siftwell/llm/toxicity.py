@@ -309,10 +309,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return Model(names, chain, fit_document(total, n, toxic, min(max(share, 0.01), 0.99)))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, drop_toxic: bool = False) -> DataFrame:
     """``docs`` (or ``keep`` of it) with score, predicted and toxic_spans (start and end of offending words
     in code points, with their marginal). Null and empty texts have a score of their own, that of no words;
-    repeated rows score alike; only the text is looked at.
+    repeated rows score alike; only the text is looked at. ``drop_toxic`` leaves out rows predicted toxic.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -334,4 +334,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
         return work
 
-    return per_batch(docs, make, "score double, predicted int, toxic_spans array<struct<start:int,end:int,marginal:double>>", keep=keep)
+    scored = per_batch(docs, make, "score double, predicted int, toxic_spans array<struct<start:int,end:int,marginal:double>>", keep=keep)
+    return scored.where("predicted = 0") if drop_toxic else scored
