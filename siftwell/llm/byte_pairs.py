@@ -2,7 +2,7 @@
 
 Texts are cut into words, and the distinct words of each block of documents become byte arrays. On each,
 ``aggregate`` folds the ranked merges: every step joins the leftmost pair of lowest rank, which a literal
-rank map gives. The map is keyed by the two pieces' ids, in buckets, so a look-up reads a few entries.
+rank map gives. The map is keyed by the two pieces' ids.
 Word ids are then laid out in document order. Nothing is moved between tasks: a block is a row.
 
 Decoding concatenates the binary pieces of ids.
@@ -26,9 +26,9 @@ from siftwell.llm.vocab import read_bytes
 
 #: Text of a block in characters, unless one document is longer. More text shares more words; it also is
 #: what a row holds.
-BLOCK_CHARS = 4 << 20
-BUCKETS = 65521
-NONE = 2 ** 31 - 1
+BLOCK_CHARS = 12 << 20
+BUCKETS, PLACES = 32749, 150011
+NONE = 1 << 40
 
 
 def read_ranks(file: bytes) -> dict[bytes, int]:
@@ -67,23 +67,42 @@ def let(value: Column, body) -> Column:
 
 
 class RankMap:
-    """The literal rank map: buckets of pair keys and, at the same places, their ranks."""
+    """The literal rank map, a hash table without collisions in two constant arrays.
+
+    A pair's bucket gives a shift, and shift and key give the one place where the pair can stand. Entries
+    hold key and rank, so a pair that is none is recognised.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]):
-        keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(BUCKETS)]
+        buckets: list[list[tuple[int, int]]] = [[] for _ in range(BUCKETS)]
         for (a, b), rank in pairs.items():
-            at = (a * 7919 + b * 104729) % BUCKETS
-            keys[at].append(a << 16 | b)
-            values[at].append(rank)
-        self.keys, self.values = literal(keys, "array<array<bigint>>"), literal(values, "array<array<int>>")
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+            buckets[(a * 7919 + b * 104729) % BUCKETS].append((a << 16 | b, rank))
+        # As many places as keep the pairs of each bucket apart before they are shifted.
+        size = next(n for n in range(PLACES, 2 * PLACES)
+                    if all(len({k % n for k, _ in bucket}) == len(bucket) for bucket in buckets))
+        shifts, entries, free = [0] * BUCKETS, [-1] * size, 0
+        for at in sorted(range(BUCKETS), key=lambda i: -len(buckets[i])):
+            places = [key % size for key, _ in buckets[at]]
+            if not places:
+                break
+            while entries[free] >= 0:
+                free += 1
+            shift = (free - places[0]) % size
+            while any(entries[(p + shift) % size] >= 0 for p in places):
+                shift = (shift + 1) % size
+            shifts[at] = shift
+            for p, (key, rank) in zip(places, buckets[at]):
+                entries[(p + shift) % size] = key << 17 | rank
+        self.size = size
+        self.shifts, self.entries = literal(shifts, "array<bigint>"), literal(entries, "array<bigint>")
+        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
 
     def rank(self, a: Column, b: Column) -> Column:
-        a, b = a.cast("bigint"), b.cast("bigint")
-        bucket = ((a * 7919 + b * 104729) % BUCKETS).cast("int")
-        return let(F.struct(bucket.alias("h"), F.array_position(self.keys[bucket], a * 65536 + b).cast("int").alias("at")),
-                   lambda x: F.when(x["at"] > 0, self.values[x["h"]][x["at"] - 1]).otherwise(F.lit(NONE)))
+        """Rank of the pair of pieces ``a`` and ``b`` (bigint), ``NONE`` if they are none."""
+        key = a * 65536 + b
+        shift = self.shifts[((a * 7919 + b * 104729) % BUCKETS).cast("int")]
+        return let(self.entries[((key + shift) % self.size).cast("int")],
+                   lambda e: F.when(F.shiftright(e, 17) == key, e.bitwiseAND(131071)).otherwise(F.lit(NONE)))
 
 
 def fold(word: Column, ranks: RankMap) -> Column:
@@ -98,7 +117,7 @@ def fold(word: Column, ranks: RankMap) -> Column:
     def merge(s: Column, least: Column) -> Column:
         def at(k: Column) -> Column:  # k: the pair's place, from 1
             ids, pairs, n = s["ids"], s["pairs"], F.size(s["pairs"])
-            none = F.array().cast("array<int>")
+            none = F.array().cast("array<bigint>")
             left = F.when(k > 1, F.array(ranks.rank(ids[k - 2], least))).otherwise(none)
             right = F.when(k < n, F.array(ranks.rank(least, ids[k + 1]))).otherwise(none)
             return F.struct(
@@ -109,7 +128,7 @@ def fold(word: Column, ranks: RankMap) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         return let(F.coalesce(F.array_min(s["pairs"]), F.lit(NONE)),
-                   lambda least: F.when(least == NONE, s).otherwise(merge(s, least)))
+                   lambda least: F.when(least == F.lit(NONE), s).otherwise(merge(s, least)))
 
     return let(ids, lambda ids: F.aggregate(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))),
                                             start(ids), step, lambda s: s["ids"]))
@@ -166,7 +185,7 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_
     pairs = pair_ranks(ranks)
     table, whole = RankMap(ranks, pairs), out_of_reach(ranks, pairs)
     taken = literal([list(w) for w in whole], "array<array<smallint>>")
-    values = literal(list(whole.values()), "array<int>")
+    values = literal(list(whole.values()), "array<bigint>")
 
     def ids(word: Column) -> Column:
         if not whole:
@@ -174,7 +193,7 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_
         return let(F.array_position(taken, word).cast("int"),
                    lambda k: F.when(k > 0, F.array(values[k - 1])).otherwise(fold(word, table)))
 
-    return blocks(docs, pattern, block_chars).select("doc_ids", "lengths", "places", F.transform("words", ids).alias("ids"))
+    return blocks(docs, pattern, block_chars).select("doc_ids", "lengths", "places", F.transform("words", ids).cast("array<array<int>>").alias("ids"))
 
 
 def per_document(encoded: DataFrame, finish, added: str) -> DataFrame:
