@@ -50,6 +50,11 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.select(*dict.fromkeys([*kept, name])).mapInArrow(run, schema)
 
 
+def with_row(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` and _row, all columns of ``docs``: extra ones go along without meeting the operator's own."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 

@@ -64,7 +64,7 @@ def op1_hash_ring_shards(spark, sf_dir):
 @query
 def op10_secret_ownership(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return secrets.find(docs, F.col("doc_id"), F.col("source")).drop("source")
+    return secrets.find(docs, F.col("doc_id"), F.col("source"))
 
 
 @query

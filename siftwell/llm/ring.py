@@ -86,19 +86,20 @@ def assign(rows: DataFrame, key: str, shards: int, tie: list[str], slack: float
 
     ``key`` is the column that is hashed; null keys hash as a value of their own. ``tie`` are columns that
     order rows of one point beside the key; rows equal in all of them may swap slots. An empty table
-    stays empty. ``rows`` is read twice; keep texts out of it, as its rows are moved once.
+    stays empty; columns called shard or slot are replaced. ``rows`` is read twice; keep texts out of it, as its rows are moved once.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
     spark = rows.sparkSession
     # High bits choose the point, all bits the order in it. Null gets the hash of a text no key casts to.
-    hashed = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key"))))
+    kept = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    hashed = rows.select(F.struct(*kept).alias("_row"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key"))).alias("_hash"))
     hashed = hashed.withColumn("_point", F.shiftrightunsigned("_hash", 48).cast("int"))
     counts = {r["_point"]: r["count"] for r in hashed.groupBy("_point").count().collect()}
     runs = spark.createDataFrame(plan(counts, shards, slack),
                                  "_at int, _first bigint, _many bigint, shard int, _slot bigint")
-    order = Window.partitionBy("_point").orderBy("_hash", key, *tie)
-    inside = (F.col("_point") == F.col("_at")) & (F.col("_row") >= F.col("_first")) & \
-        (F.col("_row") < F.col("_first") + F.col("_many"))
-    return hashed.withColumn("_row", F.row_number().over(order) - 1).join(F.broadcast(runs), inside).select(
-        *rows.columns, "shard", (F.col("_slot") + F.col("_row") - F.col("_first")).alias("slot"))
+    order = Window.partitionBy("_point").orderBy("_hash", *(F.col("_row")[c] for c in [key, *tie]))
+    inside = (F.col("_point") == F.col("_at")) & (F.col("_nth") >= F.col("_first")) & \
+        (F.col("_nth") < F.col("_first") + F.col("_many"))
+    return hashed.withColumn("_nth", F.row_number().over(order) - 1).join(F.broadcast(runs), inside).select(
+        "_row.*", "shard", (F.col("_slot") + F.col("_nth") - F.col("_first")).alias("slot"))

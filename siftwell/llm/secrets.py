@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import stored, whole
+from siftwell.llm.common import stored, whole, with_row
 
 #: Kinds in their order, pattern, and the least length of group 2 or of the match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,21 +96,22 @@ def written(items: Column) -> Column:
 
 
 def find(docs: DataFrame, repository: Column, owner: Column, most_repositories: int = 2, most_owners: int = 1) -> DataFrame:
-    """All columns of ``docs`` but the text, with n_assign, n_access, n_hex, base_sha256, spans.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of ``docs`` (doc_id, text, what ``repository`` and
+    ``owner`` need; more columns are dropped).
 
     One row for each row. Null and empty texts have no spans; repeated rows count as one repository. The
     text is read once; what is found in it is stored without it.
     """
-    kept = [c for c in docs.columns if c != "text"]
-    found = stored(scan(docs).select(*kept, "_base", "_found", "_key"), "secrets")
-    added = stored(live(found, repository, owner, most_repositories, most_owners), "live")
+    rows = docs.select("doc_id", "text", repository.alias("_repository"), owner.alias("_owner"))
+    found = stored(scan(rows).drop("text"), "secrets")
+    added = stored(live(found, F.col("_repository"), F.col("_owner"), most_repositories, most_owners), "live")
     every = F.array_sort(F.concat("_base", F.coalesce("_live", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
 
     return found.join(added, "_key", "left").select(
-        *kept, *(count(k).alias(f"n_{k}") for k in KINDS[:3]),
+        "doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(every).alias("spans"))
 
 
@@ -132,8 +133,9 @@ def masked(text: Column, items: Column) -> Column:
 
 def mask(docs: DataFrame, repository: Column, owner: Column, most_repositories: int = 2, most_owners: int = 1) -> DataFrame:
     """``docs`` with all columns and rows, found secrets replaced in the texts; other texts stay as they are."""
-    scanned = scan(docs)
-    found = stored(scanned.select(repository.alias("_repository"), owner.alias("_owner"), "_found", "_key"), "secrets")
+    scanned = scan(with_row(docs, "text", repository.alias("_repository"), owner.alias("_owner")))
+    found = stored(scanned.select("_repository", "_owner", "_found", "_key"), "secrets")
     added = stored(live(found, F.col("_repository"), F.col("_owner"), most_repositories, most_owners), "live")
     every = F.array_sort(F.concat("_base", F.coalesce("_live", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return scanned.join(added, "_key", "left").withColumn("text", masked(F.col("text"), every)).select(*docs.columns)
+    return scanned.join(added, "_key", "left").select(
+        F.col("_row").withField("text", masked(F.col("text"), every)).alias("_row")).select("_row.*")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import per_batch, stored, texts
+from siftwell.llm.common import per_batch, stored, texts, with_row
 
 SHINGLE = 3
 SEED = 42
@@ -216,11 +216,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents whose component has no doc_id at all are told apart by fingerprint.
     """
-    marked = with_fingerprints(docs)
+    marked = with_fingerprints(with_row(docs, "doc_id", "text"), keep=["doc_id", "_row"])
     pairs = stored(marked.select("doc_id", "_fp"), "fingerprints")
     found = components_of(pairs)
     stays = pairs.join(found, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
         .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_own")) \
         .agg(F.min("_fp").alias("_stay")).select(F.col("component_id").alias("_id"), "_stay")
     kept = marked.join(stays, (F.col("_fp") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "_fp"]).select("_row.*")

@@ -65,7 +65,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     Only per-file sums meet in one task; positions inside a file are summed file by file.
     """
-    rows = spark.read.orc(path)
+    rows = spark.read.schema("doc_id bigint, n_tokens bigint, token_ids array<int>, part int").orc(path)
 
     def make():
         def work(batch):
