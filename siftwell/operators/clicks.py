@@ -36,7 +36,7 @@ def click_counts(clicks: DataFrame, ledger: DataFrame) -> DataFrame:
     direct = counted.filter(F.col("_user").isNotNull()).select(F.col("_user").alias("user_id"), "key", "n")
     owners = ledger.select(F.col("id").alias("_job"), "user_id")
     owned = counted.filter(F.col("_user").isNull()).select("_job", "key", "n")
-    owned = attach(owned, owners, "_job", spread=["key", "n"]).select("user_id", "key", "n")
+    owned = attach(owned, owners, "_job").select("user_id", "key", "n")
     return direct.unionByName(owned).groupBy("user_id", "key").agg(F.sum("n").alias("clicks"))
 
 

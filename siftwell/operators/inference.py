@@ -161,24 +161,26 @@ def usage_totals(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- resumes -----------------------------------------------------------------------------
 
-PROFILE_INPUT_CHARS = 10_000
-TAILOR_DESCRIPTION_CHARS = 8_000
+def limited(column: str, chars: int | None) -> Column:
+    """A model's input limit, if the caller states one; texts are sent whole otherwise."""
+    return F.col(column) if chars is None else truncate(column, chars)
 
 
-def extract_profiles(resumes: DataFrame, fn: ModelFn, parallelism: int | None = None) -> DataFrame:
+def extract_profiles(resumes: DataFrame, fn: ModelFn, parallelism: int | None = None,
+                     most_chars: int | None = None) -> DataFrame:
     """Structured profile of each resume (user_id, text). Rows the model fails on keep a null
-    profile. The model's input limit applies to what is sent to it, as it does in the service."""
+    profile. ``most_chars`` is the model's own input limit, if it has one."""
     from siftwell.schemas import PROFILE
 
     sent = resumes.withColumn("payload", F.to_json(F.struct(
-        truncate("text", PROFILE_INPUT_CHARS).alias("resume"))))
+        limited("text", most_chars).alias("resume"))))
     out = call_model(sent, fn, "payload", group="user_id", order="user_id", batch_size=1,
                      parallelism=parallelism)
     return out.withColumn("profile", F.from_json("model_json", PROFILE)).drop("payload", "model_json")
 
 
-def tailored_resumes(jobs: DataFrame, existing: DataFrame, fn: ModelFn, parallelism: int | None = None
-                     ) -> DataFrame:
+def tailored_resumes(jobs: DataFrame, existing: DataFrame, fn: ModelFn, parallelism: int | None = None,
+                     most_resume_chars: int | None = None, most_description_chars: int | None = None) -> DataFrame:
     """Tailored resume per ledger row that has none yet.
 
     ``jobs`` carries id, user_id, job_title, company_name, resume_text, description_text,
@@ -192,8 +194,8 @@ def tailored_resumes(jobs: DataFrame, existing: DataFrame, fn: ModelFn, parallel
     todo = jobs.join(existing.select("id"), "id", "left_anti").filter(
         truthy("resume_text").isNotNull() & truthy("description_text").isNotNull())
     sent = todo.withColumn("payload", F.to_json(F.struct(
-        truncate("resume_text", PROFILE_INPUT_CHARS).alias("resume"),
-        truncate("description_text", TAILOR_DESCRIPTION_CHARS).alias("description"),
+        limited("resume_text", most_resume_chars).alias("resume"),
+        limited("description_text", most_description_chars).alias("description"),
         first_truthy("job_title", default="Job Role").alias("title"),
         first_truthy("company_name", default="Company").alias("company"),
         F.col("matched_skills").alias("skills"))))

@@ -21,18 +21,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return top_per_key(df, keys, order, 1, "_rank").drop("_rank")
 
 
-GROUP_LIMIT = 1000  # up to this rank the planner cuts groups below the exchange
-
-
-def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str, bucket: Sequence = ()
-) -> DataFrame:
-    """The first ``n`` rows of each key with their rank; ``n`` is the size of a report page.
-
-    Beyond the planner's group limit (a very deep page) rows are ranked in buckets instead.
-    """
-    if n > GROUP_LIMIT and bucket:
-        return rank_per_key(df, keys, order, bucket, rank).filter(F.col(rank) <= n)
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str) -> DataFrame:
+    """The first ``n`` rows of each key with their rank; ``n`` is the size of a report page."""
     window = Window.partitionBy(*keys).orderBy(*_columns(order))
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
@@ -70,37 +60,11 @@ def batch_number(rank: Column, size: int) -> Column:
     return (F.floor((rank - 1) / size) + 1).cast("bigint")
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Size the optimizer expects for a plan (file sizes and row widths, no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # a remote session shows no plan; treat the frame as large
-        return 1 << 62
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    text = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).lower()
-    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
-    for unit, factor in units.items():
-        if text.endswith(unit):
-            return int(text[: -len(unit)]) * factor
-    return int(text)
-
-
-def attach(
-    rows: DataFrame, attributes: DataFrame, on: str, spread: Sequence[str], how: str = "inner",
-    salts: int = 32,
-) -> DataFrame:
+def attach(rows: DataFrame, attributes: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join many rows to one attribute row each.
 
-    When the optimizer's size for the attributes is under the broadcast threshold this is a plain
-    join, which Spark then broadcasts. Otherwise the key is salted: each attribute row is repeated
-    ``salts`` times and the rows of a hot key are spread over ``salts`` tasks by a hash of
-    ``spread``. The salted exchange also keeps later grouping on (key, more) from reusing a
-    distribution on the bare key.
+    One plan for all sizes: Spark broadcasts attributes it sizes under the threshold, and otherwise joins
+    by key, where adaptive execution splits the partition of a hot key by its rows. Attributes are never
+    repeated.
     """
-    if 0 <= planned_bytes(attributes) <= broadcast_limit(attributes):
-        return rows.join(attributes, on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = attributes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    return rows.join(attributes, on, how)

@@ -38,7 +38,7 @@ def build_post_messages(matched: DataFrame, users: DataFrame, platform: str = "l
     job = F.struct(*[F.col(c).alias(f) for f, c in MESSAGE_FIELDS.items()])
     body = F.to_json(F.struct(
         F.lit(platform).alias("platform"), F.col("user_id").cast("string").alias("userId"), job.alias("job")))
-    return attach(matched, owners, "user_id", spread=["ord"]).select("user_id", "ord", body.alias("message"))
+    return attach(matched, owners, "user_id").select("user_id", "ord", body.alias("message"))
 
 
 def read_messages(queue: DataFrame) -> DataFrame:
@@ -52,13 +52,13 @@ def read_messages(queue: DataFrame) -> DataFrame:
     )
 
 
-def post_status(messages: DataFrame, users: DataFrame, spread: list[str]) -> DataFrame:
+def post_status(messages: DataFrame, users: DataFrame) -> DataFrame:
     """Add owner data and ``status``: unknown_user, no_credentials, or ready with the post text."""
     c = F.col("credentials")
     owners = users.select(
         F.col("id").alias("user_id"), F.lit(True).alias("_known"), "phone", "post_template",
         (truthy(c["accessToken"]).isNotNull() & truthy(c["personUrn"]).isNotNull()).alias("_can"))
-    joined = attach(messages, owners, "user_id", spread=spread, how="left")
+    joined = attach(messages, owners, "user_id", how="left")
     status = (F.when(F.col("_known").isNull(), "unknown_user")
               .when(~F.col("_can"), "no_credentials").otherwise("ready"))
     return joined.withColumn("status", status).withColumn(

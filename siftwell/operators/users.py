@@ -74,14 +74,16 @@ def create_defaults(now: Column) -> dict[str, Column]:
 def apply_user_changes(users: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Fold a change feed (id, op, ts, any user columns) into the users table.
 
-    ``op`` is 'create' or 'update'. Per user and column the latest non-null value wins. Creates of
+    ``op`` is 'create' or 'update'. Per user and column the latest non-null value wins; of changes at the
+    same ts the one with the larger ``seq``, if the feed has that column, then the larger value. Creates of
     unknown ids become rows with defaults; updates of unknown ids do nothing. Grouping combines on
     the map side, so a user with very many changes is no problem.
     """
-    fields = [c for c in changes.columns if c not in ("id", "op", "ts") and c in users.columns]
+    fields = [c for c in changes.columns if c not in ("id", "op", "ts", "seq") and c in users.columns]
+    age = [F.col("ts"), F.col("seq") if "seq" in changes.columns else F.lit(0)]
     latest = changes.groupBy("id").agg(
         F.bool_or(F.col("op") == "create").alias("_create"),
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_new_{c}") for c in fields],
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*age, F.col(c).cast("string")))).alias(f"_new_{c}") for c in fields],
     )
     joined = users.withColumn("_old", F.lit(True)).join(latest, "id", "full_outer")
     joined = joined.filter(F.col("_old") | F.col("_create"))
@@ -125,12 +127,14 @@ def refresh_user_counters(users: DataFrame, runs: DataFrame) -> DataFrame:
 
 def resolve_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Add ``user_id`` to requests (identifier): a uuid is taken as it is, anything else is looked
-    up as an e-mail address without regard to case; unknown ones get null."""
+    up as an e-mail address without regard to case; unknown ones get null. Where several users have an
+    address, the smallest id is taken."""
     ident = trim_ws("identifier")
     is_id = ident.rlike(UUID) & ~F.contains(ident, F.lit("@"))
-    mails = users.select(F.col("id").alias("_found"), F.lower("email").alias("_mail"))
+    mails = users.groupBy(F.lower("email").alias("_mail")).agg(F.min("id").alias("_found"))
     # requests that need no lookup get a key of their own; nulls would all meet in one task
-    wanted = requests.withColumn("_mail", F.when(is_id, F.concat(F.lit("id:"), ident)).otherwise(
-        F.coalesce(F.lower(ident), F.lit(""))))
+    blank = F.coalesce(F.trim(ident), F.lit("")) == ""
+    own = F.concat(F.lit("blank:"), F.xxhash64(*requests.columns).cast("string"))
+    wanted = requests.withColumn("_mail", F.when(is_id, F.concat(F.lit("id:"), ident)).when(blank, own).otherwise(F.lower(ident)))
     return wanted.join(mails, "_mail", "left").withColumn(
         "user_id", F.when(is_id, ident).otherwise(F.col("_found"))).drop("_mail", "_found")

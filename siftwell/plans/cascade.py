@@ -45,7 +45,7 @@ def classify(postings: DataFrame, users: DataFrame, now: Column, blocklist=BLOCK
     settings = users.filter(F.col("is_active")).select(
         F.col("id").alias("user_id"), candidate_years("experience_years").alias("candidate_years"),
         "exclude_title_keywords")
-    rows = attach(rows, settings, "user_id", spread=["link", "title"])
+    rows = attach(rows, settings, "user_id")
     yoe_out = yoe_reject_reason("yoe_min", "yoe_max", "candidate_years", "fresher").isNotNull()
     return rows.withColumn(
         "rule_stage",
@@ -194,7 +194,7 @@ def evaluate(rows: DataFrame, users: DataFrame, fn: ModelFn, batch_size: int = 5
     context = context.select(
         "user_id", "experience_years",
         F.to_json(F.struct(*[c for c in context.columns if c != "user_id"])).alias("context"))
-    rows = attach(extraction_payload(rows), context, "user_id", spread=["fingerprint"])
+    rows = attach(extraction_payload(rows), context, "user_id")
     answered = call_model(rows, fn, "payload", context="context", batch_size=batch_size,
                           parallelism=parallelism)
     return evaluate_fit(answered.withColumn("facts", parse_facts("model_json"))).drop(

@@ -55,14 +55,13 @@ def all_pages(ledger: DataFrame, users: DataFrame, page: int = 1, limit: int = 2
     """The same page for every user at once, with totals and the user's profile.
 
     Rows beyond the page are cut before the exchange, so each task sends at most page * limit rows
-    per user; very deep pages are ranked in buckets of score and day.
+    per user.
     """
     page, limit = max(1, page or 1), max(1, limit or 20)
     rows = top_per_key(
-        select_postings(ledger, **where), ["user_id"], _order(), page * limit, "position",
-        bucket=[F.coalesce(-F.col("ai_score"), F.lit(-(1 << 30))), F.to_date("created_at")])
+        select_postings(ledger, **where), ["user_id"], _order(), page * limit, "position")
     rows = rows.filter(F.col("position") > (page - 1) * limit)
     profile = users.select(F.col("id").alias("user_id"), *[
         F.col(c).alias(f"user_{c}") for c in PROFILE_COLUMNS if c != "id" and c in users.columns])
     rows = rows.join(totals(ledger, limit, **where), "user_id")
-    return attach(rows, profile, "user_id", spread=["id"], how="left")
+    return attach(rows, profile, "user_id", how="left")

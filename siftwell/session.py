@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +17,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # user settings and similar attribute tables of this size are sent to all executors
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # stateful streams keep several kinds of state, which only this store can
+    "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
     # plans here are built from many small column calls; recording each call site slows that down
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -30,6 +34,18 @@ def build_session(app: str = "siftwell", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Within it, streams started in a session of other settings keep keyed state too."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Results depend on the session zone; pin it before building a plan."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -40,10 +56,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only when the cluster names none (local tests) is a temporary folder made; the context keeps it.
+    A temporary folder is made only where everything runs on one machine (local tests). On a cluster
+    executors would each write to their own disk and later reads would miss those files, so a missing
+    setting is an error there.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
         folder = context.getCheckpointDir()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.normalize import normalize_jobs
 from siftwell.schemas import ENVELOPE
 
-USER_IN_PATH = r"/raw-jobs/([^/]+)/"
+USER_IN_PATH = r"/raw-jobs/(?:user_id=)?([^/]+)/"
 
 
 def explode_envelopes(files: DataFrame) -> DataFrame:
@@ -62,22 +62,28 @@ def stream_raw_batches(spark: SparkSession, path: str, archive: str | None = Non
     return explode_envelopes(reader.json(path))
 
 
-def write_fan_out(postings: DataFrame, members: DataFrame, path: str, salts: int = 64) -> None:
-    """Deliver each task's postings to every subscriber of the task.
+JOBS_PER_FILE = 1000  # postings of one landed file, on average
 
-    ``postings`` has task_key and a ``job`` struct, ``members`` has task_key and user_id. A popular
-    task's subscribers are spread over ``salts`` tasks; only its postings (one scrape) are repeated.
+
+def write_fan_out(postings: DataFrame, members: DataFrame, root: str, scraped_at: Column,
+                  jobs_per_file: int = JOBS_PER_FILE) -> None:
+    """Deliver each task's postings to every subscriber of the task, as the files ``read_raw_batches`` reads.
+
+    ``postings`` has task_key, platform, keyword, location and a ``job`` struct; ``members`` has task_key and
+    user_id. A task's postings are put into envelopes once, of about ``jobs_per_file`` postings each, and
+    the envelopes are joined to the subscribers: one file ``<root>/raw-jobs/user_id=<user>/...`` each.
     """
-    copies = fan_out(postings, members, salts)
-    # at most four tasks write into a user's folder, so files stay few and a large user is still split
-    copies = copies.repartition("user_id", "platform", F.pmod(F.xxhash64(*copies.columns), F.lit(4)))
-    copies.write.mode("append").partitionBy("user_id", "platform").json(path)
+    task = ["task_key", "platform", "keyword", "location"]
+    sizes = postings.groupBy("task_key").agg(F.ceil(F.count("*") / jobs_per_file).alias("_parts"))
+    envelopes = postings.join(sizes, "task_key").groupBy(*task, F.pmod(F.xxhash64("job"), F.col("_parts")).alias("_part")) \
+        .agg(F.collect_list("job").alias("jobs")).select(
+            "task_key", "platform", "keyword", "location",
+            F.date_format(scraped_at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("scrapedAt"), F.size("jobs").alias("count"), "jobs")
+    fan_out(envelopes, members).drop("task_key").write.mode("append").option("maxRecordsPerFile", 1) \
+        .partitionBy("user_id").json(f"{root.rstrip('/')}/raw-jobs")
 
 
-def fan_out(postings: DataFrame, members: DataFrame, salts: int = 64) -> DataFrame:
+def fan_out(postings: DataFrame, members: DataFrame) -> DataFrame:
     """(user_id, posting columns): one copy per subscriber. Tasks without postings or subscribers
-    give nothing."""
-    spread = members.select("task_key", "user_id").withColumn(
-        "_salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)).cast("int"))
-    copies = postings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, ["task_key", "_salt"]).drop("_salt")
+    give nothing. Adaptive execution splits the partition of a task with very many subscribers."""
+    return members.select("task_key", "user_id").join(postings, "task_key")

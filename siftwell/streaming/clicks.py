@@ -23,7 +23,7 @@ def running_clicks(clicks: DataFrame, ledger: DataFrame | None = None) -> DataFr
     user = truthy("userId")
     if ledger is not None:
         owners = ledger.select(F.col("id").alias("jobId"), F.col("user_id").alias("_owner"))
-        rows = attach(rows, owners, "jobId", spread=rows.columns, how="left")
+        rows = attach(rows, owners, "jobId", how="left")
         user = F.coalesce(user, F.col("_owner"))
     return rows.withColumn("user_id", user).filter(F.col("user_id").isNotNull()).groupBy(
         "user_id", "key").agg(F.count(F.lit(1)).alias("clicks"))

@@ -7,17 +7,73 @@ service's own rule: only evaluated postings are remembered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siftwell.constants import FRESHNESS_DAYS, RETENTION_DAYS
 from siftwell.operators.rules import fresh
 
 
+class FirstSeen(StatefulProcessor):
+    """Lets a key's first row through and drops its repeats until ``keep_ms`` after that row; the row after
+    is a first one again. State is one time per key, dropped when the watermark passes its end."""
+
+    def __init__(self, time: str, keep_ms: int):
+        self.time, self.keep_ms = time, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since = self.since.get()[0] if self.since.exists() else None
+        best: list[pd.DataFrame] = []
+        # only rows that may still be first are kept between frames: one for each life of the key
+        for frame in rows:
+            ms = frame[self.time].astype("datetime64[us]").astype("int64") // 1000
+            frame = frame.assign(_life=0 if since is None else (ms >= since + self.keep_ms).astype(int), _ms=ms)
+            if since is not None:
+                frame = frame[frame["_life"] == 1]
+            best.append(frame.sort_values("_ms", kind="stable").drop_duplicates("_ms"))
+        if not best:
+            return
+        found = pd.concat(best).sort_values("_ms", kind="stable")
+        times, firsts, at = found["_ms"].to_numpy(), [], 0
+        while at < len(times):
+            firsts.append(at)
+            since = int(times[at])
+            at = int(np.searchsorted(times, since + self.keep_ms))
+        if firsts:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.since.update((since,))
+            self.handle.registerTimer(since + self.keep_ms)
+            yield found.iloc[firsts].drop(columns=["_life", "_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.since.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def first_seen(stream: DataFrame, time: str = "scraped_at", keys=("user_id", "fingerprint"),
-               days: int = RETENTION_DAYS) -> DataFrame:
-    """The first row of each key within the retention time."""
-    return stream.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark(list(keys))
+               days: int = RETENTION_DAYS, lateness: str = "1 day") -> DataFrame:
+    """The first row of each key, then the first one ``days`` or more after it, and so on.
+
+    Rows later than ``lateness`` behind the newest are dropped, as their key's time may be forgotten.
+    Columns stay; ``stream`` must not have one called _life or _ms. The session must use the RocksDB state
+    store (``session.SETTINGS`` does).
+    """
+    return stream.withWatermark(time, lateness).groupBy(*keys).transformWithStateInPandas(
+        FirstSeen(time, days * 86_400_000), stream.schema, "append", "EventTime")
 
 
 def drop_late(stream: DataFrame, now: Column | None = None, days: int = FRESHNESS_DAYS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from siftwell.constants import QUEUE_EXPIRY_DAYS, SLOT_MINUTES
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FRAME = 10_000  # rows of an output frame
 OUTPUT = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("item_id", T.LongType()),
     T.StructField("enqueued_at", T.TimestampType()), T.StructField("release_at", T.TimestampType()),
@@ -25,7 +26,8 @@ class SlotThrottle(StatefulProcessor):
     The queue of a user is first in, first out with one release per slot, so the release time of an
     item depends only on its arrival and the user's next free slot. That one number is the whole
     state; items are not kept. An item that would wait longer than the queue keeps messages is
-    marked expired and uses no slot.
+    marked expired and uses no slot. Rows of a trigger may come in several frames in any order: their
+    times and ids (two numbers an item) are gathered and put in order first.
     """
 
     def __init__(self, slot_ms: int, keep_ms: int):
@@ -36,21 +38,17 @@ class SlotThrottle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         free = self.next_free.get()[0] if self.next_free.exists() else 0
-        for frame in rows:
-            frame = frame.sort_values(["enqueued_at", "item_id"])
-            arrivals = frame["enqueued_at"].astype("datetime64[us]").astype("int64") // 1000
-            release, expired = [], []
-            for ms in arrivals:
-                slot = max(free, -(-ms // self.slot_ms) * self.slot_ms)
-                late = slot - ms > self.keep_ms
-                release.append(pd.NaT if late else pd.Timestamp(slot, unit="ms"))
-                expired.append(late)
-                if not late:
-                    free = slot + self.slot_ms
+        queue = pd.concat([f[["enqueued_at", "item_id"]] for f in rows]).sort_values(["enqueued_at", "item_id"])
+        arrivals = (queue["enqueued_at"].astype("datetime64[us]").astype("int64") // 1000).to_numpy()
+        slots, free = assign_slots(arrivals, free, self.slot_ms, self.keep_ms)
+        release = pd.Series(slots.astype("datetime64[ms]")).where(slots >= 0)
+        for at in range(0, len(queue), FRAME):
+            part = queue.iloc[at:at + FRAME]
             yield pd.DataFrame({
-                "user_id": [key[0]] * len(frame), "item_id": frame["item_id"].tolist(),
-                "enqueued_at": frame["enqueued_at"].tolist(),
-                "release_at": pd.Series(release, dtype="datetime64[ns]").tolist(), "expired": expired,
+                "user_id": [key[0]] * len(part), "item_id": part["item_id"].tolist(),
+                "enqueued_at": part["enqueued_at"].tolist(),
+                "release_at": release.iloc[at:at + FRAME].astype("datetime64[ns]").tolist(),
+                "expired": (slots[at:at + FRAME] < 0).tolist(),
             })
         self.next_free.update((int(free),))
 
@@ -58,8 +56,37 @@ class SlotThrottle(StatefulProcessor):
         pass
 
 
+def assign_slots(arrivals: np.ndarray, free: int, slot_ms: int, keep_ms: int) -> tuple[np.ndarray, int]:
+    """Release time of each of the sorted ``arrivals`` (-1: expired) and the next free slot after them.
+
+    Without expiry the n-th release is n + the largest of (own slot - n) so far. That holds up to the first
+    item that would wait too long; from there items expire until one is late enough for the next free
+    slot, and the formula starts anew. So work is one pass for each stretch, not one for each item.
+    """
+    out = np.full(len(arrivals), -1, np.int64)
+    own, start = -(-arrivals // slot_ms), 0
+    free = -(-free // slot_ms)
+    while start < len(arrivals):
+        size = 64
+        while True:  # stretches may be short, so look ahead in growing steps
+            n = np.arange(min(size, len(arrivals) - start))
+            slots = n + np.maximum(np.maximum.accumulate(own[start:start + len(n)] - n), free)
+            late = slots * slot_ms - arrivals[start:start + len(n)] > keep_ms
+            if late.any() or start + len(n) == len(arrivals):
+                break
+            size *= 8
+        fit = int(np.argmax(late)) if late.any() else len(n)
+        out[start:start + fit] = slots[:fit] * slot_ms
+        if fit:
+            free = int(slots[fit - 1]) + 1
+        start += fit
+        if start < len(arrivals):
+            start = max(start, int(np.searchsorted(arrivals, free * slot_ms - keep_ms)))
+    return out, free * slot_ms
+
+
 def throttle(queue: DataFrame, minutes: int = SLOT_MINUTES, keep_days: int = QUEUE_EXPIRY_DAYS) -> DataFrame:
-    """Stream of (user_id, item_id, enqueued_at) to release times. Needs the RocksDB state store."""
-    queue.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    """Stream of (user_id, item_id, enqueued_at) to release times. The session must use the RocksDB state
+    store (``session.SETTINGS`` does)."""
     return queue.groupBy("user_id").transformWithStateInPandas(
         SlotThrottle(minutes * 60_000, keep_days * 86_400_000), OUTPUT, "append", "None")

@@ -401,7 +401,7 @@ def post_statuses(spark, sf):
         F.col("c_custkey").cast("string").alias("id"), F.lit("1").alias("phone"),
         F.struct(token.alias("accessToken"), F.lit("p").alias("personUrn")).alias("credentials"),
         F.concat("c_mktsegment", F.lit(": {title}")).alias("post_template"))
-    return post_status(messages, owners, spread=["event_id"]).select("event_id", "status", "post")
+    return post_status(messages, owners).select("event_id", "status", "post")
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siftwell.session import scratch_path
+from siftwell.session import keyed_state, scratch_path
 from siftwell.streaming.clicks import daily_activity, running_clicks
 from siftwell.streaming.ingest import start_ingest, stored_ledger
 from siftwell.streaming.seen import drop_late, first_seen
@@ -44,11 +44,32 @@ def run_complete(stream, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("SELECT DISTINCT user_id, sha256(event_type) AS fingerprint FROM events")
+def replayed(table, name, order, parts):
+    """Stream of a whole table from ``parts`` files, one a trigger, cut at quantiles of ``order``."""
+    spark = table.sparkSession
+    path = scratch_path(spark, name)
+    cuts = table.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).head()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = table if low is None else table.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("""
+WITH RECURSIVE firsts AS (
+  SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL
+  UNION ALL
+  SELECT * FROM (SELECT f.user_id, f.event_type, (SELECT min(e.ts) FROM events e
+    WHERE e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts >= f.ts + INTERVAL 14 DAY) AS ts FROM firsts f) WHERE ts IS NOT NULL)
+SELECT user_id, sha256(event_type) AS fingerprint, strftime(ts, '%Y-%m-%d %H:%M:%S') AS first_at FROM firsts""")
 def stream_dedup(spark, sf):
-    rows = stream_table(spark, sf, "events").select(
-        "user_id", F.sha2("event_type", 256).alias("fingerprint"), F.col("ts").cast("timestamp").alias("scraped_at"))
-    return run_to_files(first_seen(rows).select("user_id", "fingerprint"), "dedup")
+    """First sights of user and content over ten triggers; a content counts as new again after 14 days."""
+    rows = replayed(I.table(spark, sf, "events").select(
+        "user_id", F.sha2("event_type", 256).alias("fingerprint"), F.col("ts").cast("timestamp").alias("scraped_at")), "events", "scraped_at", 10)
+    with keyed_state(spark):
+        out = run_to_files(first_seen(rows), "dedup")
+    return out.select("user_id", "fingerprint", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
 
 
 @query(I.with_(I.CLICKS_SQL) + """
@@ -100,5 +121,6 @@ FROM q""")
 def stream_throttle(spark, sf):
     rows = stream_table(spark, sf, "events").select(
         "user_id", F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("enqueued_at"))
-    out = run_to_files(throttle(rows), "throttle")
+    with keyed_state(spark):
+        out = run_to_files(throttle(rows), "throttle")
     return out.select("item_id", "user_id", F.date_format("release_at", "yyyy-MM-dd HH:mm:ss").alias("release_at"))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from siftwell.plans import search_tasks as S
-from siftwell.sources.landing import fan_out
+from siftwell.session import scratch_path
+from siftwell.sources.landing import fan_out, read_raw_batches, write_fan_out
 from siftwell.workload import query
 from siftwell.workload import inputs as I
 
@@ -91,6 +92,23 @@ def task_lookback(spark, sf):
     return out.select("platform", "task_key", "date_since_posted", "job_age")
 
 
+@query("""
+SELECT CAST(n_nationkey AS VARCHAR) AS user_id, CAST(p_partkey AS VARCHAR) AS id, 'https://e.org/' || p_partkey AS link,
+  p_name AS title, 'site' || (p_partkey % 2) AS platform FROM nation JOIN part ON p_partkey % 5 = n_regionkey""")
+def fan_out_round_trip(spark, sf):
+    """Parts as postings of a region's task, landed for every nation of the region and read back."""
+    root = scratch_path(spark, "landing")
+    members = I.table(spark, sf, "nation").select(
+        F.col("n_regionkey").cast("string").alias("task_key"), F.col("n_nationkey").cast("string").alias("user_id"))
+    key = F.col("p_partkey")
+    postings = I.table(spark, sf, "part").select(
+        (key % 5).cast("string").alias("task_key"), F.concat(F.lit("site"), key % 2).alias("platform"), F.lit("k").alias("keyword"),
+        F.lit("l").alias("location"), F.struct(key.cast("string").alias("id"), F.col("p_name").alias("position"),
+                                               F.concat(F.lit("https://e.org/"), key).alias("jobUrl")).alias("job"))
+    write_fan_out(postings, members, root, I.now())
+    return read_raw_batches(spark, root).select("user_id", "id", "link", "title", "platform")
+
+
 @query("""
 SELECT c_mktsegment AS task_key, CAST(c_custkey AS VARCHAR) AS user_id, count(*) AS copies FROM customer
 JOIN part ON p_brand = 'Brand#' || (1 + length(c_mktsegment)) GROUP BY ALL""")

@@ -103,10 +103,10 @@ def test_attach_salted_equals_plain(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        salted = keyed.attach(rows, users, "u", spread=["id"], how="left", salts=8)
+        salted = keyed.attach(rows, users, "u", how="left")
         assert "_salt" in salted._jdf.queryExecution().toString()
         assert sorted(map(tuple, salted.collect()), key=repr) == plain
-        inner = keyed.attach(rows, users, "u", spread=["id"], salts=8)
+        inner = keyed.attach(rows, users, "u")
         assert inner.count() == rows.join(users, "u").count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

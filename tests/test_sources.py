@@ -103,12 +103,16 @@ def test_log_digest_reads_gzip(spark, tmp_path):
 
 def test_fan_out(spark, tmp_path):
     members = spark.createDataFrame([("t1", f"u{i}") for i in range(30)] + [("t2", "u1"), ("t3", "u9")], "task_key string, user_id string")
-    posts = spark.createDataFrame([("t1", "linkedin", 1), ("t1", "linkedin", 2), ("t2", "naukri", 3), ("t4", "naukri", 4)],
-                                  "task_key string, platform string, n int")
-    got = sorted((r.user_id, r.n) for r in landing.fan_out(posts, members, salts=4).collect())
-    assert got == sorted([(f"u{i}", n) for i in range(30) for n in (1, 2)] + [("u1", 3)])
-    landing.write_fan_out(posts, members, str(tmp_path / "raw"))
-    assert (tmp_path / "raw" / "user_id=u1" / "platform=naukri").is_dir()
+    posts = spark.createDataFrame(
+        [("t1", "linkedin", 1), ("t1", "linkedin", 2), ("t2", "naukri", 3), ("t4", "naukri", 4)], "task_key string, platform string, n int")
+    want = sorted([(f"u{i}", n) for i in range(30) for n in (1, 2)] + [("u1", 3)])
+    assert sorted((r.user_id, r.n) for r in landing.fan_out(posts, members).collect()) == want
+    jobs = posts.select("task_key", "platform", F.lit("k").alias("keyword"), F.lit("l").alias("location"),
+                        F.struct(F.col("n").cast("string").alias("id"), F.lit("x").alias("position")).alias("job"))
+    landing.write_fan_out(jobs, members, str(tmp_path), F.lit("2024-01-01 10:00:00").cast("timestamp"), jobs_per_file=1)
+    back = landing.read_raw_batches(spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, int(r.id)) for r in back) == want
+    assert {(r.platform, r.title, r.keyword) for r in back} == {("linkedin", "x", "k"), ("naukri", "x", "k")}
 
 
 def test_widen_leaves_big_scans_alone(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,9 +36,46 @@ def test_first_seen_across_triggers(spark, replay):
     run, finish = replay
     rows = lambda day, *keys: spark.createDataFrame(
         [("u", k, START + timedelta(days=day)) for k in keys], "user_id string, fingerprint string, scraped_at timestamp")
-    stream = run([rows(0, "a", "b", "a"), rows(1, "b", "c"), rows(2, "a")])
+    stream = run([rows(0, "a", "b", "a"), rows(1, "b", "c"), rows(13, "a"), rows(14, "a", "a"), rows(20, "b", "a"), rows(40, "b")])
     got = finish(seen.first_seen(stream))
-    assert sorted(r.fingerprint for r in got.collect()) == ["a", "b", "c"]
+    assert sorted((r.fingerprint, (r.scraped_at - START).days) for r in got.collect()) == [
+        ("a", 0), ("a", 14), ("b", 0), ("b", 20), ("b", 40), ("c", 1)]
+
+
+def test_slots_of_many_shuffled_items_in_small_frames(spark, replay):
+    run, finish = replay
+    rows = spark.range(25_000).select(
+        F.lit(1).cast("long").alias("user_id"), F.col("id").alias("item_id"),
+        (F.lit(START).cast("timestamp") + F.make_interval(hours=F.col("id").cast("int"))).alias("enqueued_at")).orderBy(F.xxhash64("item_id"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = finish(T.throttle(run([rows])))
+        assert got.count() == 25_000 and got.where("expired or release_at <> enqueued_at").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_slots_equal_a_plain_loop():
+    rng = np.random.default_rng(1)
+    for most, n, keep in ((50, 300, 40), (5000, 300, 40), (100, 2000, 10 ** 9), (10, 0, 5), (1, 200, 30)):
+        arrivals, free = np.sort(rng.integers(0, most, n)), 0
+        got, last = T.assign_slots(arrivals, 0, 7, keep)
+        for ms, slot in zip(arrivals, got):
+            due = max(free, -(-ms // 7) * 7)
+            assert slot == (due if due - ms <= keep else -1)
+            free = due + 7 if due - ms <= keep else free
+        assert last == free
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from siftwell.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
 
 
 def test_drop_late(spark):

@@ -141,5 +141,5 @@ def test_queue(spark):
     odd = spark.createDataFrame([("z", 3, '{"platform":"x","userId":"z","job":{"title":"T"}}'), ("b", 4, '{"userId":"b","job":{}}'),
                                  ("a", 5, "garbage")], "user_id string, ord long, message string")
     got = {r.user_id: (r.status, r.post) for r in queue.post_status(
-        queue.read_messages(sent.unionByName(odd)), people, spread=["ord"]).collect()}
+        queue.read_messages(sent.unionByName(odd)), people).collect()}
     assert got == {"a": ("ready", "Job Dev"), "z": ("unknown_user", None), "b": ("no_credentials", None)}
