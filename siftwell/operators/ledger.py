@@ -99,12 +99,13 @@ def store_descriptions(matched: DataFrame, path: str) -> DataFrame:
 
 
 def purge(ledger: DataFrame, now: Column, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, one-row count of removed ones). Rows created before ``now - days`` go.
+    """(kept rows, one-row count of removed ones). Rows created before ``now - days`` go;
+    those without a creation time stay.
 
     On a table partitioned by creation date the same predicate prunes whole partitions.
     """
     expired = F.col("created_at") < now - F.expr(f"INTERVAL {int(days)} DAYS")
-    return ledger.filter(~expired), ledger.filter(expired).agg(F.count(F.lit(1)).alias("removed"))
+    return ledger.filter(F.col("created_at").isNull() | ~expired), ledger.filter(expired).agg(F.count(F.lit(1)).alias("removed"))
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, key: str, column: str) -> DataFrame:

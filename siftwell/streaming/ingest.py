@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.operators.inference import ModelFn
+from siftwell.operators.ledger import purge
 from siftwell.plans.batch_run import run_batch
 from siftwell.plans.cascade import failed_runs
+from siftwell.plans.delivery import deliveries, keyed_ledger
 from siftwell.schemas import LEDGER
 
 STORED_LEDGER = T.StructType(LEDGER.fields + [T.StructField("batch_id", T.LongType())])
@@ -34,9 +36,13 @@ def utc_now() -> Column:
 
 
 def batch_writer(users: Callable[[], DataFrame], ledger_path: str, runs_path: str, fn: ModelFn,
-                 now: Callable[[], Column] = utc_now, **options):
+                 now: Callable[[], Column] = utc_now, tables: str | None = None, app_url: str = "", **options):
     """The ``foreachBatch`` function.
 
+    ``tables`` names the folder of descriptions, digest, post messages and user counters, each kept by
+    micro-batch; without it only ledger and audit are written. Ledger rows past their retention count as
+    purged. A micro-batch's rows share one creation time, so that condition skips their files whole.
+
     Each micro-batch overwrites its own folders and sees only the ledger of earlier batches, so a
     batch repeated after a failure gives the same tables. A failing batch leaves FAILED audit rows
     for its users and raises, so its files are not counted as read.
@@ -47,10 +53,15 @@ def batch_writer(users: Callable[[], DataFrame], ledger_path: str, runs_path: st
         at = now()
         runs = f"{runs_path}/batch_id={batch_id}"
         try:
-            ledger = stored_ledger(batch.sparkSession, ledger_path, batch_id)
-            result = run_batch(batch, users(), ledger, fn, at, **options)
-            result.inserted.select(*columns).write.mode("overwrite").parquet(
-                f"{ledger_path}/batch_id={batch_id}")
+            ledger, _ = purge(stored_ledger(batch.sparkSession, ledger_path, batch_id), at)
+            owners = users()
+            result = run_batch(batch, owners, ledger, fn, at, **options)
+            inserted = result.inserted
+            if tables:
+                inserted = keyed_ledger(result)
+                for name, rows in deliveries(result, owners, app_url).items():
+                    rows.write.mode("overwrite").parquet(f"{tables}/{name}/batch_id={batch_id}")
+            inserted.select(*columns).write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
             result.runs.write.mode("overwrite").parquet(f"{runs}/outcome=done")
         except Exception as error:
             failed_runs(batch.select("user_id").distinct(), str(error), at).write.mode(

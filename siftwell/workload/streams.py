@@ -1,5 +1,8 @@
 """Streaming forms, replaying whole tables from files until nothing is left."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.session import keyed_state, scratch_path
@@ -112,6 +115,45 @@ def stream_cascade(spark, sf):
     return stored_ledger(spark, f"{root}/ledger").select("user_id", "fingerprint", "job_link")
 
 
+def halves_model(context: dict, items: list[dict]) -> dict:
+    """Facts by the length of the title: the candidate has all skills asked for, or none."""
+    return {"results": [{"id": i["id"], "required_skills": i["title"].split()[:2],
+                         "candidate_matched_required_skills": i["title"].split()[:2] if len(i["title"]) % 2 == 0 else []} for i in items]}
+
+
+@query(CASCADE_SQL.replace("WHERE quality = 1", "WHERE quality = 1 AND doc_id % 2 = 1").replace("es corp", "scoutit") + """,
+passed AS (SELECT s.user_id, s.ord, length(p.title) % 2 = 0 AS matched FROM staged s JOIN postings p USING (ord) WHERE stage = 'evaluate')
+SELECT 'ledger' AS part, user_id, count(*) AS n FROM passed GROUP BY user_id
+UNION ALL SELECT 'runs', user_id, 1 FROM counts
+UNION ALL SELECT 'user_counters', user_id, 1 FROM counts
+UNION ALL SELECT unnest(['described', 'descriptions', 'digest']), user_id, count(*) FROM passed WHERE matched GROUP BY user_id
+UNION ALL SELECT 'last_rank', user_id, count(*) FROM passed WHERE matched GROUP BY user_id
+UNION ALL SELECT 'posts', user_id, count(*) FROM passed WHERE matched AND CAST(user_id AS BIGINT) % 2 = 0 GROUP BY user_id""")
+def stream_service(spark, sf):
+    """All tables a run leaves, by user: half of the starting ledger is past its retention, half the users can post."""
+    root = scratch_path(spark, "service")
+    old = F.regexp_extract("job_link", r"(\d+)$", 1).cast("bigint") % 2 == 0
+    history = I.history(spark, sf).withColumn("created_at", F.when(old, I.now() - F.expr("INTERVAL 30 DAYS")).otherwise(I.now() - F.expr("INTERVAL 1 DAY")))
+    history.write.parquet(f"{root}/ledger/batch_id=-1")
+    token = F.when(F.col("id").cast("bigint") % 2 == 0, "t")
+    users = I.users(spark, sf).withColumn("credentials", F.struct(
+        token.alias("accessToken"), F.lit(None).cast("string").alias("refreshToken"), F.lit("urn").alias("personUrn")))
+    postings = I.postings_from(stream_table(spark, sf, "documents"))
+    start_ingest(postings, lambda: users, f"{root}/ledger", f"{root}/runs", f"{root}/state", halves_model, now=I.now,
+                 tables=f"{root}/tables", app_url="https://app").awaitTermination()
+
+    def counted(rows, part, n=F.count(F.lit(1))):
+        return rows.groupBy("user_id").agg(n.cast("bigint").alias("n")).select(F.lit(part).alias("part"), "user_id", "n")
+
+    ledger = stored_ledger(spark, f"{root}/ledger").filter("batch_id >= 0")
+    left = {name: spark.read.parquet(f"{root}/tables/{name}") for name in ("descriptions", "digest", "posts", "user_counters")}
+    parts = [counted(ledger, "ledger"), counted(ledger.filter("description_key IS NOT NULL"), "described"),
+             counted(spark.read.parquet(f"{root}/runs"), "runs"), counted(left["digest"], "last_rank", F.max("rank"))]
+    for name, rows in left.items():
+        parts.append(counted(rows, name, F.sum("runs")) if name == "user_counters" else counted(rows, name))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("""
 WITH q AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
   CAST(ceil((epoch_us(ts) // 1000) / 1800000.0) AS BIGINT) AS slot FROM events)

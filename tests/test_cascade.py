@@ -16,6 +16,7 @@ from siftwell.plans.cascade import (
 )
 from siftwell.plans.digest import digest_headers
 from siftwell.sources.landing import read_raw_batches, stream_raw_batches, users_with_files
+from siftwell.operators.ledger import purge
 from siftwell.streaming.ingest import start_ingest, stored_ledger
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the model functions below go to workers
@@ -218,3 +219,29 @@ def test_facts_degrade_per_field(one, text, want):
     f = one(parse_facts("t"), "t string", t=text)
     assert (f["job_domain"], f["min_required_yoe"], f["required_skills"], f["domain_matches_candidate"]) == want
     assert f["preferred_skills"] == [] and f["direct_apply"] is None
+
+
+def test_stream_leaves_all_tables(spark, landed):
+    path, users = landed
+    raw, table, runs = (str(path / p) for p in ("raw-jobs", "ledger", "runs"))
+
+    def drain(name, now):
+        start_ingest(stream_raw_batches(spark, raw), lambda: users, table, runs, str(path / name), model,
+                     now=lambda: F.lit(now), tables=str(path / "tables"), app_url="https://app").awaitTermination()
+        return {t: spark.read.parquet(str(path / "tables" / t)) for t in ("descriptions", "digest", "posts", "user_counters")}
+
+    left = drain("one", NOW)
+    rows = {r.job_title: r for r in stored_ledger(spark, table).filter("user_id = 'good'").collect()}
+    objects = left["descriptions"].filter("user_id = 'good'").collect()
+    assert [o.key for o in objects] == [rows["Engineer"].description_key] and rows["Other"].description_key is None
+    digest = left["digest"].filter("user_id = 'good'").collect()
+    assert [(d.rank, d.ledger_id) for d in digest] == [(1, rows["Engineer"].id)] and "[ #1 ] — Engineer" in digest[0].card
+    assert left["posts"].count() == spark.read.parquet(str(path / "tables/digest")).join(
+        users.filter("credentials.accessToken <> '' AND credentials.personUrn <> ''").select(F.col("id").alias("user_id")), "user_id").count()
+    assert {r.runs for r in left["user_counters"].collect()} == {1}
+
+
+def test_purge_keeps_rows_without_a_time(spark):
+    rows = spark.createDataFrame([("a", None), ("b", NOW), ("c", NOW.replace(year=2000))], "id string, created_at timestamp")
+    kept, removed = purge(rows, F.lit(NOW))
+    assert sorted(r.id for r in kept.collect()) == ["a", "b"] and removed.head().removed == 1
