@@ -85,11 +85,14 @@ class RankMap:
             places = [key % size for key, _ in buckets[at]]
             if not places:
                 break
-            while entries[free] >= 0:
-                free += 1
-            shift = (free - places[0]) % size
-            while any(entries[(p + shift) % size] >= 0 for p in places):
-                shift = (shift + 1) % size
+            if len(places) == 1:  # single pairs come last and fill the gaps in order
+                while entries[free] >= 0:
+                    free += 1
+                shift = (free - places[0]) % size
+            else:  # strides over the whole table; the lower places are full early
+                shift = at * 40503 % size
+                while any(entries[(p + shift) % size] >= 0 for p in places):
+                    shift = (shift + 62143) % size
             shifts[at] = shift
             for p, (key, rank) in zip(places, buckets[at]):
                 entries[(p + shift) % size] = key << 17 | rank
