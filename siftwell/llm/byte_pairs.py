@@ -27,8 +27,13 @@ from siftwell.llm.vocab import read_bytes
 #: Text of a block in characters, unless one document is longer. More text shares more words; it also is
 #: what a row holds.
 BLOCK_CHARS = 12 << 20
-BUCKETS, PLACES = 32749, 150011
-NONE = 1 << 40
+#: Bits of an id (17), and of an id with the bits of a place above it (28).
+MASK, PIECE = (1 << 17) - 1, (1 << 45) - 1
+#: Length of a slice up to the end.
+REST = 1 << 30
+#: A rank that stands for none; a state's value of that rank; an entry of the rank map that no pair has.
+NONE, EMPTY = 1 << 17, 1 << 40
+HIGH = NONE << 45
 
 
 def read_ranks(file: bytes) -> dict[bytes, int]:
@@ -67,74 +72,64 @@ def let(value: Column, body) -> Column:
 
 
 class RankMap:
-    """The literal rank map, a hash table without collisions in two constant arrays.
+    """The literal rank map: two constant arrays, without collisions.
 
-    A pair's bucket gives a shift, and shift and key give the one place where the pair can stand. Entries
-    hold key and rank, so a pair that is none is recognised.
+    The pairs of a left piece stand at its shift plus the right piece's id, the shifts being such that no two
+    pairs meet. An entry holds its left piece over the rank, so what another piece left there, or nothing,
+    gives a number above all ranks.
     """
 
     def __init__(self, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]):
-        buckets: list[list[tuple[int, int]]] = [[] for _ in range(BUCKETS)]
-        for (a, b), rank in pairs.items():
-            buckets[(a * 7919 + b * 104729) % BUCKETS].append((a << 16 | b, rank))
-        # As many places as keep the pairs of each bucket apart before they are shifted.
-        size = next(n for n in range(PLACES, 2 * PLACES)
-                    if all(len({k % n for k, _ in bucket}) == len(bucket) for bucket in buckets))
-        shifts, entries, free = [0] * BUCKETS, [-1] * size, 0
-        for at in sorted(range(BUCKETS), key=lambda i: -len(buckets[i])):
-            places = [key % size for key, _ in buckets[at]]
-            if not places:
-                break
-            if len(places) == 1:  # single pairs come last and fill the gaps in order
-                while entries[free] >= 0:
-                    free += 1
-                shift = (free - places[0]) % size
-            else:  # strides over the whole table; the lower places are full early
-                shift = at * 40503 % size
-                while any(entries[(p + shift) % size] >= 0 for p in places):
-                    shift = (shift + 62143) % size
-            shifts[at] = shift
-            for p, (key, rank) in zip(places, buckets[at]):
-                entries[(p + shift) % size] = key << 17 | rank
-        self.size = size
-        self.shifts, self.entries = literal(shifts, "array<bigint>"), literal(entries, "array<bigint>")
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
-
-    def rank(self, a: Column, b: Column) -> Column:
-        """Rank of the pair of pieces ``a`` and ``b`` (bigint), ``NONE`` if they are none."""
-        key = a * 65536 + b
-        shift = self.shifts[((a * 7919 + b * 104729) % BUCKETS).cast("int")]
-        return let(self.entries[((key + shift) % self.size).cast("int")],
-                   lambda e: F.when(F.shiftright(e, 17) == key, e.bitwiseAND(131071)).otherwise(F.lit(NONE)))
+        assert len(ranks) < MASK, "ids have 17 bits"
+        width = max(ranks.values()) + 2  # the last id is the edge of a word, in no pair
+        rows: dict[int, list[int]] = {}
+        for a, b in pairs:
+            rows.setdefault(a, []).append(b)
+        span = 3 * len(pairs) + 1
+        shifts, entries = np.zeros(width, np.int64), np.full(span + width, EMPTY)
+        for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+            rights = np.array(rows[a])
+            for first in range(span):  # windows of shifts, each somewhere else
+                tried = (a * 40503 + first * 62143 + np.arange(512)) % span
+                free = (entries[tried[:, None] + rights] == EMPTY).all(axis=1)
+                if free.any():
+                    break
+            shifts[a] = shift = tried[free.argmax()]
+            entries[rights + shift] = [a << 20 | pairs[a, b] for b in rows[a]]
+        self.shifts, self.entries = literal(shifts.tolist(), "array<bigint>"), literal(entries.tolist(), "array<bigint>")
+        self.edge = HIGH | width - 1
+        byte = [ranks[bytes([b])] for b in range(256)]
+        self.bytes = literal([min(pairs.get((a, b), NONE), NONE) << 45 | a for a in byte for b in [*byte, width - 1]], "array<bigint>")
+
+    def pack(self, piece: Column, right: Column) -> Column:
+        """``piece`` (place and id) under the rank of its pair with the id ``right``."""
+        left = piece.bitwiseAND(MASK)
+        rank = self.entries[self.shifts[left] + right].bitwiseXOR(F.shiftleft(left, 20))
+        return F.shiftleft(F.least(rank, F.lit(NONE)), 45).bitwiseOR(piece)
 
 
 def fold(word: Column, ranks: RankMap) -> Column:
-    """Ids of one word, an array of its bytes (0 to 255). The state is the pieces' ids and their pairs' ranks."""
-    ids = F.transform(word, lambda b: ranks.bytes[b.cast("int")])
-
-    def start(ids: Column) -> Column:
-        pairs = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))),
-                            lambda a, i: ranks.rank(a, ids[i + 1]))
-        return F.struct(ids.alias("ids"), pairs.alias("pairs"))
-
-    def merge(s: Column, least: Column) -> Column:
-        def at(k: Column) -> Column:  # k: the pair's place, from 1
-            ids, pairs, n = s["ids"], s["pairs"], F.size(s["pairs"])
-            none = F.array().cast("array<bigint>")
-            left = F.when(k > 1, F.array(ranks.rank(ids[k - 2], least))).otherwise(none)
-            right = F.when(k < n, F.array(ranks.rank(least, ids[k + 1]))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), k - 1), F.array(least), F.slice(ids, k + 2, n)).alias("ids"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, n)).alias("pairs"))
-
-        return let(F.array_position(s["pairs"], least).cast("int"), at)
+    """Ids of one word, an array of its bytes (0 to 255).
+
+    The state is an array of the pieces between two edges: each one's id, above it the place of its first
+    byte, above that the rank of the pair that it begins. So the least is the leftmost pair of lowest rank.
+    """
+    edge = F.lit(ranks.edge)
+    pieces = F.transform(word, lambda b, i: ranks.bytes[b * F.lit(257) + F.coalesce(F.get(word, i + 1).cast("int"), F.lit(256))]
+                         .bitwiseOR(F.shiftleft(i.cast("bigint"), 17)))
+
+    def merge(s: Column, least: Column, at: Column) -> Column:  # at: the pair's place in the state, from 1
+        new = F.shiftright(least, 45)  # a pair's rank is the id of what it merges to
+        lefts = F.array(s[at - 2].bitwiseAND(PIECE), least.bitwiseAND(PIECE - MASK).bitwiseOR(new))
+        merged = F.zip_with(lefts, F.array(new, s[at + 1].bitwiseAND(MASK)), ranks.pack)
+        return F.concat(F.slice(s, F.lit(1), at - 2), merged, F.slice(s, at + 2, F.lit(REST)))
 
     def step(s: Column, _: Column) -> Column:
-        return let(F.coalesce(F.array_min(s["pairs"]), F.lit(NONE)),
-                   lambda least: F.when(least == F.lit(NONE), s).otherwise(merge(s, least)))
+        return let(F.array_min(s), lambda least: F.when(least >= F.lit(HIGH), s).otherwise(
+            let(F.array_position(s, least).cast("int"), lambda at: merge(s, least, at))))
 
-    return let(ids, lambda ids: F.aggregate(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))),
-                                            start(ids), step, lambda s: s["ids"]))
+    return F.aggregate(F.slice(word, F.lit(2), F.lit(REST)), F.concat(F.array(edge), pieces, F.array(edge)), step,
+                       lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda e: e.bitwiseAND(MASK).cast("int")))
 
 
 BLOCK = "doc_ids array<bigint>, lengths array<int>, places array<int>, words array<array<smallint>>"
@@ -188,7 +183,7 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_
     pairs = pair_ranks(ranks)
     table, whole = RankMap(ranks, pairs), out_of_reach(ranks, pairs)
     taken = literal([list(w) for w in whole], "array<array<smallint>>")
-    values = literal(list(whole.values()), "array<bigint>")
+    values = literal(list(whole.values()), "array<int>")
 
     def ids(word: Column) -> Column:
         if not whole:
@@ -196,7 +191,7 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_
         return let(F.array_position(taken, word).cast("int"),
                    lambda k: F.when(k > 0, F.array(values[k - 1])).otherwise(fold(word, table)))
 
-    return blocks(docs, pattern, block_chars).select("doc_ids", "lengths", "places", F.transform("words", ids).cast("array<array<int>>").alias("ids"))
+    return blocks(docs, pattern, block_chars).select("doc_ids", "lengths", "places", F.transform("words", ids).alias("ids"))
 
 
 def per_document(encoded: DataFrame, finish, added: str) -> DataFrame:
