@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from siftwell.llm.vocab import read_bytes
 
 #: Text of a block in characters, unless one document is longer. More text shares more words; it also is
 #: what a row holds.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 32 << 20
 #: Bits of an id (17), and of an id with the bits of a place above it (28).
 MASK, PIECE = (1 << 17) - 1, (1 << 45) - 1
 #: Length of a slice up to the end.
@@ -34,6 +35,8 @@ REST = 1 << 30
 #: A rank that stands for none; a state's value of that rank; an entry of the rank map that no pair has.
 NONE, EMPTY = 1 << 17, 1 << 40
 HIGH = NONE << 45
+#: Patterns with no match that runs from another character to white space.
+CUT_BY_SPACES = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 def read_ranks(file: bytes) -> dict[bytes, int]:
@@ -137,9 +140,13 @@ BLOCK = "doc_ids array<bigint>, lengths array<int>, places array<int>, words arr
 
 def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents (doc_id, text) as blocks: doc_ids, how many words each document has, the words' numbers
-    one document after the other, and the distinct words as byte arrays."""
+    one document after the other, and the distinct words as byte arrays.
+
+    Where no match of the pattern runs from another character to white space, texts can be cut there before
+    they are matched, and each distinct part is matched once. This is known of ``CUT_BY_SPACES`` only.
+    """
     schema = T._parse_datatype_string(BLOCK)
-    arrow = to_arrow_schema(schema)
+    arrow, by_spaces = to_arrow_schema(schema), pattern in CUT_BY_SPACES
 
     def run(batches):
         cut = regex.compile(pattern)
@@ -149,12 +156,33 @@ def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Dat
                 self[word] = n = len(self)
                 return n
 
+        class Chunks(dict):
+            """Numbers of the words of a text's part between spaces, the space before it included, as bytes.
+            None if words could reach beyond it: if it is empty or ends with white space."""
+
+            def __init__(self, lead, numbers):
+                self.lead, self.numbers = lead, numbers
+
+            def __missing__(self, part):
+                if part.isalpha():
+                    got = array("i", (self.numbers[self.lead + part],)).tobytes()
+                elif part and not part[-1].isspace():
+                    got = array("i", map(self.numbers.__getitem__, cut.findall(self.lead + part))).tobytes()
+                else:
+                    got = None
+                self[part] = got
+                return got
+
         def block(rows):
             numbers, lengths, places = Numbers(), [], []
+            first, later = Chunks("", numbers), Chunks(" ", numbers)
             for _, text in rows:
-                words = cut.findall(text)
-                lengths.append(len(words))
-                places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                parts = text.split(" ")
+                found = [first[parts[0]], *map(later.__getitem__, parts[1:])] if by_spaces else [None]
+                if None in found:
+                    found = [array("i", map(numbers.__getitem__, cut.findall(text))).tobytes()]
+                places.append(np.frombuffer(b"".join(found), np.int32))
+                lengths.append(len(places[-1]))
             raw = [w.encode("utf-8", "surrogatepass") for w in numbers]
             ends = np.cumsum([0, *map(len, raw)])
             words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype("i2")))
