@@ -173,35 +173,40 @@ def blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Dat
                 self[part] = got
                 return got
 
-        def block(rows):
-            numbers, lengths, places = Numbers(), [], []
-            first, later = Chunks("", numbers), Chunks(" ", numbers)
-            for _, text in rows:
+        class Block:
+            def __init__(self):
+                self.numbers, self.doc_ids, self.places, self.size = Numbers(), [], [], 0
+                self.first, self.later = Chunks("", self.numbers), Chunks(" ", self.numbers)
+
+            def add(self, doc_id, text):
                 parts = text.split(" ")
-                found = [first[parts[0]], *map(later.__getitem__, parts[1:])] if by_spaces else [None]
+                found = [self.first[parts[0]], *map(self.later.__getitem__, parts[1:])] if by_spaces else [None]
                 if None in found:
-                    found = [array("i", map(numbers.__getitem__, cut.findall(text))).tobytes()]
-                places.append(np.frombuffer(b"".join(found), np.int32))
-                lengths.append(len(places[-1]))
-            raw = [w.encode("utf-8", "surrogatepass") for w in numbers]
-            ends = np.cumsum([0, *map(len, raw)])
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype("i2")))
-            flat = np.concatenate(places) if places else np.empty(0, np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())),
-                 pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat)),
-                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], schema=arrow)
-
-        rows, size = [], 0
+                    found = [array("i", map(self.numbers.__getitem__, cut.findall(text))).tobytes()]
+                self.doc_ids.append(doc_id)
+                self.places.append(np.frombuffer(b"".join(found), np.int32))
+                self.size += len(text)
+
+            def row(self):
+                del self.first, self.later  # what they hold is large
+                raw = [w.encode("utf-8", "surrogatepass") for w in self.numbers]
+                ends = pa.array(np.cumsum([0, *map(len, raw)]), pa.int32())
+                words = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), np.uint8).astype("i2")))
+                flat = np.concatenate(self.places)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([list(map(len, self.places))], pa.list_(pa.int32())),
+                     pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat)),
+                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], schema=arrow)
+
+        block = Block()
         for batch in batches:
-            for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                rows.append((row[0], row[1] or ""))
-                size += len(rows[-1][1])
-                if size >= block_chars:
-                    yield block(rows)
-                    rows, size = [], 0
-        if rows:
-            yield block(rows)
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):  # one text at a time is taken from Arrow
+                block.add(doc_id.as_py(), text.as_py() or "")
+                if block.size >= block_chars:
+                    yield block.row()
+                    block = Block()
+        if block.doc_ids:
+            yield block.row()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -222,8 +227,9 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_
     return blocks(docs, pattern, block_chars).select("doc_ids", "lengths", "places", F.transform("words", ids).alias("ids"))
 
 
-def per_document(encoded: DataFrame, finish, added: str) -> DataFrame:
-    """doc_id and what ``finish`` returns (the columns ``added``) for the ids of each document."""
+def per_document(encoded: DataFrame, prepare, finish, added: str) -> DataFrame:
+    """doc_id and, in the columns ``added``, what ``finish`` returns for the ids of each document, the numbers
+    of its words in their block, and what ``prepare`` made of the ids of each word of the block."""
     schema = T._parse_datatype_string("doc_id bigint, " + added)
     arrow = to_arrow_schema(schema)
 
@@ -233,14 +239,15 @@ def per_document(encoded: DataFrame, finish, added: str) -> DataFrame:
                 take = lambda c: batch.column(c).slice(r, 1).flatten()
                 words, places = take("ids"), take("places").to_numpy()
                 sizes = words.value_lengths().to_numpy()
-                firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+                ends = np.cumsum(sizes)
+                firsts = ends - sizes
                 flat = words.flatten().to_numpy().astype("<u4")
-                out, at = [], 0
+                prepared, out, at = prepare(flat, ends), [], 0
                 for n in take("lengths").to_pylist():
                     here = places[at:at + n]
                     size = sizes[here]
                     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    out.append(finish(flat[np.repeat(firsts[here], size) + step]))
+                    out.append(finish(flat[np.repeat(firsts[here], size) + step], here, prepared))
                     at += n
                 columns = [take("doc_ids")] + [pa.array([o[k] for o in out], arrow.field(k + 1).type) for k in range(len(arrow) - 1)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -255,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     rows. Special tokens have no meaning. A word of n bytes takes about n^2 steps at worst.
     """
     encoded = encode_blocks(docs, read_ranks(read_bytes(vocabulary)), pattern)
-    return per_document(encoded, lambda ids: (ids.astype("i4"),), "ids array<int>")
+    return per_document(encoded, lambda ids, ends: None, lambda ids, here, _: (ids.astype("i4"),), "ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -274,10 +281,18 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
     pieces: dict[int, bytes] = {}
 
-    def finish(ids: np.ndarray) -> tuple:
+    def decoded(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The binary pieces of every word of a block."""
         if not pieces:
             pieces.update((i, p) for p, i in shipped.value.items())
-        decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        parts, start, words = list(map(pieces.__getitem__, ids.tolist())), 0, []
+        for end in ends.tolist():
+            words.append(b"".join(parts[start:end]))
+            start = end
+        return words
+
+    def finish(ids: np.ndarray, here: np.ndarray, words: list[bytes]) -> tuple:
+        text = b"".join(map(words.__getitem__, here.tolist()))
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    return per_document(encode_blocks(docs, ranks, pattern), finish, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return per_document(encode_blocks(docs, ranks, pattern), decoded, finish, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
