@@ -184,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def components_of(fingerprints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """_fp, component_id for every distinct _fp of stored ``fingerprints`` (doc_id, _fp).
+    """_fp, component_id, root for every distinct _fp of stored ``fingerprints`` (doc_id, _fp).
 
     component_id is the smallest doc_id of all documents linked to one another, itself included; null
     only where none of them has one.
@@ -195,7 +195,7 @@ def components_of(fingerprints: DataFrame, threshold: int = THRESHOLD) -> DataFr
                    .select("_fp", "first", "node", F.coalesce("root", "_fp").alias("root")), "roots")
     linked = named.join(named.where("node is not null").select(F.col("root").alias("r")).distinct(), F.col("root") == F.col("r"), "left_semi")
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
-    return named.join(smallest, "root", "left").select("_fp", F.coalesce("least", "first").alias("component_id"))
+    return named.join(smallest, "root", "left").select("_fp", F.coalesce("least", "first").alias("component_id"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,13 +214,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay when one of each component does: the row whose doc_id is the component's
     smallest; of rows that repeat it, the one with the smallest fingerprint and text. All columns are kept.
 
-    Documents whose component has no doc_id at all are told apart by fingerprint.
+    A doc_id that repeats in two components stays in both; documents whose component has no doc_id at all
+    are told apart by fingerprint.
     """
     marked = with_fingerprints(with_row(docs, "doc_id", "text"), keep=["doc_id", "_row"])
     pairs = stored(marked.select("doc_id", "_fp"), "fingerprints")
     found = components_of(pairs)
     stays = pairs.join(found, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_own")) \
+        .groupBy("component_id", "root", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_own")) \
         .agg(F.min("_fp").alias("_stay")).select(F.col("component_id").alias("_id"), "_stay")
     kept = marked.join(stays, (F.col("_fp") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_fp"]).select("_row.*")
