@@ -1,8 +1,9 @@
 """Secrets in texts, told from copied examples by who owns them (operator 10); DataFrame functions only.
 
 Three fixed kinds are found by pattern. The method adds spans: every long mixed token is a candidate; a
-candidate's hash is counted over the corpus by distinct repositories and owners. Widely copied ones are
-examples; one that belongs to few owners and few repositories looks live and is added as kind ``live``.
+candidate's hash is counted over the corpus by distinct owners. One that a single owner has, in however
+many documents, looks live and is added as kind ``live``; those of more owners are copied examples, unless
+the caller allows several owners and the repositories are few.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "live"]
 
-#: Candidates: tokens of 20 to 200 characters; the rules of ``mixed`` apply to them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
+#: Candidates: tokens of 20 characters or more; the rules of ``mixed`` apply to them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])"
 MASK = "[SECRET]"
 
 
@@ -70,19 +71,24 @@ def scan(docs: DataFrame) -> DataFrame:
 def ownership(scanned: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """hash, repositories, owners: in how many distinct ones a candidate occurs (null is one of its own).
 
-    Distinct triples first, then two counts that combine before they move, so a candidate that every
-    document copies loads no single task.
+    Exact copies of a text count as one repository, the smallest of theirs, but for each owner that has one.
+    Distinct tuples first, then counts that combine before they move, so a candidate that every document
+    copies loads no single task.
     """
-    triples = scanned.select(F.explode("_found.hash").alias("hash"), repository.cast("string").alias("repository"),
-                             owner.cast("string").alias("owner")).distinct()
-    each = triples.groupBy("hash", "owner").agg(F.count("*").alias("pairs"))
-    return each.groupBy("hash").agg(F.sum("pairs").alias("repositories"), F.count("*").alias("owners"))
+    found = scanned.select(F.explode("_found.hash").alias("hash"), "_key", repository.cast("string").alias("repository"),
+                           owner.cast("string").alias("owner"))
+    places = found.groupBy("hash", "_key").agg(F.min("repository").alias("repository")).select("hash", "repository").distinct() \
+        .groupBy("hash").agg(F.count("*").alias("repositories"))
+    return found.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners")).join(places, "hash")
 
 
 def live(scanned: DataFrame, repository: Column, owner: Column, most_repositories: int, most_owners: int) -> DataFrame:
-    """_key and _live, the (start, kind, end) of candidates that look live, for texts that hold any."""
+    """_key and _live, the (start, kind, end) of candidates that look live, for texts that hold any.
+
+    One owner is enough; of two to ``most_owners`` owners, only those in few repositories."""
+    few = F.col("repositories") <= most_repositories
     specific = ownership(scanned, repository, owner).where(
-        (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).select("hash")
+        (F.col("owners") <= most_owners) & ((F.col("owners") == 1) | few)).select("hash")
     places = scanned.where(F.size("_found") > 0).select("_key", F.explode("_found").alias("c")) \
         .select("_key", "c.hash", "c.start", "c.end").distinct()
     item = F.struct(F.col("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("end"))
@@ -99,7 +105,7 @@ def find(docs: DataFrame, repository: Column, owner: Column, most_repositories:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of ``docs`` (doc_id, text, what ``repository`` and
     ``owner`` need; more columns are dropped).
 
-    One row for each row. Null and empty texts have no spans; repeated rows count as one repository. The
+    One row for each row. Null and empty texts have no spans; exact copies count as one repository. The
     text is read once; what is found in it is stored without it.
     """
     rows = docs.select("doc_id", "text", repository.alias("_repository"), owner.alias("_owner"))
