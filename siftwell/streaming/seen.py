@@ -65,13 +65,15 @@ class FirstSeen(StatefulProcessor):
 
 
 def first_seen(stream: DataFrame, time: str = "scraped_at", keys=("user_id", "fingerprint"),
-               days: int = RETENTION_DAYS, lateness: str = "1 day") -> DataFrame:
+               days: int = RETENTION_DAYS, lateness: str | None = None) -> DataFrame:
     """The first row of each key, then the first one ``days`` or more after it, and so on.
 
-    Rows later than ``lateness`` behind the newest are dropped, as their key's time may be forgotten.
+    Rows later than ``lateness`` (``days`` by default) behind the newest are dropped, as their key's time may
+    be forgotten; a key is kept for ``days`` and the lateness. A late row of a known key is a repeat.
     Columns stay; ``stream`` must not have one called _life or _ms. The session must use the RocksDB state
     store (``session.SETTINGS`` does).
     """
+    lateness = f"{days} days" if lateness is None else lateness
     return stream.withWatermark(time, lateness).groupBy(*keys).transformWithStateInPandas(
         FirstSeen(time, days * 86_400_000), stream.schema, "append", "EventTime")
 

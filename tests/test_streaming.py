@@ -119,3 +119,14 @@ def test_throttle_over_triggers_with_backlog_and_expiry(spark, replay):
             if not late:
                 free[uid] = due + slot
     assert sum(r.expired for r in got.values()) > 0
+
+
+def test_first_sights_that_come_late_are_kept(spark, replay):
+    run, finish = replay
+    rows = lambda *r: spark.createDataFrame(
+        [("u", k, START + timedelta(days=d)) for k, d in r], "user_id string, fingerprint string, scraped_at timestamp")
+    stream = run([rows(("a", 20)), rows(("b", 21)), rows(("c", 22)), rows(("late", 9), ("later", 19), ("a", 21)),
+                  rows(("late", 12), ("lost", 1)), rows(("late", 23), ("later", 22))])
+    got = finish(seen.first_seen(stream))
+    assert sorted((r.fingerprint, (r.scraped_at - START).days) for r in got.collect()) == [
+        ("a", 20), ("b", 21), ("c", 22), ("late", 9), ("late", 23), ("later", 19)]
