@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_pairs, packing, quality, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
+from siftwell.llm import byte_pairs, packing, periodic, quality, ring, secrets, simhash, token_counts, token_files, toxicity, vptree
 from siftwell.llm.common import whole
 from siftwell.session import scratch_path, use_utc
 
@@ -97,3 +97,17 @@ def op8_perplexity_rules(spark, sf_dir):
 def op4_byte_pair_round_trip(spark, sf_dir):
     return byte_pairs.digests(table(spark, sf_dir, "documents"),
                               public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    docs = periodic.with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.col("runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic.find_runs(docs, keep=["doc_id"]).withColumn("best", longest).select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
