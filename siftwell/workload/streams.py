@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.session import keyed_state, scratch_path
+from siftwell.sources import folders
+from siftwell.streaming import seen
 from siftwell.streaming.clicks import daily_activity, running_clicks
 from siftwell.streaming.ingest import start_ingest, stored_ledger
-from siftwell.streaming.seen import drop_late, first_seen
+from siftwell.streaming.seen import drop_late
 from siftwell.streaming.throttle import throttle
 from siftwell.workload import query
 from siftwell.workload import inputs as I
@@ -47,32 +49,46 @@ def run_complete(stream, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def replayed(table, name, order, parts):
-    """Stream of a whole table from ``parts`` files, one a trigger, cut at quantiles of ``order``."""
+def replayed(table, name, trigger):
+    """Stream of a whole table with one file for each value of ``trigger`` (from 0), read one a trigger in that order.
+
+    Written once; the files' times give the order, as the file source takes older files first."""
     spark = table.sparkSession
     path = scratch_path(spark, name)
-    cuts = table.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).head()[0]
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = table if low is None else table.where(F.col(order) > low)
-        part = part if high is None else part.where(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    table.withColumn("_trigger", trigger).repartition("_trigger").write.partitionBy("_trigger").parquet(path)
+    for folder in folders.children(spark, path):
+        if "=" in folder:
+            for part in folders.children(spark, f"{path}/{folder}"):
+                folders.set_time(spark, f"{path}/{folder}/{part}", 1_700_000_000_000 + 1000 * int(folder.split("=")[1]))
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 
-@query("""
-WITH RECURSIVE firsts AS (
-  SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL
+#: Every seventh event arrives one to three triggers (three days each) after its time's.
+ARRIVAL_SQL = """least(9, datediff('day', TIMESTAMP '2024-01-01', ts) // 3
+  + CASE WHEN event_id % 7 = 0 THEN 1 + event_id % 3 ELSE 0 END)"""
+
+
+@query(f"""
+WITH RECURSIVE arrived AS (
+  SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY {ARRIVAL_SQL}, ts) AS n FROM events),
+firsts AS (
+  SELECT user_id, event_type, ts, n FROM arrived WHERE n = 1
   UNION ALL
-  SELECT * FROM (SELECT f.user_id, f.event_type, (SELECT min(e.ts) FROM events e
-    WHERE e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts >= f.ts + INTERVAL 14 DAY) AS ts FROM firsts f) WHERE ts IS NOT NULL)
+  SELECT * FROM (SELECT f.user_id, f.event_type, min_by(a.ts, a.n) AS ts, min(a.n) AS n FROM firsts f
+    JOIN arrived a ON a.user_id = f.user_id AND a.event_type = f.event_type AND a.n > f.n AND a.ts >= f.ts + INTERVAL 14 DAY
+    GROUP BY f.user_id, f.event_type, f.n))
 SELECT user_id, sha256(event_type) AS fingerprint, strftime(ts, '%Y-%m-%d %H:%M:%S') AS first_at FROM firsts""")
 def stream_dedup(spark, sf):
-    """First sights of user and content over ten triggers; a content counts as new again after 14 days."""
-    rows = replayed(I.table(spark, sf, "events").select(
-        "user_id", F.sha2("event_type", 256).alias("fingerprint"), F.col("ts").cast("timestamp").alias("scraped_at")), "events", "scraped_at", 10)
-    with keyed_state(spark):
-        out = run_to_files(first_seen(rows), "dedup")
-    return out.select("user_id", "fingerprint", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
+    """First sights of user and content over ten triggers, some rows late; a content counts as new again after 14 days."""
+    arrival = F.expr(ARRIVAL_SQL.replace("datediff('day', TIMESTAMP '2024-01-01', ts) // 3", "datediff(scraped_at, DATE '2024-01-01') div 3")
+                     .replace("event_id", "_id"))
+    rows = I.table(spark, sf, "events").select(
+        "user_id", F.sha2("event_type", 256).alias("fingerprint"), F.col("ts").cast("timestamp").alias("scraped_at"), F.col("event_id").alias("_id"))
+    stream = replayed(rows, "events", arrival)
+    root = scratch_path(spark, "dedup")
+    seen.start_first_seen(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return seen.seen_rows(spark, f"{root}/out", stream.schema).select(
+        "user_id", "fingerprint", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
 
 
 @query(I.with_(I.CLICKS_SQL) + """

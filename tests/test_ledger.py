@@ -96,18 +96,18 @@ def test_rank_per_key_with_a_hot_key(spark):
         assert r.r == by_key[r.k]
 
 
-def test_attach_salted_equals_plain(spark):
+def test_attach_joins_by_key_without_copying_attributes(spark):
     rows = spark.range(500).select(F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("u"), F.col("id") % 20)).alias("u"), "id")
     users = spark.createDataFrame([(f"u{i}", i) for i in range(15)] + [("a", 99)], "u string, n int")
-    plain = sorted(map(tuple, rows.join(users, "u", "left").collect()), key=repr)
+    plain = sorted(map(tuple, rows.join(F.broadcast(users), "u", "left").collect()), key=repr)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        salted = keyed.attach(rows, users, "u", how="left")
-        assert "_salt" in salted._jdf.queryExecution().toString()
-        assert sorted(map(tuple, salted.collect()), key=repr) == plain
-        inner = keyed.attach(rows, users, "u")
-        assert inner.count() == rows.join(users, "u").count()
+        joined = keyed.attach(rows, users, "u", how="left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Generate" not in plan and "Expand" not in plan and "Broadcast" not in plan
+        assert sorted(map(tuple, joined.collect()), key=repr) == plain
+        assert keyed.attach(rows, users, "u").count() == sum(r[2] is not None for r in plain)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

@@ -1,5 +1,6 @@
 """Streams over several triggers against plain simulations."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -32,12 +33,25 @@ def replay(spark, tmp_path):
     return run, finish
 
 
-def test_first_seen_across_triggers(spark, replay):
-    run, finish = replay
+@pytest.fixture(params=["sights", "state store"])
+def sights(request, spark, replay, tmp_path):
+    """First sights of a replayed stream, by either form."""
+
+    def finish(stream):
+        if request.param == "state store":
+            return replay[1](seen.first_seen(stream))
+        seen.start_first_seen(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return seen.seen_rows(spark, str(tmp_path / "out"), stream.schema)
+
+    return finish
+
+
+def test_first_seen_across_triggers(spark, replay, sights):
+    run, finish = replay[0], sights
     rows = lambda day, *keys: spark.createDataFrame(
         [("u", k, START + timedelta(days=day)) for k in keys], "user_id string, fingerprint string, scraped_at timestamp")
     stream = run([rows(0, "a", "b", "a"), rows(1, "b", "c"), rows(13, "a"), rows(14, "a", "a"), rows(20, "b", "a"), rows(40, "b")])
-    got = finish(seen.first_seen(stream))
+    got = finish(stream)
     assert sorted((r.fingerprint, (r.scraped_at - START).days) for r in got.collect()) == [
         ("a", 0), ("a", 14), ("b", 0), ("b", 20), ("b", 40), ("c", 1)]
 
@@ -121,12 +135,68 @@ def test_throttle_over_triggers_with_backlog_and_expiry(spark, replay):
     assert sum(r.expired for r in got.values()) > 0
 
 
-def test_first_sights_that_come_late_are_kept(spark, replay):
-    run, finish = replay
+def test_first_sights_that_come_late_are_kept(spark, replay, sights):
+    run, finish = replay[0], sights
     rows = lambda *r: spark.createDataFrame(
         [("u", k, START + timedelta(days=d)) for k, d in r], "user_id string, fingerprint string, scraped_at timestamp")
     stream = run([rows(("a", 20)), rows(("b", 21)), rows(("c", 22)), rows(("late", 9), ("later", 19), ("a", 21)),
                   rows(("late", 12), ("lost", 1)), rows(("late", 23), ("later", 22))])
-    got = finish(seen.first_seen(stream))
+    got = finish(stream)
     assert sorted((r.fingerprint, (r.scraped_at - START).days) for r in got.collect()) == [
         ("a", 20), ("b", 21), ("c", 22), ("late", 9), ("late", 23), ("later", 19)]
+
+
+def plain_sights(waves, days, lateness):
+    """First sights of (key, day) rows in waves, one after the other."""
+    since, newest, out = {}, None, []
+    for wave in waves:
+        for key, day in sorted(wave, key=lambda r: r[1]):
+            if newest is not None and day < newest - lateness:
+                continue
+            if key not in since or day >= since[key] + days:
+                since[key] = day
+                out.append((key, day))
+        newest = max([d for _, d in wave] + ([newest] if newest is not None else []))
+    return sorted(out, key=repr)
+
+
+def test_shuffled_replay_with_null_keys_and_long_batches(spark, replay, tmp_path):
+    random.seed(5)
+    waves = [[(random.choice("abcdefgh") if random.random() < 0.9 else None, max(0, 12 * w + random.randrange(-15, 40))) for _ in range(60)]
+             for w in range(6)]
+    frames = [spark.createDataFrame([(k, START + timedelta(days=d)) for k, d in wave], "k string, at timestamp").repartition(3)
+              for wave in waves]
+    stream = replay[0](frames)
+    seen.start_first_seen(stream, str(tmp_path / "out"), str(tmp_path / "state"), time="at", keys=("k",),
+                          days=7, lateness_days=20).awaitTermination()
+    got = [(r.k, (r["at"] - START).days) for r in seen.seen_rows(spark, str(tmp_path / "out"), stream.schema).collect()]
+    assert sorted(got, key=repr) == plain_sights(waves, 7, 20)
+    newest = max(d for wave in waves[:-1] for _, d in wave)  # at the last micro-batch
+    old = seen.forgotten(spark, str(tmp_path / "out"))
+    assert old == [f"batch_id={i}" for i, wave in enumerate(waves) if max(d for _, d in wave) < newest - 27]
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(
+        [(k, START + timedelta(days=d)) for k, d in r], "k string, at timestamp")
+    out = str(tmp_path / "out")
+    sights = seen.Sights(out, rows(("a", 0)).schema, "at", ("k",))
+    for batch_id, batch in [(0, rows(("a", 0), ("b", 1))), (1, rows(("a", 3), ("c", 4))), (1, rows(("a", 3), ("c", 4))), (2, rows(("c", 5), ("b", 15)))]:
+        seen.first_sights(batch, sights, batch_id, 14, timedelta(days=14))
+    got = seen.seen_rows(spark, out, rows(("a", 0)).schema).collect()
+    assert sorted((r.k, (r["at"] - START).days) for r in got) == [("a", 0), ("b", 1), ("b", 15), ("c", 4)]
+
+
+def test_many_known_keys_are_asked_by_a_join_that_broadcasts_none(spark):
+    rows = spark.range(50).select(F.concat(F.lit("k"), F.col("id") % 20).alias("k"), F.lit(START).cast("timestamp").alias("at"))
+    known = spark.range(10, 5000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(START - timedelta(days=3)).cast("timestamp").alias("_since"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(r.k for r in seen.anti_known(rows, known, ("k",), "at", 14).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = seen.anti_known(rows, known, ("k",), "at", 14)
+        plan = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "LeftAnti" in plan
+        assert sorted(r.k for r in asked.collect()) == want == sorted(f"k{i % 20}" for i in range(50) if i % 20 < 10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
