@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _columns(names) -> list[Column]:
@@ -55,6 +56,29 @@ def rank_per_key(
     )
 
 
+def split_buckets(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
+                  limit: int, parts: int = 64) -> tuple[DataFrame, Column]:
+    """``df`` with column _cuts, and the number of a row's range among them as a further bucket.
+
+    Needed where a bucket holds many rows of one moment, which no time bucket splits. Buckets of more than
+    ``limit`` rows that share all but the last ``order`` column are cut into ``parts`` ranges of that one, at
+    approximate quantiles (ranges must not decrease along the order, so others stay whole). Values that are
+    not numbers are left as they are.
+    """
+    by = order[-1]
+    if not isinstance(df.schema[by].dataType, T.NumericType):
+        return df.withColumn("_cuts", F.lit(None).cast("array<bigint>")), F.lit(0)
+    marked, group = df.withColumn("_moment", bucket), [*keys, "_moment"]
+    sizes = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *(f(c).alias(f"_{n}_{c}") for c in order[:-1]
+                                                                       for n, f in (("low", F.min), ("high", F.max))))
+    for c in order[:-1]:
+        sizes = sizes.where(F.col(f"_low_{c}") == F.col(f"_high_{c}"))
+    big = sizes.where(F.col("_n") > limit).select(*group)
+    cuts = marked.join(big, group, "left_semi").groupBy(*group).agg(
+        F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    return marked.join(cuts, group, "left").drop("_moment"), F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(by))), F.lit(0))
+
+
 def batch_number(rank: Column, size: int) -> Column:
     """1-based number of the fixed-size batch a rank falls into."""
     return (F.floor((rank - 1) / size) + 1).cast("bigint")

@@ -1,4 +1,10 @@
-"""At most one release per user and slot, on a stream."""
+"""At most one release per user and slot, on a stream.
+
+Two forms with the same results. ``start_throttle`` counts a micro-batch's items in groups that many tasks
+share and keeps one number a user in a table beside the releases: for users with any number of items.
+``throttle`` is a plain stream to stream step with that number in the state store; a user's arrivals of a
+trigger meet in one task.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
 from siftwell.constants import QUEUE_EXPIRY_DAYS, SLOT_MINUTES
+from siftwell.operators import queue as slots_of
+from siftwell.session import materialize
+from siftwell.sources import folders
 
 FRAME = 10_000  # rows of an output frame
 OUTPUT = T.StructType([
@@ -90,3 +100,39 @@ def throttle(queue: DataFrame, minutes: int = SLOT_MINUTES, keep_days: int = QUE
     store (``session.SETTINGS`` does)."""
     return queue.groupBy("user_id").transformWithStateInPandas(
         SlotThrottle(minutes * 60_000, keep_days * 86_400_000), OUTPUT, "append", "None")
+
+
+def release_batch(batch: DataFrame, batch_id: int, out: str, minutes: int, keep_days: float) -> None:
+    """One micro-batch of ``start_throttle``: its releases, and where its users and all others stand after it.
+
+    It reads the standing of the micro-batch before and replaces its own, so a repeated one changes nothing."""
+    spark = batch.sparkSession
+    user = batch.schema["user_id"].dataType
+    standing = f"{out}/_free/{batch_id - 1}"
+    free = spark.read.schema(T.StructType([T.StructField("user_id", user), T.StructField("free", T.LongType())])).parquet(standing) \
+        if folders.exists(spark, standing) else None
+    items = batch.select("user_id", "item_id", "enqueued_at").where(F.col("user_id").isNotNull() & F.col("enqueued_at").isNotNull())
+    grouped = slots_of.slot_groups(items, minutes, keep_days)
+    plan = materialize(slots_of.plan_groups(grouped, free), "plan")
+    slots_of.apply_plan(grouped, plan, minutes, keep_days).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    now = plan.groupBy("user_id").agg(F.max("free").alias("free")).where(F.col("free").isNotNull())
+    after = now if free is None else free.unionByName(now).groupBy("user_id").agg(F.max("free").alias("free"))
+    after.write.mode("overwrite").parquet(f"{out}/_free/{batch_id}")
+    folders.delete(spark, f"{out}/_free/{batch_id - 2}")
+
+
+def start_throttle(stream: DataFrame, out: str, checkpoint: str, minutes: int = SLOT_MINUTES,
+                   keep_days: float = QUEUE_EXPIRY_DAYS, once: bool = True):
+    """Start the query that writes release times of a stream of (user_id, item_id, enqueued_at) to ``out``;
+    ``released`` reads them. Items are served in order of arrival within a micro-batch and micro-batch after
+    micro-batch; rows without a user or an arrival are dropped."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        release_batch(batch, batch_id, out, minutes, keep_days)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def released(spark: SparkSession, out: str) -> DataFrame:
+    """What ``start_throttle`` wrote: user_id, item_id, enqueued_at, release_at, expired."""
+    return spark.read.parquet(f"{out}/batch_id=*")

@@ -1,17 +1,18 @@
 """Streaming forms, replaying whole tables from files until nothing is left."""
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.session import keyed_state, scratch_path
+from siftwell.operators.queue import releases
+from siftwell.session import scratch_path
 from siftwell.sources import folders
-from siftwell.streaming import seen
+from siftwell.streaming import seen, throttle
 from siftwell.streaming.clicks import daily_activity, running_clicks
 from siftwell.streaming.ingest import start_ingest, stored_ledger
 from siftwell.streaming.seen import drop_late
-from siftwell.streaming.throttle import throttle
 from siftwell.workload import query
 from siftwell.workload import inputs as I
 from siftwell.workload.matching import CASCADE_SQL
@@ -179,6 +180,52 @@ FROM q""")
 def stream_throttle(spark, sf):
     rows = stream_table(spark, sf, "events").select(
         "user_id", F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("enqueued_at"))
-    with keyed_state(spark):
-        out = run_to_files(throttle(rows), "throttle")
-    return out.select("item_id", "user_id", F.date_format("release_at", "yyyy-MM-dd HH:mm:ss").alias("release_at"))
+    out = scratch_path(spark, "throttle")
+    throttle.start_throttle(rows, f"{out}/releases", f"{out}/state").awaitTermination()
+    return throttle.released(spark, f"{out}/releases").select(
+        "item_id", "user_id", F.date_format("release_at", "yyyy-MM-dd HH:mm:ss").alias("release_at"))
+
+
+#: A user with a third of all items and six others, all with more items than slots; kept for four days.
+BUSY_SQL = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 + user_id % 6 END"
+#: Recursion over groups of items with one own and one last slot: f is the next free slot after each.
+EXPIRY_SQL = """
+WITH RECURSIVE items AS (SELECT event_id AS item_id, {user} AS user_id, ts, {own} AS own, {last} AS last FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, own, last ORDER BY ts, item_id) AS r FROM items),
+groups AS (SELECT user_id, own, last, count(*) AS c, row_number() OVER (PARTITION BY user_id ORDER BY own, last) AS k FROM items GROUP BY user_id, own, last),
+plan AS (
+  SELECT user_id, k, own AS first, least(greatest(last + 1 - own, 0), c) AS taken, CASE WHEN last >= own THEN own + least(last + 1 - own, c) ELSE 0 END AS f
+  FROM groups WHERE k = 1
+  UNION ALL
+  SELECT g.user_id, g.k, greatest(p.f, own), least(greatest(last + 1 - greatest(p.f, own), 0), c),
+    CASE WHEN last >= greatest(p.f, own) THEN greatest(p.f, own) + least(last + 1 - greatest(p.f, own), c) ELSE p.f END
+  FROM plan p JOIN groups g ON g.user_id = p.user_id AND g.k = p.k + 1)
+SELECT item_id, user_id, r > taken AS expired,
+  CASE WHEN r <= taken THEN strftime(make_timestamp({start} + (first + r - 1) * 1800000000), '%Y-%m-%d %H:%M:%S') END AS release_at
+FROM ranked JOIN groups USING (user_id, own, last) JOIN plan USING (user_id, k)"""
+
+
+def busy(spark, sf):
+    return I.table(spark, sf, "events").select(
+        F.expr(BUSY_SQL).cast("bigint").alias("user_id"), F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("enqueued_at"))
+
+
+@query(EXPIRY_SQL.format(user=BUSY_SQL, start=0, own="CAST(ceil((epoch_us(ts) // 1000) / 1800000.0) AS BIGINT)",
+                         last="((epoch_us(ts) // 1000) + 345600000) // 1800000"))
+def stream_throttle_expiry(spark, sf):
+    """Five triggers of users with more items than slots: most items expire, one user has a third of them."""
+    stream = replayed(busy(spark, sf), "busy", F.expr("datediff(enqueued_at, DATE '2024-01-01') div 6"))
+    out = scratch_path(spark, "throttle")
+    throttle.start_throttle(stream, f"{out}/releases", f"{out}/state").awaitTermination()
+    return throttle.released(spark, f"{out}/releases").select(
+        "item_id", "user_id", "expired", F.date_format("release_at", "yyyy-MM-dd HH:mm:ss").alias("release_at"))
+
+
+@query(EXPIRY_SQL.format(
+    user=BUSY_SQL, start="epoch_us(TIMESTAMP '2024-01-20 00:00:00')",
+    own="greatest(0, CAST(ceil((epoch_us(ts) // 1000 - epoch_ms(TIMESTAMP '2024-01-20 00:00:00')) / 1800000.0) AS BIGINT))",
+    last="CAST(floor((epoch_us(ts) // 1000 + 345600000 - epoch_ms(TIMESTAMP '2024-01-20 00:00:00')) / 1800000.0) AS BIGINT)"))
+def post_release_expiry(spark, sf):
+    """The batch form: a backlog that waits for the first slot, what it keeps too long, and what arrives later."""
+    return releases(busy(spark, sf), datetime(2024, 1, 20, tzinfo=timezone.utc)).select(
+        "item_id", "user_id", "expired", F.date_format("release_at", "yyyy-MM-dd HH:mm:ss").alias("release_at"))

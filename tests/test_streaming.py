@@ -1,7 +1,7 @@
 """Streams over several triggers against plain simulations."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -200,3 +200,52 @@ def test_many_known_keys_are_asked_by_a_join_that_broadcasts_none(spark):
         assert sorted(r.k for r in asked.collect()) == want == sorted(f"k{i % 20}" for i in range(50) if i % 20 < 10)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plain_releases(waves, slot, keep):
+    """item -> release minute, or None, of (user, item, minute) rows, wave after wave."""
+    free, out = {}, {}
+    for wave in waves:
+        for user, item, at in sorted(wave, key=lambda r: (r[2], r[1])):
+            due = max(-(-at // slot), free.get(user, 0))
+            late = due * slot - at > keep
+            out[item] = None if late else due * slot
+            if not late:
+                free[user] = due + 1
+    return out
+
+
+@pytest.mark.parametrize("keep_days", [1.0, 0.01, 0.013])
+def test_throttle_by_groups_equals_a_plain_loop(spark, replay, tmp_path, keep_days):
+    random.seed(9)
+    item = iter(range(10 ** 6))
+    waves = [[(random.choice([1, 1, 1, 2, 3]), next(item), w * 900 + random.choice([0, 0, 30, random.randrange(900)])) for _ in range(150)]
+             for w in range(3)]
+    epoch = datetime(1970, 1, 1)
+    frames = [spark.createDataFrame([(u, i, epoch + timedelta(minutes=m)) for u, i, m in wave], "user_id long, item_id long, enqueued_at timestamp")
+              .unionAll(spark.sql("SELECT null, 0L, timestamp '2024-01-01'")) for wave in waves]
+    T.start_throttle(replay[0](frames), str(tmp_path / "out"), str(tmp_path / "state"), keep_days=keep_days).awaitTermination()
+    got = {r.item_id: None if r.expired else int((r.release_at - epoch).total_seconds()) // 60 for r in T.released(spark, str(tmp_path / "out")).collect()}
+    assert got == plain_releases(waves, 30, keep_days * 1440)
+    # the last micro-batch again: the same
+    T.release_batch(frames[2], 2, str(tmp_path / "out"), 30, keep_days)
+    assert {r.item_id: None if r.expired else int((r.release_at - epoch).total_seconds()) // 60
+            for r in T.released(spark, str(tmp_path / "out")).collect()} == got
+
+
+def test_one_users_moment_is_ranked_by_many_tasks(spark):
+    from siftwell.operators import queue
+
+    rows = spark.range(4000).select((F.col("id") % 1).alias("user_id"), (F.col("id") * 7919 % 4000).alias("item_id"),
+                                    F.lit(START).cast("timestamp").alias("enqueued_at"))
+    late = spark.range(4000, 4100).select(F.lit(0).cast("bigint"), F.col("id"), F.lit(START + timedelta(hours=1)).cast("timestamp"))
+    got = queue.release_slots(rows.unionAll(late), F.lit(START).cast("timestamp"), moment_rows=1000)
+    assert [r.slot_no for r in got.orderBy("item_id").collect()] == list(range(1, 4101))
+    split, part = queue.split_buckets(rows, ["user_id"], F.date_trunc("minute", "enqueued_at"), ("enqueued_at", "item_id"), 1000)
+    sizes = [r["count"] for r in split.groupBy(part.alias("part")).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 200
+    # with expiry only as many of a moment are ranked as slots fit into the time that items are kept
+    grouped = queue.slot_groups(rows, 30, 1)
+    plan = queue.apply_plan(grouped, queue.plan_groups(grouped), 30, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert queue.releases(rows, START.replace(tzinfo=timezone.utc), keep_days=1).where("not expired").count() == 49
