@@ -16,12 +16,10 @@ def ledger_id(user="user_id", fp="fingerprint", link="job_link") -> Column:
 
 
 def last_per_link(new: DataFrame, order: str = "ord") -> DataFrame:
-    """One row per (user, link): the last row's values at the first row's position."""
-    payload = F.struct(*[c for c in new.columns if c not in ("user_id", "job_link")])
-    grouped = new.groupBy("user_id", "job_link").agg(
-        F.max_by(payload, F.col(order)).alias("_row"), F.min(order).alias("_first"))
-    return grouped.select("user_id", "job_link", "_row.*", "_first").withColumn(order, F.col("_first")) \
-        .drop("_first")
+    """(user_id, job_link, _last, _first): the places of the last and the first row of each link.
+
+    The last row's values count, at the first row's position."""
+    return new.groupBy("user_id", "job_link").agg(F.max(order).alias("_last"), F.min(order).alias("_first"))
 
 
 def insert_if_absent(new: DataFrame, ledger: DataFrame, order: str = "ord") -> DataFrame:
@@ -29,17 +27,27 @@ def insert_if_absent(new: DataFrame, ledger: DataFrame, order: str = "ord") -> D
 
     Existing rows are excluded first, then the first of the remaining rows per fingerprint wins;
     links are unique by then, so the result equals row-by-row insertion in input order. A null
-    fingerprint never conflicts.
+    fingerprint never conflicts. ``order`` tells a user's rows apart.
+
+    All of this is decided on keys and orders; the other columns of ``new`` are joined to the winners last,
+    so they move once or, where the winners are few, not at all.
     """
-    rows = last_per_link(new, order)
+    def at(side: str) -> Column:  # a link may be null, and then is a link of its own
+        return (F.col("user_id") == F.col("_user")) & F.col("job_link").eqNullSafe(F.col("_link")) & (F.col(order) == F.col(side))
+
+    light = new.select("user_id", "job_link", order, "fingerprint")
+    last = last_per_link(new, order).withColumnsRenamed({"user_id": "_user", "job_link": "_link"})
+    rows = light.join(last, at("_last")).drop("_user", "_link", "_last")
     rows = rows.join(ledger.select("user_id", "job_link"), ["user_id", "job_link"], "left_anti")
     # a row without fingerprint is its own key; existing keys and first-wins then share an exchange
     content = F.concat(F.lit("f:"), "fingerprint")
     rows = rows.withColumn("_key", F.coalesce(content, F.concat(F.lit("l:"), "job_link")))
     known = ledger.select("user_id", content.alias("_key"))
     rows = rows.join(known, ["user_id", "_key"], "left_anti")
-    rows = first_per_key(rows, ["user_id", "_key"], [order]).drop("_key")
-    return rows.withColumn("id", ledger_id())
+    winners = first_per_key(rows, ["user_id", "_key"], ["_first"]).select(
+        F.col("user_id").alias("_user"), F.col("job_link").alias("_link"), F.col(order).alias("_order"), "_first")
+    found = new.join(winners, at("_order")).withColumn(order, F.col("_first")).drop("_user", "_link", "_order", "_first")
+    return found.withColumn("id", ledger_id())
 
 
 def id_map(new: DataFrame, inserted: DataFrame, ledger: DataFrame) -> DataFrame:

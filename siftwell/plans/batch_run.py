@@ -11,8 +11,7 @@ from siftwell.operators.inference import ModelFn
 from siftwell.operators.ledger import attach_ids, description_objects, id_map, insert_if_absent
 from siftwell.operators.normalize import to_ledger_rows
 from siftwell.plans.cascade import (
-    CARRY, audit_rows, classify, evaluate, funnel, outcome, stage_postings, survivors,
-    with_silent_users,
+    audit_rows, classify, evaluate, funnel, outcome, stage_postings, survivors, with_silent_users, with_texts,
 )
 from siftwell.session import materialize
 
@@ -36,13 +35,13 @@ def run_batch(postings: DataFrame, users: DataFrame, ledger: DataFrame, fn: Mode
     ``present`` (see ``users_with_files``) names the users that had files; those without a readable
     posting then get their audit row as well.
 
-    Two results are written once to the shared folder because several consumers need them and they
-    must not be computed twice: the staged postings, and the model's answers (a model may answer
-    differently when asked again).
+    Postings are staged on keys, orders and stages alone; texts are fetched for survivors. Results are written once to the
+    shared folder where several consumers need them and they must not be computed twice: the staged
+    postings, and the model's answers (a model may answer differently when asked again).
     """
-    staged = materialize(stage_postings(classify(postings, users, now), ledger, CARRY), "staged")
+    staged = materialize(stage_postings(classify(postings, users, now), ledger), "staged")
     evaluated = materialize(
-        evaluate(survivors(staged), users, fn, batch_size, parallelism), "evaluated")
+        evaluate(with_texts(survivors(staged), postings), users, fn, batch_size, parallelism), "evaluated")
 
     rows = to_ledger_rows(evaluated).withColumns({
         "created_at": now, "updated_at": now,

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.constants import BLOCKED_COMPANIES, FRESHNESS_DAYS, MIN_DESCRIPTION_CHARS
 from siftwell.functions.experience import candidate_years, yoe_reject_reason
@@ -24,6 +25,9 @@ from siftwell.operators.rules import (
 BLOCKED, INVALID, KNOWN = "blocked", "invalid", "known"
 OUTDATED, KEYWORD, YOE, SENIORITY = "outdated", "keyword", "yoe", "seniority"
 EVALUATE = "evaluate"
+RULE_STAGES = [OUTDATED, KEYWORD, YOE, SENIORITY, EVALUATE]
+#: A posting's order times this, plus the number of its rule stage, is one long.
+PACK = 8
 
 
 def classify(postings: DataFrame, users: DataFrame, now: Column, blocklist=BLOCKED_COMPANIES,
@@ -62,20 +66,27 @@ def stage_postings(classified: DataFrame, ledger: DataFrame, carry: Sequence[str
 
     The first copy in landing order decides. Grouping combines on the map side, so many copies of a
     posting leave a task as one row; blocked and incomplete postings shrink to counts the same way.
-    Text columns (``carry``) travel only with rows that can still reach evaluation. The ledger is
-    joined on the grouping keys, so no further exchange of the postings is needed.
+    Where ``ord`` is a number, order and rule stage are packed into one long, so the aggregate hashes and
+    never sorts. Text columns (``carry``) make rows wide; ``with_texts`` fetches them for survivors later.
+    The ledger is joined on the grouping keys, so no further exchange of the postings is needed.
     """
-    can_pass = F.col("rule_stage") == EVALUATE
-    payload = F.struct(
-        F.col("ord").alias("ord"), F.col("rule_stage").alias("rule_stage"),
-        *[F.when(can_pass, F.col(c)).alias(c) for c in carry])
     # Rows stopped at the entry have no fingerprint; their stage name takes its place as the key.
-    first = (
-        classified.withColumn("_key", F.coalesce("entry_stage", "fingerprint"))
-        .groupBy("user_id", "_key")
-        .agg(F.count(F.lit(1)).alias("copies"),
-             F.min_by(F.when(F.col("entry_stage").isNull(), payload), F.col("ord")).alias("_first"))
-    )
+    keyed = classified.withColumn("_key", F.coalesce("entry_stage", "fingerprint"))
+    entered = F.col("entry_stage").isNull()
+    if isinstance(classified.schema["ord"].dataType, T.IntegralType) and not carry:
+        code = F.array_position(F.lit(RULE_STAGES), F.col("rule_stage"))
+        packed = F.when(entered, F.col("ord").cast("bigint") * PACK + code)
+        found = keyed.groupBy("user_id", "_key").agg(F.count(F.lit(1)).alias("copies"), F.min(packed).alias("_packed"))
+        first = found.select("user_id", "_key", "copies", F.struct(
+            F.shiftright("_packed", PACK.bit_length() - 1).cast(classified.schema["ord"].dataType).alias("ord"),
+            F.get(F.lit(RULE_STAGES), (F.col("_packed").bitwiseAND(F.lit(PACK - 1)) - 1).cast("int")).alias("rule_stage")).alias("_first"))
+    else:
+        can_pass = F.col("rule_stage") == EVALUATE
+        payload = F.struct(
+            F.col("ord").alias("ord"), F.col("rule_stage").alias("rule_stage"),
+            *[F.when(can_pass, F.col(c)).alias(c) for c in carry])
+        first = keyed.groupBy("user_id", "_key").agg(
+            F.count(F.lit(1)).alias("copies"), F.min_by(F.when(entered, payload), F.col("ord")).alias("_first"))
     seen = seen_keys(ledger).withColumnRenamed("fingerprint", "_key").distinct().withColumn(
         "_seen", F.lit(True))
     staged = first.join(seen, ["user_id", "_key"], "left")
@@ -92,6 +103,17 @@ def survivors(staged: DataFrame) -> DataFrame:
     return staged.filter(F.col("stage") == EVALUATE)
 
 
+def with_texts(rows: DataFrame, postings: DataFrame) -> DataFrame:
+    """``rows`` (user_id, ord, fingerprint) of survivors with the columns ``CARRY`` of their postings.
+
+    ``ord`` tells a user's postings apart. Where ``rows`` is a stored table, Spark knows its size: under the
+    broadcast threshold no text moves at all, above it the texts of postings that a Bloom filter of the
+    survivors lets through move once. Links and experience texts are worked out for survivors only.
+    """
+    found = postings.join(rows.select("user_id", "ord", "fingerprint"), ["user_id", "ord"])
+    return with_yoe(found).withColumn("link", normalize_link("link")).select("user_id", "fingerprint", "ord", *CARRY)
+
+
 def funnel(staged: DataFrame) -> DataFrame:
     """Per user: how many postings each stage took, and how many distinct ones go to evaluation.
 

@@ -143,7 +143,8 @@ inserted AS (
 
 @query(I.with_(I.POSTINGS_SQL, OFFERS_SQL) + " SELECT id, user_id, job_link, fingerprint, title, ord FROM inserted")
 def ledger_insert_if_absent(spark, sf):
-    rows = insert_if_absent(_offers(spark, sf), _stored(spark, sf))
+    offers, stored = materialize(_offers(spark, sf), "offers"), materialize(_stored(spark, sf), "stored")
+    rows = insert_if_absent(offers, stored)
     return rows.select("id", "user_id", "job_link", "fingerprint", "title", "ord")
 
 

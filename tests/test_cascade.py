@@ -12,7 +12,7 @@ from siftwell import schemas
 from siftwell.operators.inference import FatalModelError, call_model, parse_facts
 from siftwell.plans.batch_run import run_batch
 from siftwell.plans.cascade import (
-    audit_rows, classify, funnel, stage_postings,
+    CARRY, audit_rows, classify, funnel, stage_postings, with_texts,
 )
 from siftwell.plans.digest import digest_headers
 from siftwell.sources.landing import read_raw_batches, stream_raw_batches, users_with_files
@@ -122,6 +122,27 @@ def test_first_copy_decides_even_when_a_later_one_would_pass(spark):
     assert [(r.stage, r.copies) for r in staged.collect()] == [("outdated", 2)]
 
 
+def test_staging_hashes_and_moves_no_texts(spark):
+    rows = [("u", 7 - i, f"l{i}", f"T{i % 3}", "C", LONG, "Executive" if i % 2 else "", "2024-01-31") for i in range(8)]
+    df = spark.createDataFrame(rows, "user_id string, ord long, link string, title string, company_name string, "
+                                     "description_text string, seniority_level string, posted_at string")
+    users, none = spark.createDataFrame([user("u")], schemas.USERS), spark.createDataFrame([], schemas.LEDGER)
+    classed = classify(df, users, F.lit(NOW))
+    light, wide = stage_postings(classed, none), stage_postings(classed, none, ["title"])
+    key = ["user_id", "fingerprint", "copies", "stage", "ord"]
+    assert sorted(map(tuple, light.select(key).collect())) == sorted(map(tuple, wide.select(key).collect()))
+    text = light._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "HashAggregate" in text
+    assert not [line for line in text.splitlines() if "HashAggregate(" in line and "description_text" in line and "partial" not in line]
+    structs = classify(df.withColumn("ord", F.struct(F.lit("f").alias("file"), F.col("ord").alias("pos"))), users, F.lit(NOW))
+    assert sorted((r.copies, r.stage, r.ord.pos) for r in stage_postings(structs, none).collect()) == sorted((r.copies, r.stage, r.ord) for r in light.collect())
+    chosen = light.where("stage = 'evaluate'")
+    wanted = {(r.user_id, r.ord): r.title for r in wide.where("stage = 'evaluate'").collect()}
+    postings = df.withColumns({c: F.lit(None).cast("string") for c in CARRY if c not in df.columns and c not in ("benefits", "extracted_yoe_text")}) \
+        .withColumn("benefits", F.array().cast("array<string>"))
+    assert {(r.user_id, r.ord): r.title for r in with_texts(chosen, postings).collect()} == wanted
+
+
 def test_postings_cross_one_exchange_and_no_python(spark, landed):
     path, users = landed
     postings = read_raw_batches(spark, str(path / "raw-jobs"))

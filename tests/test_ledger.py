@@ -43,6 +43,24 @@ def test_insert_if_absent_equals_row_by_row(spark):
         assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, insert_row_by_row(new, stored))), trial
 
 
+def test_rows_are_chosen_without_their_texts(spark):
+    new = [("u", "l1", "f1", 0, "a"), ("u", None, "f2", 1, "b"), ("u", None, "f3", 2, "c"), ("v", None, None, 3, "d")]
+    frame = spark.createDataFrame(new, OFFER)
+    found = ledger.insert_if_absent(frame, spark.createDataFrame([], STORED))
+    assert sorted((r.user_id, r.fingerprint or "", r.ord, r.title) for r in found.collect()) == [
+        ("u", "f1", 0, "a"), ("u", "f3", 1, "c"), ("v", "", 3, "d")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ledger.insert_if_absent(frame, spark.createDataFrame([], STORED))._jdf.queryExecution().executedPlan()
+        text = plan.toString()
+        assert "SortAggregate" not in text and text.count("HashAggregate") >= 2
+        exchanged = [line for line in text.splitlines() if "Project [" in line and "title" in line]
+        assert len(exchanged) <= 2  # the wide side of the last join, and the result
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_chained_conflicts(spark):
     new = [("u", "l1", "f1", 0, "a"), ("u", "l2", "f1", 1, "b"), ("u", "l2", "f2", 2, "c"), ("u", "l3", "f2", 3, "d")]
     got = ledger.insert_if_absent(spark.createDataFrame(new, OFFER), spark.createDataFrame([], STORED)).collect()
