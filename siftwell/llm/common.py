@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftwell.session import scratch_path
+from siftwell.sources import folders
 
 
 def whole(text: Column) -> Column:
@@ -26,6 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table after its last reader has run."""
+    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+        folders.delete(df.sparkSession, folder)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str,
               keep: list[str] | None = None, name: str = "text") -> DataFrame:
     """Columns ``keep`` (all by default) and those of the schema ``added``, computed batch by batch.
