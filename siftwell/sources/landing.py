@@ -11,20 +11,21 @@ from siftwell.schemas import ENVELOPE
 USER_IN_PATH = r"/raw-jobs/(?:user_id=)?([^/]+)/"
 
 
-def explode_envelopes(files: DataFrame) -> DataFrame:
+def explode_envelopes(files: DataFrame, silent: bool = False) -> DataFrame:
     """One normalised posting per array element, with user, file and position.
 
     ``ord`` orders a user's postings: file, then place in the file. Files that are not an envelope
-    with a ``jobs`` array give no rows.
+    with a ``jobs`` array give no rows, or with ``silent`` one row without an ``ord`` or a posting.
     """
+    explode = F.posexplode_outer if silent else F.posexplode
     path = F.col("_metadata.file_path")
     jobs = files.select(
         F.regexp_extract(path, USER_IN_PATH, 1).alias("user_id"), path.alias("file"),
         "platform", "keyword", F.try_to_timestamp("scrapedAt").alias("scraped_at"),
-        F.posexplode("jobs").alias("pos", "job"),
+        explode("jobs").alias("pos", "job"),
     )
     keep = ("user_id", "file", "pos", "platform", "keyword", "scraped_at")
-    return normalize_jobs(jobs, keep=keep).withColumn("ord", F.struct("file", "pos"))
+    return normalize_jobs(jobs, keep=keep).withColumn("ord", F.when(F.col("pos").isNotNull(), F.struct("file", "pos")))
 
 
 def read_raw_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -48,18 +49,22 @@ def users_with_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_raw_batches(spark: SparkSession, path: str, archive: str | None = None,
-                       max_files: int | None = None) -> DataFrame:
-    """The same files as a stream: each is read once, then archived (or deleted)."""
+                       max_files: int | None = None, delete: bool = False) -> DataFrame:
+    """The same files as a stream: each is read once; with ``archive`` or ``delete`` it is then moved there or
+    removed, after the micro-batch that read it is committed. Files without a readable posting give one row
+    without an ``ord``, so that their users are known to have been there."""
     reader = (
         spark.readStream.schema(ENVELOPE)
         .option("multiLine", True).option("mode", "PERMISSIVE")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     )
-    if archive:
+    if delete:
+        reader = reader.option("cleanSource", "delete")
+    elif archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return explode_envelopes(reader.json(path))
+    return explode_envelopes(reader.json(path), silent=True)
 
 
 JOBS_PER_FILE = 1000  # postings of one landed file, on average

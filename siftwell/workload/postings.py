@@ -14,8 +14,9 @@ from siftwell.operators.ledger import (
 )
 from siftwell.operators.normalize import extraction_payload, normalize_jobs
 from siftwell.operators.rules import valid_posting
+from siftwell.operators.versions import VersionedTable
 from siftwell.schemas import RAW_POSTING
-from siftwell.session import materialize
+from siftwell.session import materialize, scratch_path
 from siftwell.sources.tables import attach_texts
 from siftwell.workload import query
 from siftwell.workload import inputs as I
@@ -201,6 +202,20 @@ def apply_mapping(spark, sf):
     return set_from_mapping(rows, mapping, "id", "description_key")
 
 
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, coalesce('key/' || l.n, o_orderstatus) AS description_key
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
+def mapping_swap(spark, sf):
+    """The same mapping of all line items, put into a stored table in one step and read back."""
+    ledger = VersionedTable(spark, scratch_path(spark, "orders"))
+    ledger.replace(I.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("description_key")))
+    mapping = I.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(
+        F.concat(F.lit("key/"), F.count(F.lit(1)).cast("string")).alias("new_value"))
+    ledger.update(lambda rows: set_from_mapping(rows, mapping, "id", "description_key"))
+    return ledger.read()
+
+
 @query("""
 SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'already_done' ELSE 'upload' END AS export_status
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators.queue import releases
+from siftwell.schemas import LEDGER
 from siftwell.session import scratch_path
 from siftwell.sources import folders
 from siftwell.streaming import seen, throttle
 from siftwell.streaming.clicks import daily_activity, running_clicks
-from siftwell.streaming.ingest import start_ingest, stored_ledger
+from siftwell.streaming.ingest import append_ledger, start_ingest, stored_ledger
 from siftwell.streaming.seen import drop_late
 from siftwell.workload import query
 from siftwell.workload import inputs as I
@@ -141,6 +142,7 @@ def halves_model(context: dict, items: list[dict]) -> dict:
 @query(CASCADE_SQL.replace("WHERE quality = 1", "WHERE quality = 1 AND doc_id % 2 = 1").replace("es corp", "scoutit") + """,
 passed AS (SELECT s.user_id, s.ord, length(p.title) % 2 = 0 AS matched FROM staged s JOIN postings p USING (ord) WHERE stage = 'evaluate')
 SELECT 'ledger' AS part, user_id, count(*) AS n FROM passed GROUP BY user_id
+UNION ALL SELECT 'history', user_id, count(*) FROM history GROUP BY user_id
 UNION ALL SELECT 'runs', user_id, 1 FROM counts
 UNION ALL SELECT 'user_counters', user_id, 1 FROM counts
 UNION ALL SELECT unnest(['described', 'descriptions', 'digest']), user_id, count(*) FROM passed WHERE matched GROUP BY user_id
@@ -151,7 +153,8 @@ def stream_service(spark, sf):
     root = scratch_path(spark, "service")
     old = F.regexp_extract("job_link", r"(\d+)$", 1).cast("bigint") % 2 == 0
     history = I.history(spark, sf).withColumn("created_at", F.when(old, I.now() - F.expr("INTERVAL 30 DAYS")).otherwise(I.now() - F.expr("INTERVAL 1 DAY")))
-    history.write.parquet(f"{root}/ledger/batch_id=-1")
+    history = history.select(*(f.name if f.name in history.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER))
+    append_ledger(history, f"{root}/ledger", -1)
     token = F.when(F.col("id").cast("bigint") % 2 == 0, "t")
     users = I.users(spark, sf).withColumn("credentials", F.struct(
         token.alias("accessToken"), F.lit(None).cast("string").alias("refreshToken"), F.lit("urn").alias("personUrn")))
@@ -162,9 +165,11 @@ def stream_service(spark, sf):
     def counted(rows, part, n=F.count(F.lit(1))):
         return rows.groupBy("user_id").agg(n.cast("bigint").alias("n")).select(F.lit(part).alias("part"), "user_id", "n")
 
+    # what is left of the history's files: those of old days are gone
+    history = stored_ledger(spark, f"{root}/ledger").filter("batch_id < 0")
     ledger = stored_ledger(spark, f"{root}/ledger").filter("batch_id >= 0")
     left = {name: spark.read.parquet(f"{root}/tables/{name}") for name in ("descriptions", "digest", "posts", "user_counters")}
-    parts = [counted(ledger, "ledger"), counted(ledger.filter("description_key IS NOT NULL"), "described"),
+    parts = [counted(history, "history"), counted(ledger, "ledger"), counted(ledger.filter("description_key IS NOT NULL"), "described"),
              counted(spark.read.parquet(f"{root}/runs"), "runs"), counted(left["digest"], "last_rank", F.max("rank"))]
     for name, rows in left.items():
         parts.append(counted(rows, name, F.sum("runs")) if name == "user_counters" else counted(rows, name))

@@ -49,13 +49,13 @@ CASES = {  # user: (landed postings, exit stage)
 }
 
 
-def land(root, cases):
+def land(root, cases, number=None):
     for name, postings in cases.items():
         folder = root / "raw-jobs" / name
         folder.mkdir(parents=True, exist_ok=True)
         body = {"platform": "linkedin", "keyword": "k", "location": "l", "scrapedAt": "2024-01-31T10:00:00.000Z",
                 "count": len(postings), "jobs": postings}
-        (folder / f"linkedin-{len(list(folder.iterdir()))}.json").write_text(json.dumps(body, indent=2))
+        (folder / f"linkedin-{len(list(folder.iterdir())) if number is None else number}.json").write_text(json.dumps(body, indent=2))
 
 
 def model(context, items):
@@ -196,6 +196,29 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, landed):
     assert (audit.db_dedup_count, audit.matched_jobs_count, audit.outcome) == (1, 1, "done")
 
 
+def test_consumed_files_go_and_silent_users_are_audited(spark, landed):
+    path, users = landed
+    users = users.unionByName(spark.createDataFrame([user("broken"), user("bare", active=False)], schemas.USERS))
+    raw, table, runs, state = (str(path / p) for p in ("raw-jobs", "ledger", "runs", "state"))
+    files = lambda: sorted(f"{p.parent.name}/{p.name}" for p in (path / "raw-jobs").rglob("*.json"))
+
+    def drain():
+        start_ingest(stream_raw_batches(spark, raw, delete=True), lambda: users, table, runs, state, model,
+                     now=lambda: F.lit(NOW)).awaitTermination()
+        return stored_ledger(spark, table).count()
+
+    landed_files, first = files(), drain()
+    audit = {r.user_id: r for r in spark.read.parquet(runs).collect()}
+    assert (audit["broken"].scraped_jobs_count, audit["broken"].exit_stage) == (0, "blocked_companies") and "bare" not in audit
+    land(path, {"good": [posting(company="New Co", link="https://x.org/view/8")]}, 10)
+    new = set(files()) - set(landed_files)
+    assert drain() == first + 1
+    land(path, {"good": [posting(company="Newer Co", link="https://x.org/view/9")]}, 11)
+    assert drain() == first + 2
+    gone = set(landed_files) | new
+    assert not gone & set(files()) and drain() == first + 2
+
+
 def test_failed_batch_leaves_audit_rows(spark, landed):
     path, users = landed
 
