@@ -34,11 +34,12 @@ def forget(df: DataFrame) -> None:
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str,
-              keep: list[str] | None = None, name: str = "text") -> DataFrame:
+              keep: list[str] | None = None, name: str = "text", prune: bool = True) -> DataFrame:
     """Columns ``keep`` (all by default) and those of the schema ``added``, computed batch by batch.
 
     ``make`` runs once in each task and returns the function from a record batch to the values of the new
-    columns. ``name`` is the column that counts as the text; it is taken along only if kept.
+    columns. ``name`` is the column that counts as the text; it is taken along only if kept. Columns that are
+    not needed are not read, unless rows have to be dealt to tasks as by another plan (``prune``).
     """
     kept = df.columns if keep is None else keep
     new = T._parse_datatype_string(added)
@@ -54,7 +55,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             columns += [pa.array(got[f.name], arrow.field(f.name).type) for f in new.fields]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select(*dict.fromkeys([*kept, name])).mapInArrow(run, schema)
+    return (df.select(*dict.fromkeys([*kept, name])) if prune else df).mapInArrow(run, schema)
 
 
 def with_row(docs: DataFrame, *columns: Column | str) -> DataFrame:

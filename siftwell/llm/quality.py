@@ -1,143 +1,195 @@
 """Quality rules with n-gram perplexity bands (operator 8).
 
-A modified Kneser-Ney model over character classes is counted by Spark over all documents and kept as
-sorted arrays of n-gram hashes with their probabilities. A document's perplexity is that of its whole
-text; documents outside the lower and upper band of their language are rejected.
-
-Characters are hashed to 64 classes, so there are at most 64^4 different n-grams, 16.8 million, however
-large the corpus is: that bounds the arrays, which the driver turns into probabilities and ships.
+One modified Kneser-Ney model a language, over n-grams of five characters as they are. Spark counts them
+over the whole texts of all documents; the tables grow with the corpus and are never gathered in one place:
+
+1. A task counts the n-grams of its documents, so each leaves it once, with its task's number.
+2. Counts become probabilities by grouping and joins, order by order (``Model``).
+3. Every task's n-grams are joined to their probabilities and written as one sorted array of n-gram hashes
+   a task and language, the only part of the model that scoring its documents needs.
+4. The tasks run over the same documents again and look their n-grams up by binary search.
+
+So what moves is one row for each n-gram and task, a small part of the texts, and a task holds what its own
+documents need.
+
+The log perplexity of a text is taken a character and a word: easy marks between the words lower the first
+and raise the second. A mean over n words deviates by 1 / sqrt(n) of what one word does, so a language's
+bands lie around its median at so many robust deviations over sqrt(n). A document outside the lower or upper
+band of either is rejected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import per_batch, stored, texts, with_row
+from siftwell.session import scratch_path
+
 
-ORDER = 4
-CLASSES = 64
+ORDER = 5
 SYMBOLS = "#*$%&|<>"
-#: Half-width of a band in robust deviations below and above the median log perplexity, and its least width.
-BELOW, ABOVE, LEAST = 5.0, 5.0, 0.05
+#: Half-widths of a band below and above the median, in robust deviations of a text of so many words, and the
+#: least width as a share of the median.
+BELOW, ABOVE, LEAST = 2.75, 2.75, 0.01
+MEASURES = ["log_perplexity", "word_log_perplexity"]
 FEWEST_WORDS = 50
 SPACES = b" \t\n\r\x0b\x0c"
+#: Characters that are looked at together, and different n-grams a task holds before it hands them on.
+CHUNK, HELD = 1 << 20, 1 << 20
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def class_table() -> np.ndarray:
-    """Class of each code point up to 65,535; higher ones take that of their last 16 bits.
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-    Blank 0, line end 1, small letters 2-27, capitals 28-53, digits 54, full stop and comma 55, the symbols
-    56-57, other ASCII 58-59, all other characters 60-63 by their last two bits.
-    """
-    table = np.array([60 + (c & 3) for c in range(65536)], np.uint8)
-    for c in range(128):
-        ch = chr(c)
-        if ch == "\n":
-            table[c] = 1
-        elif ch.isspace():
-            table[c] = 0
-        elif "a" <= ch <= "z":
-            table[c] = 2 + c - 97
-        elif "A" <= ch <= "Z":
-            table[c] = 28 + c - 65
-        elif ch.isdigit():
-            table[c] = 54
-        elif ch in ".,":
-            table[c] = 55
-        elif ch in SYMBOLS:
-            table[c] = 56 + (c & 1)
-        else:
-            table[c] = 58 + (c & 1)
-    return table
-
-
-def codes(text: str, table: np.ndarray) -> np.ndarray:
-    """Number of the n-gram that ends at each character; line ends stand before the text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    classes = np.concatenate([np.ones(ORDER - 1, np.int32), table[points & 0xFFFF].astype(np.int32)])
-    out = np.zeros(len(points), np.int32)
+
+def hashes(padded: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``ORDER`` characters, as signed numbers."""
+    n = max(0, len(padded) - ORDER + 1)
+    out = np.zeros(n, np.uint64)
     for k in range(ORDER):
-        out = out * CLASSES + classes[k:k + len(points)]
+        out = (out ^ padded[k:k + n]) * FACTOR
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def chunks(rows: list[str]):
+    """(characters, starts of their n-grams, row of each) of pieces of the texts, an n-gram ending at each
+    character; line ends stand before a text. Long texts come in several pieces."""
+    pad = np.full(ORDER - 1, 10, np.uint32)
+    parts, owners, size = [], [], 0
+    for row, text in enumerate(rows):
+        found = np.concatenate([pad, points(text)])
+        for at in range(0, len(found) - ORDER + 1, CHUNK):
+            part = found[at:at + CHUNK + ORDER - 1]
+            if size and size + len(part) > 2 * CHUNK:
+                yield joined(parts, owners)
+                parts, owners, size = [], [], 0
+            parts.append(part)
+            owners.append(row)
+            size += len(part)
+    if parts:
+        yield joined(parts, owners)
+
+
+def joined(parts: list[np.ndarray], owners: list[int]):
+    lengths = np.array([len(p) for p in parts])
+    n = lengths - ORDER + 1
+    first = np.cumsum(lengths) - lengths
+    starts = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    return np.concatenate(parts), starts, np.repeat(owners, n)
+
+
+def by_language(batch: pa.RecordBatch) -> dict[str | None, list[int]]:
+    out: dict[str | None, list[int]] = {}
+    for i, lang in enumerate(batch.column("lang").to_pylist()):
+        out.setdefault(lang, []).append(i)
     return out
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """gram, n over the whole texts of all ``docs``, by language-independent character classes.
+def task_counts(docs: DataFrame) -> DataFrame:
+    """task, lang, hash, gram, n: how often each n-gram stands in the documents of a task."""
+    schema = "task int, lang string, hash bigint, gram string, n bigint"
 
-    A task adds up its own rows before anything moves.
-    """
     def run(batches):
-        import pyarrow as pa
+        task, held = TaskContext.get().partitionId(), {}
+
+        def flush():
+            for lang, (h, g, n) in held.items():
+                for at in range(0, len(h), 100_000):
+                    part = slice(at, at + 100_000)
+                    grams = [x.tobytes().decode("utf-32-le", "surrogatepass") for x in g[part]]
+                    rows = len(grams)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(rows, task, "i4")), pa.array([lang] * rows, pa.string()), pa.array(h[part]),
+                         pa.array(grams, pa.string()), pa.array(n[part])], names=["task", "lang", "hash", "gram", "n"])
+            held.clear()
 
-        table, total = class_table(), np.zeros(CLASSES ** ORDER, np.uint32)
         for batch in batches:
-            for text in texts(batch):
-                np.add.at(total, codes(text, table), 1)
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype("i4")), pa.array(total[part].astype("i8"))], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times."""
-    t = [max(1, int((n == k).sum())) for k in (1, 2, 3, 4)]
-    y = t[0] / (t[0] + 2 * t[1])
-    return np.clip([1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], 0.05, [0.95, 1.95, 2.95])
-
-
-def probabilities(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted n-gram numbers, their log probabilities, and log probabilities of unseen ones by context.
-
-    The highest order uses counts, lower orders the number of different characters seen before
-    (continuation counts); each order interpolates with the one below, the lowest with the uniform.
-    Unseen n-grams of a seen context get its left-over mass times the lower order; ``lower`` holds the
-    order below in full (64^3 values) for them and for unseen contexts.
+            rows = texts(batch)
+            for lang, members in by_language(batch).items():
+                for chars, starts, _ in chunks([rows[i] for i in members]):
+                    h, first, n = np.unique(hashes(chars)[starts], return_index=True, return_counts=True)
+                    g = chars[starts[first][:, None] + np.arange(ORDER)]
+                    if lang in held:
+                        h0, g0, n0 = held[lang]
+                        both, at, back = np.unique(np.concatenate([h0, h]), return_index=True, return_inverse=True)
+                        h, g, n = both, np.concatenate([g0, g])[at], np.bincount(back, np.concatenate([n0, n])).astype(np.int64)
+                    held[lang] = h, g, n
+                    if sum(len(x[0]) for x in held.values()) > HELD:
+                        yield from flush()
+        yield from flush()
+
+    # all columns go along, as what a plan deals to a task may depend on its columns
+    return docs.mapInArrow(run, schema)
+
+
+def named(lang: Column) -> Column:
+    """A language as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("l"), lang), F.lit("-"))
+
+
+class Model:
+    """Stored tables of one modified Kneser-Ney model a language, from counts (lang, gram, n) of n-grams.
+
+    The highest order uses counts, lower ones the number of different characters seen before
+    (continuation counts); each order is interpolated with the one below, the lowest with equal shares.
     """
-    order = np.argsort(grams)
-    grams, n = grams[order], n[order].astype(float)
-    levels, current, weight = [], grams, n
-    for k in range(ORDER, 0, -1):
-        levels.append((k, current, weight))
-        shorter = current % CLASSES ** (k - 1)
-        current, kept = np.unique(shorter, return_counts=True)
-        weight = kept.astype(float)
-    below = np.full(1, 1 / CLASSES)  # of order 0
-    dense = below
-    for k, keys, c in reversed(levels):
-        d = discounts(c)
-        context, last = keys // CLASSES, keys % CLASSES ** (k - 1)
-        size = CLASSES ** (k - 1)
-        total = np.bincount(context, c, size)
-        off = d[np.minimum(c, 3).astype(int) - 1]
-        left = np.bincount(context, off, size)
-        share = np.where(total > 0, left / np.maximum(total, 1e-300), 1.0)
-        if k == ORDER:
-            p = (c - off) / total[context] + share[context] * dense[last]
-            return keys, np.log(p).astype("f4"), (np.log(np.maximum(share, 1e-12)).astype("f4"), np.log(dense).astype("f4"))
-        suffix = np.arange(CLASSES ** k) % size if k > 1 else np.zeros(CLASSES, int)
-        nxt = np.repeat(share, CLASSES) * dense[suffix]
-        nxt[keys] += (c - off) / total[context]
-        dense = nxt
-
-
-class Scorer:
-    """The model inside a task: the sorted arrays spread out once to a table of all n-grams."""
-
-    def __init__(self, model):
-        keys, logs, (share, dense) = model
-        self.table = class_table()
-        # n-gram = (first, middle, last): share by (first, middle), the order below by (middle, last)
-        self.logs = (share.reshape(CLASSES, -1, 1) + dense.reshape(1, -1, CLASSES)).ravel()
-        self.logs[keys] = logs
 
-    def log_perplexity(self, text: str) -> float | None:
-        grams = codes(text, self.table)
-        return -float(self.logs[grams].mean(dtype=np.float64)) if len(grams) else None
+    def __init__(self, counts: DataFrame, order: int = ORDER):
+        self.order = order
+        level = stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        levels = {order: level}
+        for k in range(order - 1, 0, -1):
+            shorter = F.substring("gram", 2, k).alias("gram")
+            levels[k] = level = stored(level.groupBy("lang", shorter).agg(F.count("*").alias("n")), "grams")
+        # order 0: each character of the language alike
+        self.shares = {0: levels[1].groupBy("lang").agg((1 / F.count("*")).alias("p"))}
+        self.left: dict[int, DataFrame] = {}
+        for k in range(1, order + 1):
+            self.left[k], self.shares[k] = self.shared(levels[k], self.shares[k - 1], k)
+
+    @staticmethod
+    def discounts(level: DataFrame) -> DataFrame:
+        """lang, d: what is taken off counts of 1, 2 and 3 or more, from how many n-grams have 1 to 4."""
+        t = [F.greatest(F.lit(1), F.count_if(F.col("n") == k)).cast("double") for k in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1])
+        d = [1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]]
+        clipped = [F.least(F.lit(most), F.greatest(F.lit(0.05), x)) for x, most in zip(d, (0.95, 1.95, 2.95))]
+        return level.groupBy("lang").agg(F.array(*clipped).alias("d"))
+
+    def shared(self, level: DataFrame, below: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """What is left for lower orders after each context (lang, context, left), and p of each n-gram."""
+        off = F.get("d", F.least("n", F.lit(3)).cast("int") - 1)
+        rows = level.join(self.discounts(level), "lang").select(
+            "lang", "gram", F.substring("gram", 1, k - 1).alias("context"), "n", off.alias("off"))
+        totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("left"))
+        on = ["lang"] if k == 1 else ["lang", "shorter"]
+        below = below if k == 1 else below.withColumnRenamed("gram", "shorter")
+        p = (F.col("n") - F.col("off")) / F.col("total") + F.col("left") * F.col("p")
+        out = rows.join(totals, ["lang", "context"]).withColumn("shorter", F.substring("gram", 2, k - 1)).join(below, on) \
+            .select("lang", "gram", p.alias("p"))
+        return totals.select("lang", "context", "left"), stored(out, "shares")
+
+    def of(self, grams: DataFrame) -> DataFrame:
+        """``grams`` (lang, gram, more) with p, also of n-grams and languages not counted: what an unseen
+        n-gram's context leaves, times the shorter n-gram's p. A language not counted has no p."""
+        out = grams.join(self.shares[0].withColumnRenamed("p", "_p"), "lang", "left")
+        for k in range(1, self.order + 1):
+            end, context = F.substring("gram", self.order - k + 1, k), F.substring("gram", self.order - k + 1, k - 1)
+            out = out.withColumns({"_g": end, "_c": context}) \
+                .join(self.shares[k].select("lang", F.col("gram").alias("_g"), "p"), ["lang", "_g"], "left") \
+                .join(self.left[k].select("lang", F.col("context").alias("_c"), "left"), ["lang", "_c"], "left") \
+                .withColumn("_p", F.coalesce("p", F.coalesce("left", F.lit(1.0)) * F.col("_p"))).drop("p", "left", "_g", "_c")
+        return out.withColumnRenamed("_p", "p")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -167,48 +219,106 @@ def base(text: str) -> dict[str, int]:
             "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated_words(words)}
 
 
-def measure(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """``keep`` of ``docs`` with the base counts, base_failed and log_perplexity (null without a character)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def written_arrays(counts: DataFrame, model: Model, complete: bool) -> str:
+    """Folder with one Parquet file a task: its n-grams' languages, hashes and log probabilities, sorted."""
+    spark, path = counts.sparkSession, scratch_path(counts.sparkSession, "arrays")
+    known = counts.join(model.shares[model.order], ["lang", "gram"]) if complete else model.of(counts)
+    rows = known.select("task", "lang", "hash", F.log("p").cast("float").alias("log"))
+    rows.repartition("task").sortWithinPartitions("task", "lang", "hash").write.partitionBy("task").parquet(path)
+    return path
+
+
+class Scorer:
+    """The part of the model that a task's documents need, read from the shared folder."""
+
+    def __init__(self, folder: str, task: int):
+        self.arrays = {}
+        local = folder.removeprefix("file:") if folder.startswith("file:/") else folder
+        files, root = pyarrow.fs.FileSystem.from_uri(local) if "://" in local else (pyarrow.fs.LocalFileSystem(), local)
+        where = pyarrow.fs.FileSelector(f"{root}/task={task}", allow_not_found=True)
+        names = [f.path for f in files.get_file_info(where) if f.path.endswith(".parquet")]
+        if names:
+            table = pa.concat_tables(pq.read_table(files.open_input_file(n)) for n in sorted(names))
+            lang = table.column("lang").combine_chunks().dictionary_encode()
+            code, h, logs = lang.indices.to_numpy(), table.column("hash").to_numpy(), table.column("log").to_numpy()
+            for i, name in enumerate(lang.dictionary.to_pylist()):
+                order = np.argsort(h[code == i], kind="stable")
+                self.arrays[name] = h[code == i][order], logs[code == i][order]
+
+    def logs(self, lang: str | None, h: np.ndarray) -> np.ndarray:
+        keys, logs = self.arrays.get("-" if lang is None else "l" + lang, (np.zeros(0, np.int64), np.zeros(0, "f4")))
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
+        if len(at) < len(h) or (keys[at] != h).any():
+            raise RuntimeError("a task met other documents than when they were counted; store the documents first")
+        return logs[at]
+
+    def totals(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, minus its log probability and its characters."""
+        rows = texts(batch)
+        total, n = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+        for lang, members in by_language(batch).items():
+            members = np.array(members)
+            for chars, starts, owner in chunks([rows[i] for i in members]):
+                logs = self.logs(lang, hashes(chars)[starts])
+                total[members] += np.bincount(owner, logs, len(members))
+                n[members] += np.bincount(owner, minlength=len(members))
+        return -total, n
+
+
+def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
+    """``keep`` of ``docs`` with the base counts, base_failed, log_perplexity (null without a character)
+    and word_log_perplexity (null without a word).
+
+    ``docs`` has to be dealt to tasks as it was when counted: a table as it lies, or a stored one."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def make():
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(folder, TaskContext.get().partitionId())
 
         def work(batch):
-            rows = [base(t) | {"log_perplexity": scorer.log_perplexity(t)} for t in texts(batch)]
-            return {c: [r[c] for r in rows] for c in [*names, "log_perplexity"]}
+            rows = [base(t) for t in texts(batch)]
+            total, n = scorer.totals(batch)
+            return {c: [r[c] for r in rows] for c in names} | {
+                "log_perplexity": [float(t / k) if k else None for t, k in zip(total, n)],
+                "word_log_perplexity": [float(t / r["n_words"]) if r["n_words"] else None for t, r in zip(total, rows)]}
 
         return work
 
-    measured = per_batch(docs, make, ", ".join(f"{c} bigint" for c in names) + ", log_perplexity double", keep=keep)
+    measured = per_batch(docs, make, ", ".join(f"{c} bigint" for c in names) + "".join(f", {m} double" for m in MEASURES),
+                         keep=list(dict.fromkeys([*keep, "lang"])), prune=False)
     return measured.withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def fit(docs: DataFrame):
-    """The model of all ``docs``; an empty corpus gives the uniform one."""
-    rows = counts(docs).toArrow()
-    grams, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
-    if not len(grams):
-        grams, n = np.arange(CLASSES), np.ones(CLASSES, np.int64)
-    return probabilities(grams.astype(np.int64), n)
+def fit(docs: DataFrame) -> tuple[str, Model]:
+    """The folder that ``measure`` reads, and the model of all ``docs``."""
+    counts = stored(task_counts(docs).withColumn("lang", named(F.col("lang"))), "counts")
+    model = Model(counts)
+    return written_arrays(counts, model, True), model
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """_lang, _lower, _upper from the documents that pass the fixed rules: median log perplexity plus and
-    minus so many robust deviations. One row for each language; null is a language of its own."""
-    usable = measured.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-    middle = usable.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    deviation = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST / BELOW))
-    return middle.select(F.col("lang").alias("_lang"), (F.col("q")[1] - BELOW * deviation).alias("_lower"),
-                         (F.col("q")[1] + ABOVE * deviation).alias("_upper"))
+    """_lang, and of each measure its _median_ and _spread_ (a robust deviation of one word) from all of a
+    language's documents that pass the fixed rules. One row for each language; null is one of its own."""
+    usable = measured.where(~F.col("base_failed")).select(named(F.col("lang")).alias("_lang"), "n_words", *MEASURES)
+    middle = usable.groupBy("_lang").agg(*(F.percentile_approx(m, 0.5, 10_000).alias(f"_median_{m}") for m in MEASURES))
+    off = usable.join(middle, "_lang")
+    spread = off.groupBy("_lang").agg(*(F.percentile_approx(
+        F.abs(F.col(m) - F.col(f"_median_{m}")) * F.sqrt("n_words"), 0.5, 10_000).alias(f"_spread_{m}") for m in MEASURES))
+    return middle.join(spread, "_lang").select("_lang", *(f"_median_{m}" for m in MEASURES),
+                                               *((F.col(f"_spread_{m}") * 1.4826).alias(f"_spread_{m}") for m in MEASURES))
 
 
 def verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with kept: passes the fixed rules and lies inside its language's band."""
-    inside = F.col("log_perplexity").between(F.col("_lower"), F.col("_upper"))
-    return measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left") \
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("_lang", "_lower", "_upper")
+    """``measured`` with kept: passes the fixed rules and lies inside its language's bands."""
+    def inside(m: str) -> Column:
+        off, middle = F.col(m) - F.col(f"_median_{m}"), F.col(f"_median_{m}")
+        unit = F.col(f"_spread_{m}") / F.sqrt(F.greatest("n_words", F.lit(1)))
+        return off.between(-F.greatest(BELOW * unit, LEAST * middle), F.greatest(ABOVE * unit, LEAST * middle))
+
+    joined = measured.withColumn("_lang", named(F.col("lang"))).join(limits, "_lang", "left")
+    good = reduce(lambda x, y: x & y, map(inside, MEASURES))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))) \
+        .drop("_lang", *(f"_{what}_{m}" for what in ("median", "spread") for m in MEASURES))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -216,16 +326,18 @@ def judge(docs: DataFrame) -> DataFrame:
     columns are dropped), one row for each row.
 
     A null text is an empty one; texts without a word fail the fixed rules; repeated rows get the same
-    verdict; an empty table gives no rows.
+    verdict; null is a language of its own; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text", "lang")
-    measured = stored(measure(docs, fit(docs), ["doc_id", "lang"]), "measured")
+    measured = stored(measure(docs, fit(docs)[0], ["doc_id"]), "measured")
     return verdicts(measured, bands(measured))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Texts are measured twice, for the bands and
-    for the verdict, rather than moved."""
-    model, rows = fit(docs), with_row(docs, "text", "lang")
-    limits = stored(bands(measure(rows, model, ["lang"])), "bands")
-    return verdicts(measure(rows, model, ["lang", "_row"]), limits).where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, with their columns; nulls, repeats and empty tables as in ``judge``.
+
+    Texts are measured twice, for the bands and for the verdict, rather than moved."""
+    rows = with_row(docs, "text", "lang")
+    folder = fit(rows)[0]
+    limits = bands(stored(measure(rows, folder, []), "measured"))
+    return verdicts(measure(rows, folder, ["_row"]), limits).where("kept").select("_row.*")

@@ -91,7 +91,7 @@ def op2_toxic_span_chain(spark, sf_dir):
 def op8_perplexity_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", "kept", "log_perplexity")
+                         "base_failed", "kept", *quality.MEASURES)
 
 
 @query

@@ -316,33 +316,6 @@ def test_quality_base_counts(spark, odd, docs):
     assert quality.judge(none(odd)).count() == 0 and quality.keep_good(odd).columns == odd.columns
 
 
-def test_quality_model_is_a_distribution():
-    random.seed(4)
-    text = "".join(random.choices("abc de.", k=5000))
-    table = quality.class_table()
-    grams, n = np.unique(quality.codes(text, table), return_counts=True)
-    scorer = quality.Scorer(quality.probabilities(grams.astype(np.int64), n))
-    sums = np.exp(scorer.logs.astype(float)).reshape(-1, quality.CLASSES).sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
-    # one probability by hand: order 4 interpolated with the continuation counts of order 3
-    top = grams[np.argmax(n)]
-    same = grams // 64 == top // 64
-    d = quality.discounts(n.astype(float))
-    off = d[np.minimum(n[same], 3) - 1]
-    third = np.unique(grams % 64 ** 3)
-    cont = np.array([(grams % 64 ** 3 == t).sum() for t in third])
-    shorter = np.exp(float(scorer.logs[top]))
-    assert shorter > (n.max() - d[2]) / n[same].sum() and off.sum() / n[same].sum() < 1 and cont.sum() == len(grams)
-
-
-def test_quality_counts_everything(docs):
-    table = quality.class_table()
-    want = collections.Counter()
-    for r in docs.collect():
-        want.update(quality.codes(r["text"] or "", table).tolist())
-    assert {r["gram"]: r["n"] for r in quality.counts(docs).collect()} == want
-
-
 def test_search_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     first = [float(x) for x in rows.orderBy("vec_id").head()["embedding"]]
