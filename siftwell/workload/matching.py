@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.fit import evaluate_fit
 from siftwell.functions.render import fill_template, post_text
+from siftwell.operators.phrases import block_listed, find_names, plain_words
 from siftwell.operators.queue import build_post_messages, post_status, read_messages, release_slots
 from siftwell.operators.rules import (
     company_block as block_companies, fresh, keyword_filter as exclude_keywords,
@@ -284,6 +285,37 @@ def skill_mentions(spark, sf):
     return out.select("doc_id", F.array_join("found", "|").alias("skills"))
 
 
+PLAIN_SQL = "' ' || regexp_replace(lower({0}), '(?:\\s|[,;:()!?]|\\.(?:\\s|$))+', ' ', 'g') || ' '"
+#: Every two words that follow each other in the benchmark are one name.
+PHRASES_SQL = f"""item_words AS (SELECT item_id, list_filter(string_split({PLAIN_SQL.format('text')}, ' '), lambda w: w <> '') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS name FROM item_words, unnest(generate_series(1, len(w) - 1)) AS u(i)),
+doc_words AS (SELECT doc_id, list_filter(string_split({PLAIN_SQL.format('text')}, ' '), lambda w: w <> '') AS w FROM documents),
+hits AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] AS name FROM doc_words, unnest(generate_series(1, len(w) - 1)) AS u(i))
+  SEMI JOIN phrases USING (name))"""
+
+
+@query(I.with_(PHRASES_SQL) + """
+SELECT doc_id, count(name) AS n_found, coalesce(sha256(string_agg(name, '|' ORDER BY name)), sha256('')) AS found_sha256
+FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
+def phrase_mentions(spark, sf):
+    """A dictionary of thousands of two-word names, made from the benchmark, found in all documents."""
+    words = F.filter(F.split(plain_words("text"), " "), lambda w: w != "")
+    follows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    names = I.table(spark, sf, "benchmark").select(words.alias("w")).where(F.size("w") > 1).select(F.explode(follows).alias("name"))
+    return find_names(I.table(spark, sf, "documents"), "text", names).select(
+        "doc_id", F.size("found").cast("bigint").alias("n_found"), F.sha2(F.array_join("found", "|"), 256).alias("found_sha256"))
+
+
+@query("""
+WITH names AS (SELECT DISTINCT 'or#' || right(s_name, 9) AS name FROM supplier)
+SELECT o_orderkey, EXISTS (SELECT 1 FROM names n WHERE contains(lower('Operator#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')), n.name)) AS blocked FROM orders""")
+def company_block_list(spark, sf):
+    """Companies against a block list as long as the supplier table, which stays distributed."""
+    names = I.table(spark, sf, "supplier").select(F.concat(F.lit("OR#"), F.right("s_name", F.lit(9))).alias("name"))
+    rows = I.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Operator#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("company_name"))
+    return block_listed(rows, names, most_bytes=0).select("o_orderkey", "blocked")
+
+
 # --- digest, posts, queue ---------------------------------------------------------------------------------
 
 DIGEST_SQL = I.with_(I.SCORED_SQL) + """, ranked AS (
