@@ -5,8 +5,8 @@ over the whole texts of all documents; the tables grow with the corpus and are n
 
 1. A task counts the n-grams of its documents, so each leaves it once, with its task's number.
 2. Counts become probabilities by grouping and joins, order by order (``Model``).
-3. Every task's n-grams are joined to their probabilities and written as one sorted array of n-gram hashes
-   a task and language, the only part of the model that scoring its documents needs.
+3. Every n-gram's probability goes to the tasks that met it and is written as one sorted array of n-gram
+   hashes a task and language, the only part of the model that scoring its documents needs.
 4. The tasks run over the same documents again and look their n-grams up by binary search.
 
 So what moves is one row for each n-gram and task, a small part of the texts, and a task holds what its own
@@ -96,21 +96,21 @@ def by_language(batch: pa.RecordBatch) -> dict[str | None, list[int]]:
 
 
 def task_counts(docs: DataFrame) -> DataFrame:
-    """task, lang, hash, gram, n: how often each n-gram stands in the documents of a task."""
-    schema = "task int, lang string, hash bigint, gram string, n bigint"
+    """task, lang, gram, n: how often each n-gram stands in the documents of a task."""
+    schema = "task int, lang string, gram string, n bigint"
 
     def run(batches):
         task, held = TaskContext.get().partitionId(), {}
 
         def flush():
-            for lang, (h, g, n) in held.items():
-                for at in range(0, len(h), 100_000):
+            for lang, (_, g, n) in held.items():
+                for at in range(0, len(n), 100_000):
                     part = slice(at, at + 100_000)
                     grams = [x.tobytes().decode("utf-32-le", "surrogatepass") for x in g[part]]
                     rows = len(grams)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(rows, task, "i4")), pa.array([lang] * rows, pa.string()), pa.array(h[part]),
-                         pa.array(grams, pa.string()), pa.array(n[part])], names=["task", "lang", "hash", "gram", "n"])
+                        [pa.array(np.full(rows, task, "i4")), pa.array([lang] * rows, pa.string()),
+                         pa.array(grams, pa.string()), pa.array(n[part])], names=["task", "lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
@@ -138,7 +138,7 @@ def named(lang: Column) -> Column:
 
 
 class Model:
-    """Stored tables of one modified Kneser-Ney model a language, from counts (lang, gram, n) of n-grams.
+    """Stored tables of one modified Kneser-Ney model a language, from stored counts (lang, gram, n) of its n-grams.
 
     The highest order uses counts, lower ones the number of different characters seen before
     (continuation counts); each order is interpolated with the one below, the lowest with equal shares.
@@ -146,13 +146,13 @@ class Model:
 
     def __init__(self, counts: DataFrame, order: int = ORDER):
         self.order = order
-        level = stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        level = counts.select("lang", "gram", "n")
         levels = {order: level}
         for k in range(order - 1, 0, -1):
             shorter = F.substring("gram", 2, k).alias("gram")
             levels[k] = level = stored(level.groupBy("lang", shorter).agg(F.count("*").alias("n")), "grams")
         # order 0: each character of the language alike
-        self.shares = {0: levels[1].groupBy("lang").agg((1 / F.count("*")).alias("p"))}
+        self.shares = {0: stored(levels[1].groupBy("lang").agg((1 / F.count("*")).alias("p")), "shares")}
         self.left: dict[int, DataFrame] = {}
         for k in range(1, order + 1):
             self.left[k], self.shares[k] = self.shared(levels[k], self.shares[k - 1], k)
@@ -164,7 +164,8 @@ class Model:
         y = t[0] / (t[0] + 2 * t[1])
         d = [1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]]
         clipped = [F.least(F.lit(most), F.greatest(F.lit(0.05), x)) for x, most in zip(d, (0.95, 1.95, 2.95))]
-        return level.groupBy("lang").agg(F.array(*clipped).alias("d"))
+        # stored, as Spark then knows that it is one row a language and moves no n-gram for it
+        return stored(level.groupBy("lang").agg(F.array(*clipped).alias("d")), "discounts")
 
     def shared(self, level: DataFrame, below: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """What is left for lower orders after each context (lang, context, left), and p of each n-gram."""
@@ -219,12 +220,25 @@ def base(text: str) -> dict[str, int]:
             "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated_words(words)}
 
 
-def written_arrays(counts: DataFrame, model: Model, complete: bool) -> str:
-    """Folder with one Parquet file a task: its n-grams' languages, hashes and log probabilities, sorted."""
+def hashed(batches):
+    """Batches of task, lang, gram, log with the n-grams' hashes in place of the n-grams."""
+    for batch in batches:
+        chars = points("".join(batch.column("gram").to_pylist())).reshape(-1, ORDER)
+        out = np.zeros(len(chars), np.uint64)
+        for k in range(ORDER):
+            out = (out ^ chars[:, k]) * FACTOR
+            out ^= out >> np.uint64(29)
+        yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("lang"), pa.array(out.view(np.int64)), batch.column("log")],
+                                         names=["task", "lang", "hash", "log"])
+
+
+def written_arrays(counts: DataFrame, model: Model) -> str:
+    """Folder with the Parquet files of each task: its n-grams' languages, hashes and log probabilities, sorted."""
     spark, path = counts.sparkSession, scratch_path(counts.sparkSession, "arrays")
-    known = counts.join(model.shares[model.order], ["lang", "gram"]) if complete else model.of(counts)
-    rows = known.select("task", "lang", "hash", F.log("p").cast("float").alias("log"))
-    rows.repartition("task").sortWithinPartitions("task", "lang", "hash").write.partitionBy("task").parquet(path)
+    known = counts.select("lang", "gram", "tasks").join(model.shares[model.order], ["lang", "gram"])
+    rows = known.select(F.explode("tasks").alias("task"), "lang", "gram", F.log("p").cast("float").alias("log"))
+    rows.repartition("task").mapInArrow(hashed, "task int, lang string, hash bigint, log float") \
+        .sortWithinPartitions("task", "lang", "hash").write.partitionBy("task").parquet(path)
     return path
 
 
@@ -290,10 +304,13 @@ def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> tuple[str, Model]:
-    """The folder that ``measure`` reads, and the model of all ``docs``."""
-    counts = stored(task_counts(docs).withColumn("lang", named(F.col("lang"))), "counts")
+    """The folder that ``measure`` reads, and the model of all ``docs``.
+
+    An n-gram's row lists the tasks that met it: as many at most as there are tasks, whatever their documents hold."""
+    met = task_counts(docs).withColumn("lang", named(F.col("lang"))).repartition("lang", "gram")
+    counts = stored(met.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.collect_set("task").alias("tasks")), "counts")
     model = Model(counts)
-    return written_arrays(counts, model, True), model
+    return written_arrays(counts, model), model
 
 
 def bands(measured: DataFrame) -> DataFrame:
