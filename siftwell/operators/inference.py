@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,33 +25,45 @@ class FatalModelError(Exception):
 ModelFn = Callable[[dict, list[dict]], dict]
 
 
+#: Calls a task has under way at a time, attempts after a failed one, and the first pause before them in seconds.
+IN_FLIGHT, RETRIES, PAUSE = 25, 1, 0.2
+ANSWER = T.StructType([T.StructField("model_json", T.StringType())] + [
+    T.StructField(n, T.DoubleType() if n == "cost_usd" else T.LongType()) for n in USAGE])
+
+
 def call_model(
     df: DataFrame, fn: ModelFn, payload: str, context: str | None = None, group: str = "user_id",
-    order: str = "ord", batch_size: int = 5, parallelism: int | None = None,
+    order: str = "ord", batch_size: int = 5, parallelism: int | None = None, in_flight: int = IN_FLIGHT,
+    retries: int = RETRIES, pause: float = PAUSE,
 ) -> DataFrame:
     """Add ``model_json`` and usage columns by calling ``fn`` on small batches of rows.
 
     ``fn(context, items)`` gets the group's context (parsed JSON, or {}) and a list of payload dicts
-    with an ``id``; it returns ``{"results": [{"id": ..., ...}], "usage": {...}}``. A failing batch
-    is retried row by row; a row that still fails, or that the answer leaves out, gets null. Usage
-    is booked on the first row of a call, so plain sums give the totals.
+    with an ``id``; it returns ``{"results": [{"id": ..., ...}], "usage": {...}}``. It is called from several
+    threads, ``in_flight`` at a time in each task; answers go back to their rows whatever order they come in.
+    A failing call is tried again after a pause that doubles and varies; a batch that keeps failing is
+    retried row by row; a row that still fails, or that the answer leaves out, gets null. Usage is booked
+    on the first row of a call, so plain sums give the totals.
 
     Rows are spread by (group, hash of order), so one group's rows reach many tasks; within a task
-    they are sorted by group, which keeps the constant part of prompts together. The number of
-    tasks is fixed (by default four per core): a number left to Spark would be lowered for small
-    inputs, and calls in flight with it.
+    they are sorted by group, which keeps the constant part of prompts together. The number of tasks follows
+    the size of the data, unless ``parallelism`` states it. Only group, payload and context go through Arrow.
     """
-    usage_types = ["bigint"] * 4 + ["double"]
-    schema = T.StructType(df.schema.fields + [T.StructField("model_json", T.StringType())] + [
-        T.StructField(n, T.LongType() if t == "bigint" else T.DoubleType())
-        for n, t in zip(USAGE, usage_types)])
     spread = [F.col(group), F.pmod(F.xxhash64(order), F.lit(1024))]
-    tasks = parallelism or 4 * df.sparkSession.sparkContext.defaultParallelism
-    parts = df.repartition(tasks, *spread)
+    parts = df.repartition(parallelism, *spread) if parallelism else df.repartition(*spread)
 
     def ask(ctx: dict, items: list[dict]) -> tuple[dict, dict]:
-        answer = fn(ctx, items)
-        return {r["id"]: r for r in answer.get("results", []) if "id" in r}, answer.get("usage") or {}
+        for attempt in range(retries + 1):
+            try:
+                answer = fn(ctx, items)
+                return {r["id"]: r for r in answer.get("results", []) if "id" in r}, answer.get("usage") or {}
+            except FatalModelError:
+                raise
+            except Exception:
+                if attempt == retries:
+                    raise
+                time.sleep(pause * 2 ** attempt * (0.5 + random.random()))
+        raise AssertionError
 
     def run_batch(ctx: dict, payloads: list[dict]) -> list[tuple[str | None, dict]]:
         out: list[tuple[str | None, dict]] = [(None, {})] * len(payloads)
@@ -71,26 +86,38 @@ def call_model(
                     out[i] = (None, {})
         return out
 
-    def partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers: list[tuple[str | None, dict]] = []
-            for _, rows in frame.groupby(group, sort=False, dropna=False):
-                ctx = json.loads(rows[context].iloc[0]) if context else {}
-                texts = [json.loads(t) for t in rows[payload]]
-                got = []
-                for start in range(0, len(texts), batch_size):
-                    got += run_batch(ctx, texts[start:start + batch_size])
-                answers += list(zip(rows.index, got))
-            by_row = dict(answers)
-            frame = frame.copy()
-            frame["model_json"] = [by_row[i][0] for i in frame.index]
-            for name in USAGE:
-                kind = "float64" if name == "cost_usd" else "int64"
-                frame[name] = pd.Series([by_row[i][1].get(name) or 0 for i in frame.index],
-                                        index=frame.index).astype(kind)
-            yield frame
-
-    return parts.sortWithinPartitions(group, order).mapInPandas(partition, schema)
+    def calls(keys: pd.Series, texts: pd.Series, contexts: pd.Series) -> Iterator[tuple[list[int], dict, list[dict]]]:
+        """Places of the rows, context and payloads of each call."""
+        frame = pd.DataFrame({"key": keys.to_numpy(), "at": range(len(keys))})
+        for _, rows in frame.groupby("key", sort=False, dropna=False):
+            at = rows["at"].tolist()
+            ctx = json.loads(contexts.iloc[at[0]]) if context else {}
+            for start in range(0, len(at), batch_size):
+                part = at[start:start + batch_size]
+                yield part, ctx, [json.loads(texts.iloc[i]) for i in part]
+
+    @F.pandas_udf(ANSWER)
+    def answers(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for keys, texts, contexts in frames:
+                under_way = [(at, pool.submit(run_batch, ctx, payloads)) for at, ctx, payloads in calls(keys, texts, contexts)]
+                got: list[tuple[str | None, dict]] = [(None, {})] * len(keys)
+                try:
+                    for at, call in under_way:
+                        for i, answer in zip(at, call.result()):
+                            got[i] = answer
+                except BaseException:
+                    for _, call in under_way:
+                        call.cancel()
+                    raise
+                yield pd.DataFrame({"model_json": [text for text, _ in got], **{
+                    n: pd.Series([used.get(n) or 0 for _, used in got], dtype="float64" if n == "cost_usd" else "int64")
+                    for n in USAGE}})
+
+    # an answer may differ when asked for again, so the plan must not ask twice
+    asked = answers.asNondeterministic()(F.col(group), F.col(payload), F.col(context) if context else F.lit("{}"))
+    return parts.sortWithinPartitions(group, order).withColumn("_answer", asked).select(
+        *df.columns, *(F.col(f"_answer.{f.name}").alias(f.name) for f in ANSWER))
 
 
 # --- reading answers -------------------------------------------------------------------
@@ -155,8 +182,9 @@ def parse_facts(model_json) -> Column:
 
 def usage_totals(df: DataFrame, keys: list[str]) -> DataFrame:
     """Token and cost sums per key; a missing cost counts as 0."""
+    money = F.sum(F.coalesce(F.col("cost_usd"), F.lit(0)).cast("decimal(28,10)")).cast("double")
     return df.groupBy(*keys).agg(*[
-        F.sum(F.coalesce(F.col(n), F.lit(0))).alias(n) for n in USAGE])
+        (money if n == "cost_usd" else F.sum(F.coalesce(F.col(n), F.lit(0)))).alias(n) for n in USAGE])
 
 
 # --- resumes -----------------------------------------------------------------------------

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.constants import RETENTION_DAYS
 from siftwell.functions.text import truthy
 from siftwell.operators.keyed import first_per_key
+from siftwell.sources import folders
 
 
 def ledger_id(user="user_id", fp="fingerprint", link="job_link") -> Column:
@@ -84,26 +88,37 @@ def description_objects(matched: DataFrame) -> DataFrame:
         "user_id", "ledger_id", description_key().alias("key"), F.col("description_text").alias("text"))
 
 
-TEXT_BUCKETS = 256
+def write_texts(objects: DataFrame, path: str, row_id: str, run: str | None = None, waves: int = 1) -> DataFrame:
+    """Write text objects as ``<path>/run=<run>/wave=<n>`` and return (``row_id``, key) of what is there.
 
+    Ids are dealt to ``waves`` by hash and a wave that is written is noted in ``<path>/_runs/<run>``; a run
+    that is repeated under its name after a failure skips the noted waves and replaces the others, so no
+    object is there twice. Without a name a run is a new one. Files hold rows in the order they come, of as
+    many users as there are: texts are not moved to be written.
+    """
+    spark, run = objects.sparkSession, run or uuid.uuid4().hex
+    done = set(json.loads(folders.read_text(spark, f"{path}/_runs/{run}") or "[]"))
+    for wave in range(waves):
+        if wave not in done:
+            part = objects.where(F.pmod(F.xxhash64(row_id), F.lit(waves)) == wave) if waves > 1 else objects
+            part.write.mode("overwrite").parquet(f"{path}/run={run}/wave={wave}")
+            done.add(wave)
+            folders.replace_text(spark, f"{path}/_runs/{run}", json.dumps(sorted(done)))
+    return spark.read.schema(objects.schema).parquet(f"{path}/run={run}/wave=*").select(row_id, "key")
 
-def write_texts(objects: DataFrame, path: str, row_id: str) -> None:
-    """Append text objects in a fixed number of folders by user hash.
 
-    One folder per user would mean as many small files as users times tasks. A user's rows may go
-    to several tasks, so an owner of very many texts does not end up in one.
-    """
-    spread = objects.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(TEXT_BUCKETS)).cast("int"))
-    spread = spread.repartition("bucket", F.pmod(F.xxhash64(row_id), F.lit(16)))
-    spread.write.mode("append").partitionBy("bucket").parquet(path)
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Objects of all waves that are noted as written."""
+    noted = {run: json.loads(folders.read_text(spark, f"{path}/_runs/{run}") or "[]") for run in folders.children(spark, f"{path}/_runs")
+             if not run.startswith(".") and not run.endswith(".new")}
+    return spark.read.parquet(*(f"{path}/run={run}/wave={w}" for run, waves in noted.items() for w in waves))
 
 
-def store_descriptions(matched: DataFrame, path: str) -> DataFrame:
+def store_descriptions(matched: DataFrame, path: str, run: str | None = None, waves: int = 1) -> DataFrame:
     """Write the descriptions apart from the ledger (long text stays out of the hot table) and
-    return the (id, key) mapping to apply to it."""
-    objects = description_objects(matched)
-    write_texts(objects, path, "ledger_id")
-    return objects.select(F.col("ledger_id").alias("id"), F.col("key").alias("new_value"))
+    return the (id, key) mapping to apply to it, as read back from what was written."""
+    written = write_texts(description_objects(matched), path, "ledger_id", run, waves)
+    return written.select(F.col("ledger_id").alias("id"), F.col("key").alias("new_value"))
 
 
 def purge(ledger: DataFrame, now: Column, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
@@ -136,14 +151,16 @@ def export_status(rows: DataFrame, done: DataFrame, id_col: str = "id", text: st
 
 
 def export_pending(rows: DataFrame, done: DataFrame, path: str, id_col: str = "id", text: str = "text",
-                   user: str = "user_id") -> DataFrame:
-    """Write what is not exported yet and return the new (id, key) entries. Running it again with
-    the grown ``done`` table writes nothing twice."""
-    todo = export_status(rows, done, id_col, text, user).filter(F.col("export_status") == "upload")
-    out = todo.select(F.col(id_col), F.col(user).alias("user_id"), description_key(user, id_col).alias("key"),
-                      F.col(text).alias("text"))
-    write_texts(out, path, id_col)
-    return out.select(id_col, "key")
+                   user: str = "user_id", run: str | None = None, waves: int = 1) -> DataFrame:
+    """Write what is not exported yet and return the new (id, key) entries, read back from what was written.
+    Running it again with the grown ``done`` table writes nothing twice, nor does repeating a ``run`` that failed.
+
+    What is to be written is decided on ids; texts are joined to them."""
+    light = rows.select(id_col, user, truthy(text).isNotNull().alias(text)).where(text).withColumn(text, F.lit("there"))
+    todo = export_status(light, done, id_col, text, user).filter(F.col("export_status") == "upload").select(id_col)
+    out = rows.join(todo, id_col, "left_semi").where(truthy(text).isNotNull()).select(
+        F.col(id_col), F.col(user).alias("user_id"), description_key(user, id_col).alias("key"), F.col(text).alias("text"))
+    return write_texts(out, path, id_col, run, waves)
 
 
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from siftwell.constants import BLOCKED_TITLE_WORDS, BLOCKED_URL_WORDS
 from siftwell.functions.fit import strings
 from siftwell.functions.text import col, collapse_ws, contains_any, first_truthy, let, strip_html, trim_ws, truthy
 from siftwell.schemas import EMBEDDED_PAGE
+from siftwell.sources.markup import Card, extract
 
 
 # --- markup helpers ------------------------------------------------------------------
@@ -62,84 +63,64 @@ def explode_cards(pages: DataFrame, pattern: str = LIST_ITEM, keep=("page_id",))
     return pages.select(*keep, F.posexplode(cards).alias("pos", "card"))
 
 
-@dataclass(frozen=True)
-class CardSpec:
-    """Where the fields of a site's result card are."""
+FIELDS = ["id", "position", "company", "location", "date", "salary", "jobUrl", "agoTime"]
 
-    pattern: str
-    source: str
+
+def linkedin_card(card: Card) -> dict[str, str]:
+    url = card.attribute("href", ".base-card__full-link")
+    numbers = [re.search(p, url) for p in (r"view/([0-9]+)", r"([0-9]{9,12})")]
+    return {
+        "id": card.root.attributes.get("data-entity-urn") or next((m[1] for m in numbers if m), ""),
+        "position": card.text(".base-search-card__title"),
+        "company": card.text(".base-search-card__subtitle"),
+        "location": card.text(".job-search-card__location"),
+        "date": card.attribute("datetime", "time"),
+        "salary": " ".join(card.text(".job-search-card__salary-info").split()) or "Not specified",
+        "jobUrl": url,
+        "agoTime": card.text(".job-search-card__listdate"),
+    }
+
+
+def naukri_card(card: Card) -> dict[str, str]:
+    href = card.attribute("href", ".title")
+    # the company is the first link of the details block, or the one marked as company name
+    company = ".comp-dtls-wrap a", "a.comp-name"
+    return {
+        "id": "", "position": card.text(".title", "a.row1"),
+        "company": card.attribute("title", *company) or card.text(*company),
+        "location": card.text(".locWdth"), "date": "",
+        "salary": card.text(".sal-wrap span", ".sal") or "Not specified",
+        "jobUrl": href if href.startswith("https://") else f"https://www.naukri.com{href}",
+        "agoTime": card.text(".job-post-day"),
+    }
+
+
+def indeed_card(card: Card) -> dict[str, str]:
+    return {
+        "id": card.attribute("data-jk", "a[data-jk]") or re.sub("^job_", "", card.attribute("id", ".jcs-JobTitle")),
+        "position": card.text(".jobTitle", ".jcs-JobTitle"),
+        "company": card.text("[data-testid=company-name]", ".companyName"),
+        "location": card.text("[data-testid=text-location]", ".companyLocation"), "date": "",
+        "salary": card.text(".salary-snippet-container") or "Not specified",
+        "jobUrl": card.attribute("href", ".jcs-JobTitle"),
+        "agoTime": card.text(".date"),
+    }
 
 
 CARD_SITES = {
-    "linkedin": CardSpec(LIST_ITEM, "linkedin"),
-    "naukri": CardSpec(
-        r'(?is)<div\b[^>]*class="(?:[^"]*\s)?srp-jobtuple-wrapper(?:\s[^"]*)?"[^>]*>'
-        r'.*?(?=<div\b[^>]*class="(?:[^"]*\s)?srp-jobtuple-wrapper|\z)', "naukri"),
-    "indeed": CardSpec(
-        r'(?is)<div\b[^>]*class="(?:[^"]*\s)?(?:cardOutline|job_seen_beacon)(?:\s[^"]*)?"[^>]*>'
-        r'.*?(?=<div\b[^>]*class="(?:[^"]*\s)?(?:cardOutline|job_seen_beacon)|\z)', "indeed"),
+    "linkedin": (("li",), linkedin_card),
+    "naukri": ((".srp-jobtuple-wrapper",), naukri_card),
+    "indeed": ((".cardOutline", ".job_seen_beacon"), indeed_card),
 }
 
 
 def pages_to_items(pages: DataFrame, site: str = "linkedin", keep=("page_id",)) -> DataFrame:
-    """Result pages to posting rows; only cards with a title and a company count.
+    """Result pages to posting rows; only cards with a title and a company count (Indeed's: with a key).
 
-    One page fans out inside its own task; nothing is shuffled.
+    Cards may hold further tags of their own name. One page fans out inside its own task; nothing is shuffled.
     """
-    cards = explode_cards(pages, CARD_SITES[site].pattern, keep)
-    c = F.col("card")
-    if site == "linkedin":
-        url = attribute_of_class(c, "base-card__full-link", "href")
-        urn = F.regexp_extract(c, r'(?is)^<li\b[^>]*\bdata-entity-urn="([^"]*)"', 1)
-        view = F.regexp_extract(url, r"view/([0-9]+)", 1)
-        long_number = F.regexp_extract(url, r"([0-9]{9,12})", 1)
-        fields = {
-            "id": first_truthy(urn, view, long_number),
-            "position": text_of_class(c, "base-search-card__title"),
-            "company": text_of_class(c, "base-search-card__subtitle"),
-            "location": text_of_class(c, "job-search-card__location"),
-            "date": attribute_of_tag(c, "time", "datetime"),
-            "salary": first_truthy(
-                collapse_ws(text_of_class(c, "job-search-card__salary-info")), default="Not specified"),
-            "jobUrl": url,
-            "agoTime": text_of_class(c, "job-search-card__listdate"),
-        }
-    elif site == "naukri":
-        href = attribute_of_class(c, "title", "href")
-        # the company is the first link of the details block, or the one marked as company name
-        wrapped = F.regexp_extract(c, r'(?is)class="(?:[^"]*\s)?comp-dtls-wrap(?:\s[^"]*)?"[^>]*>.*?(<a\b[^>]*>.*?</a>)', 1)
-        wrapped_title = attribute_of_tag(F.regexp_extract(wrapped, "(?s)^<a[^>]*>", 0), "a", "title")
-        company_tag_title = attribute_of_class(c, "comp-name", "title")
-        fields = {
-            "id": F.lit(""),
-            "position": text_of_class(c, "title", "row1"),
-            "company": first_truthy(
-                wrapped_title, inner_text(wrapped), company_tag_title, text_of_class(c, "comp-name")),
-            "location": text_of_class(c, "locWdth"),
-            "date": F.lit(""),
-            "salary": first_truthy(text_of_class(c, "sal-wrap", "sal"), default="Not specified"),
-            "jobUrl": F.when(F.startswith(href, F.lit("https://")), href).otherwise(
-                F.concat(F.lit("https://www.naukri.com"), href)),
-            "agoTime": text_of_class(c, "job-post-day"),
-        }
-    else:
-        key = attribute_of_tag(c, "a", "data-jk")
-        anchor_id = F.regexp_replace(attribute_of_class(c, "jcs-JobTitle", "id"), "^job_", "")
-        fields = {
-            "id": first_truthy(key, anchor_id),
-            "position": text_of_class(c, "jobTitle", "jcs-JobTitle"),
-            "company": first_truthy(
-                inner_text(F.regexp_extract(c, r'(?is)<(\w+)[^>]*data-testid="company-name"[^>]*>(.*?)</\1>', 2)),
-                text_of_class(c, "companyName")),
-            "location": first_truthy(
-                inner_text(F.regexp_extract(c, r'(?is)<(\w+)[^>]*data-testid="text-location"[^>]*>(.*?)</\1>', 2)),
-                text_of_class(c, "companyLocation")),
-            "date": F.lit(""),
-            "salary": first_truthy(text_of_class(c, "salary-snippet-container"), default="Not specified"),
-            "jobUrl": attribute_of_class(c, "jcs-JobTitle", "href"),
-            "agoTime": text_of_class(c, "date"),
-        }
-    rows = cards.withColumns({**fields, "source": F.lit(site)}).drop("card")
+    selectors, read = CARD_SITES[site]
+    rows = extract(pages, selectors, read, FIELDS, tuple(keep)).withColumn("source", F.lit(site))
     if site == "indeed":  # these cards count by their key, complete or not
         return rows.filter(F.col("id") != "")
     return rows.filter((F.col("position") != "") & (F.col("company") != ""))

@@ -62,6 +62,42 @@ def result_cards(spark, sf):
                        "salary", "jobUrl", "agoTime")
 
 
+NAUKRI_CARD = (
+    '<div class="x srp-jobtuple-wrapper"><div class="row1"><div><a class="title" href="/j-{k}"><b>{t}</b></a></div></div>'
+    '<div class="comp-dtls-wrap"><div><div>on</div><a href="#" title="{c}">shortened</a></div></div>'
+    '<span class="sal-wrap"><span>{k} <span>L</span> PA</span></span><span class="locWdth"><span>Goa</span>, <span>Pune</span></span>'
+    '<div class="job-post-day"><div>3 days</div> ago</div></div>'
+)
+INDEED_CARD = (
+    '<div class="cardOutline"><div><div><h2 class="jobTitle"><a data-jk="k{k}" class="jcs-JobTitle" href="/rc?{k}"><span><span>{t}</span></span></a></h2></div></div>'
+    '<div data-testid="company-name"><div>{c}</div></div><div class="companyLocation"><div>Goa</div>, <div>Pune</div></div>'
+    '<div class="salary-snippet-container"><div>{k} a year</div></div></div>'
+)
+TITLE_SQL = INNER("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@query(f"""
+SELECT page_id, site, trim({TITLE_SQL}) AS position, split_part(url, '/', 3) AS company, 'Goa, Pune' AS location,
+  CASE site WHEN 'naukri' THEN page_id || ' L PA' ELSE page_id || ' a year' END AS salary,
+  CASE site WHEN 'naukri' THEN 'https://www.naukri.com/j-' || page_id ELSE '/rc?' || page_id END AS "jobUrl",
+  CASE site WHEN 'naukri' THEN '3 days ago' ELSE '' END AS "agoTime", CASE site WHEN 'naukri' THEN '' ELSE 'k' || page_id END AS id
+FROM pages, unnest(['naukri', 'indeed']) AS s(site)
+WHERE site = 'indeed' OR trim({TITLE_SQL}) <> ''""")
+def site_cards(spark, sf):
+    """Cards of two sites, with tags nested in tags of their own name, inside each page's own markup."""
+    p, k = I.table(spark, sf, "pages"), F.col("page_id").cast("string")
+    title, out = F.regexp_extract("html", "<title>([^<]*)</title>", 1), None
+    for site, card in (("naukri", NAUKRI_CARD), ("indeed", INDEED_CARD)):
+        html = F.lit(card)
+        for name, value in (("{k}", k), ("{t}", title), ("{c}", F.split_part("url", F.lit("/"), F.lit(3)))):
+            html = F.replace(html, F.lit(name), value)
+        found = F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), html))
+        rows = pages_to_items(p.select("page_id", found.alias("html")), site).select(
+            "page_id", F.lit(site).alias("site"), "position", "company", "location", "salary", "jobUrl", "agoTime", "id")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 @query("""
 SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS seniority_level,
   CASE WHEN page_id % 2 = 0 THEN 'second' ELSE 'first' END AS employment_type, '' AS industries FROM pages""")

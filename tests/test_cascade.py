@@ -1,6 +1,7 @@
 """The cascade: one user per exit stage, the funnel identity, batch run and stream."""
 
 import json
+import time
 import sys
 from datetime import datetime
 
@@ -234,6 +235,40 @@ def test_failed_batch_leaves_audit_rows(spark, landed):
     assert all("no key" in r.error_message or len(r.error_message) == 1024 for r in audit.collect())
 
 
+def test_many_calls_are_under_way_and_answers_find_their_rows(spark):
+    def slow(context, items):
+        import threading
+        import time
+
+        time.sleep(0.15 + 0.01 * (items[0]["n"] % 7))
+        return {"results": [{"id": i["id"], "job_domain": f"d{i['n']}", "threads": threading.active_count()} for i in reversed(items)]}
+
+    df = spark.createDataFrame([(f"u{i % 3}", i, json.dumps({"n": i}), "x" * 10) for i in range(250)], "user_id string, ord long, payload string, extra string")
+    out = call_model(df, slow, "payload", parallelism=1, batch_size=1)
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    start = time.time()
+    rows = out.select("ord", "extra", F.get_json_object("model_json", "$.job_domain").alias("d"),
+                      F.get_json_object("model_json", "$.threads").cast("int").alias("t")).collect()
+    assert sorted((r.ord, r.d) for r in rows) == [(i, f"d{i}") for i in range(250)]
+    assert max(r.t for r in rows) >= 25 and time.time() - start < 250 * 0.18 / 3
+
+
+def test_a_call_that_fails_once_is_tried_again(spark, tmp_path):
+    mark = str(tmp_path / "failed")
+
+    def once(context, items):
+        import os
+
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("busy")
+        return {"results": [{"id": i["id"], "size": len(items)} for i in items]}
+
+    df = spark.createDataFrame([("u", i, "{}") for i in range(4)], "user_id string, ord long, payload string")
+    sizes = [r.s for r in call_model(df, once, "payload", parallelism=1, pause=0.01).select(F.get_json_object("model_json", "$.size").alias("s")).collect()]
+    assert sizes == ["4"] * 4
+
+
 def test_model_fallbacks(spark):
     def flaky(context, items):
         if len(items) > 1:

@@ -155,6 +155,36 @@ def test_exports_write_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_an_export_that_fails_half_way_is_taken_up_again(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit("u").alias("user_id"), F.concat(F.lit("text "), "id").alias("text"))
+    none, path = spark.createDataFrame([], "id string, key string"), str(tmp_path / "out")
+    first = ledger.export_pending(rows.where("id < 100"), none, path, run="monday", waves=4)
+    noted, real = [], ledger.folders.replace_text
+
+    def dies(*args):
+        noted.append(args)
+        if len(noted) == 3:  # two waves are noted, the third is written but not noted
+            raise RuntimeError("killed")
+        return real(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger.folders, "replace_text", dies)
+        try:
+            ledger.export_pending(rows, first, path, run="tuesday", waves=4)
+            raise AssertionError
+        except RuntimeError:
+            pass
+    seen = ledger.read_texts(spark, path).count()
+    assert 100 < seen < 400
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "run=tuesday").rglob("*.parquet") if "wave=0" in str(p) or "wave=1" in str(p)}
+    new = ledger.export_pending(rows, first, path, run="tuesday", waves=4)
+    assert new.count() == 300 and all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    texts = ledger.read_texts(spark, path)
+    assert texts.count() == texts.select("id").distinct().count() == 400
+    assert ledger.export_pending(rows, first.unionByName(new), path).count() == 0
+    assert texts.where("text <> concat('text ', id)").count() == 0
+
+
 def test_store_descriptions(spark, tmp_path):
     rows = spark.createDataFrame([("u", "i1", "long"), ("u", None, "x"), ("u", "i2", "")],
                                  "user_id string, ledger_id string, description_text string")

@@ -49,6 +49,28 @@ def test_indeed_cards(spark):
     assert [(r.id, r.position, r.company, r.location, r.salary) for r in got] == [("k1", "Dev", "Acme", "Goa", "Not specified")]
 
 
+def test_cards_with_tags_nested_in_tags_of_their_name(spark):
+    linkedin = ('<ul><li data-entity-urn="u"><div class="base-search-card__title"><div>Dev</div> <div>Ops</div></div>'
+                '<ul><li>perk<li>other perk</ul><div class="base-search-card__subtitle">Ac<div>me</div></div></li></ul>')
+    naukri = ('<div class="srp-jobtuple-wrapper"><div class="title"><div>Lead</div> Dev<br>Ops</div><div class="comp-dtls-wrap"><div><div></div>'
+              '<a>Beta</a></div></div></div><div class="srp-jobtuple-wrapper"><div class="comp-dtls-wrap"><a>NoTitle</a></div></div>')
+    indeed = ('<div class="job_seen_beacon"><div><div class="companyName"><div>X</div>&amp;Y</div></div><a class="jcs-JobTitle" id="job_7">T</a></div>'
+              '<a data-jk="out">outside</a></div></p><img src=x><div class="cardOutline"><a data-jk=k9 href=/q>U')
+    rows = {site: [(r.id, r.position, r.company, r.salary) for r in pages.pages_to_items(page(spark, html, None, ""), site).orderBy("pos").collect()]
+            for site, html in (("linkedin", linkedin), ("naukri", naukri), ("indeed", indeed))}
+    assert rows == {"linkedin": [("u", "Dev Ops", "Acme", "Not specified")], "naukri": [("", "Lead DevOps", "Beta", "Not specified")],
+                    "indeed": [("7", "T", "X&Y", "Not specified"), ("k9", "", "", "Not specified")]}
+
+
+def test_selectors():
+    from siftwell.sources import markup
+
+    (card,) = markup.cards_of('<section><p class="a b">1</p><div class="w"><p><b class="a">2</b></p></div><i data-k="v">3</i></section>', ("section",))
+    assert card.text(".a") == "1" and card.text("b.a") == "2" and card.text(".w p .a") == "2" and card.text("[data-k=v]") == "3"
+    assert card.text(".zz", "i") == "3" and card.text("i.a") == "" and card.attribute("class", "p") == "a b" and card.first(".a .w") is None
+    assert card.text("i", ".a") == "1"  # the first in the document, whichever selector names it
+
+
 def test_criteria_last_value_wins(spark):
     item = '<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">{}</h3>' \
            '<span class="a description__job-criteria-text">\n {} </span></li>'
