@@ -35,16 +35,17 @@ def _places(target_locations, platform: str) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(default)
 
 
-def user_queries(users: DataFrame, platforms=("linkedin", "naukri"), order: str = "ord") -> DataFrame:
+def user_queries(users: DataFrame, platforms=("linkedin", "naukri"), order: str = "created_at") -> DataFrame:
     """Every (platform, keyword, place) a user asks for: the first titles times the places.
 
-    ``order`` is the users' processing order. Keyword and place positions extend it to a total order
-    of the queries.
+    ``order`` is the users' processing order, by default that of their creation with the id for ties; users
+    without a time come first. Keyword and place positions extend it to a total order of the queries.
     """
+    place = F.struct(F.col(order), F.col("id")) if order == "created_at" else F.col(order)
     titles = F.slice(strings("suggested_job_titles"), 1, TITLES_PER_USER)
     frames = [
         users.select(
-            F.col("id").alias("user_id"), F.col(order).alias("user_ord"), F.lit(p).alias("platform"),
+            F.col("id").alias("user_id"), place.alias("user_ord"), F.lit(p).alias("platform"),
             _places(F.col("target_locations"), p).alias("places"),
             F.posexplode(titles).alias("keyword_pos", "keyword"))
         for p in platforms

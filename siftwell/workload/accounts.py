@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from siftwell import constants as K
 from siftwell.functions.render import account_status as status_text, resume_markdown as to_markdown, run_summary
 from siftwell.operators import users as U
 from siftwell.operators.normalize import candidate_context
+from siftwell.operators.ledger import hex_id
 from siftwell.operators.validation import (
-    SEARCH_DEFAULTS, search_rules, subscription_rules, validate, with_defaults, with_errors,
+    SEARCH_DEFAULTS, run_request_rules, search_rules, subscription_rules, user_request_rules, validate, with_defaults, with_errors,
 )
 from siftwell.schemas import RESUME
 from siftwell.workload import query
@@ -176,6 +178,85 @@ def subscription_errors(spark, sf):
     return with_errors(rows, subscription_rules()).select("c_custkey", "errors")
 
 
+PAGING_SQL = """CASE WHEN event_id % 130 NOT BETWEEN 1 AND 100 THEN 'Validation Error: Invalid limit "' || (event_id % 130) || '". Limit must be an integer between 1 and 100.' END,
+  CASE WHEN event_id % 9 = 0 THEN 'Validation Error: Invalid page "-1". Page must be a non-negative integer.' END"""
+SITE_ERRORS_SQL = f"""site_checked AS (
+SELECT event_id, 'naukri' AS site, [
+  CASE WHEN event_id % 10 = 0 THEN 'Validation Error: "keyword" parameter is required.' END,
+  CASE WHEN event_id % 40 > 30 THEN 'Validation Error: Invalid experience "' || (event_id % 40) || '". Must be an integer between 0 and 30.' END,
+  CASE WHEN event_id % 16 NOT IN (1, 3, 7, 15) THEN 'Validation Error: Invalid jobAge "' || (event_id % 16) || '". Allowed values: 1, 3, 7, 15, 30' END,
+  CASE WHEN event_id % 8 = 0 THEN 'Validation Error: Invalid sort "best". Allowed values: relevance, date' END,
+  CASE WHEN event_id % 6 = 0 THEN 'Validation Error: Invalid wfhType "moon". Allowed values: office, remote, hybrid' END, {PAGING_SQL}] AS errs FROM events
+UNION ALL SELECT event_id, 'indeed', [
+  CASE WHEN event_id % 10 = 0 AND event_id % 20 <> 0 THEN 'Validation Error: Either "keyword" or "location" parameter must be provided.' END,
+  CASE WHEN event_id % 16 = 0 THEN 'Validation Error: Invalid fromage "0". Fromage must be a positive integer.' END,
+  CASE WHEN event_id % 4 = 1 THEN 'Validation Error: Invalid jobType "slavery". Allowed values: fulltime, parttime, contract, internship, temporary' END,
+  CASE WHEN event_id % 8 = 0 THEN 'Validation Error: Invalid sort "best". Allowed values: relevance, date' END, {PAGING_SQL}] FROM events
+UNION ALL SELECT event_id, 'simplyhired', [
+  CASE WHEN event_id % 10 = 0 AND event_id % 20 <> 0 THEN 'Validation Error: Either "keyword" or "location" parameter must be provided.' END,
+  CASE WHEN event_id % 7 = 2 THEN 'Validation Error: Invalid datePosted "tomorrow". Allowed values: {", ".join(K.SIMPLYHIRED_DATES)}' END,
+  CASE WHEN event_id % 4 = 1 THEN 'Validation Error: Invalid jobType "slavery". Allowed values: {", ".join(K.SIMPLYHIRED_JOB_TYPES)}' END,
+  CASE WHEN event_id % 8 = 0 THEN 'Validation Error: Invalid sort "best". Allowed values: relevance, date' END,
+  CASE WHEN event_id % 12 = 5 THEN 'Validation Error: Invalid distance "-3". Distance must be a non-negative integer.' END, {PAGING_SQL}] FROM events)"""
+
+
+@query(I.with_(SITE_ERRORS_SQL) + " SELECT event_id, site, array_to_string(list_filter(errs, lambda e: e IS NOT NULL), '; ') AS errors FROM site_checked")
+def site_request_errors(spark, sf):
+    """Every failing rule of search requests to the three other sites."""
+    e, k, out = I.table(spark, sf, "events"), F.col("event_id"), None
+    text = lambda c: c.cast("string")
+    common = {
+        "keyword": F.when(k % 10 != 0, F.col("event_type")), "location": F.when(k % 20 == 0, "Pune"), "limit": text(k % 130),
+        "page": F.when(k % 9 == 0, "-1"), "sort": F.when(k % 8 == 0, "best").when(k % 8 == 1, "Date")}
+    own = {
+        "naukri": {"experience": text(k % 40), "jobAge": text(k % 16), "wfhType": F.when(k % 6 == 0, "remote, moon").when(k % 6 == 1, "Office,hybrid")},
+        "indeed": {"fromage": text(k % 16), "jobType": F.when(k % 4 == 1, "contract, slavery").when(k % 4 == 2, "fulltime,")},
+        "simplyhired": {"datePosted": F.when(k % 7 == 2, "tomorrow").when(k % 7 == 3, "24HR"), "jobType": F.when(k % 4 == 1, "slavery"),
+                        "distance": F.when(k % 12 == 5, "-3").when(k % 12 == 6, "40")}}
+    for site, columns in own.items():
+        rows = e.select("event_id", F.lit(site).alias("site"), *(c.alias(n) for n, c in {**common, **columns}.items()))
+        rows = with_errors(rows, search_rules(site)).select("event_id", "site", "errors")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list_filter([
+  CASE WHEN o_orderkey % 200 = 0 THEN 'lookbackHours: Lookback must be at least 1 hour'
+       WHEN o_orderkey % 200 > 168 THEN 'lookbackHours: Lookback cannot exceed 168 hours (7 days)' END,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'targetUserId: targetUserId must be a valid UUID' END], lambda e: e IS NOT NULL), '; ') AS errors FROM orders""")
+def run_request_errors(spark, sf):
+    k = F.col("o_orderkey")
+    good = hex_id("o_orderkey")
+    rows = I.table(spark, sf, "orders").select("o_orderkey", (k % 200).cast("double").alias("lookbackHours"), F.when(
+        k % 3 == 0, F.substring(good, 2, 40)).when(k % 3 == 1, F.upper(good)).alias("targetUserId"))
+    return with_errors(rows, run_request_rules()).select("o_orderkey", "errors")
+
+
+@query("""
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN doc_id % 5 = 0 THEN 'email: Required' END, CASE WHEN text IS NULL THEN 'resumeText: Required' END,
+  CASE WHEN doc_id % 5 = 1 THEN 'email: Must be a valid email address' END,
+  CASE WHEN length(trim(text[1:130], ' ' || chr(9) || chr(10) || chr(13))) > 100 THEN 'name: Name cannot exceed 100 characters' END,
+  CASE WHEN length(text) < 50 THEN 'resumeText: Resume plain text must be at least 50 characters long'
+       WHEN length(text) > 15000 THEN 'resumeText: Resume plain text cannot exceed 15,000 characters' END,
+  CASE WHEN lang = 'de' THEN 'tier: Invalid option' END,
+  CASE WHEN n_chars > 10000 THEN 'subscriptionAmount: Too big: expected number to be <=10000' END,
+  CASE WHEN doc_id % 60 > 50 THEN 'experienceYears: Too big: expected number to be <=50' END,
+  CASE WHEN source NOT IN ('linkedin', 'whatsapp', 'other') THEN 'source: Source must be one of: linkedin, whatsapp, other' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""")
+def user_request_errors(spark, sf):
+    """Create requests made of documents: every failing field."""
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    rows = I.table(spark, sf, "documents").select(
+        "doc_id", F.when(k % 5 == 1, "a@b").when(k % 5 > 1, F.concat(F.lit("user.x"), k, F.lit("@mail.example.org"))).alias("email"),
+        F.substring("text", 1, 130).alias("name"), F.col("text").alias("resumeText"),
+        F.when(F.col("lang") == "de", "gold").otherwise("free").alias("tier"), F.col("n_chars").cast("double").alias("subscriptionAmount"),
+        (k % 60).cast("double").alias("experienceYears"), "source", F.array().cast("array<string>").alias("excludeTitleKeywords"),
+        *(none.alias(c) for c in ("phone", "telegramChatId", "linkedinPostTemplate", "subscriptionExpiresAt", "linkedinProfileUrl",
+                                  "targetLocations", "employmentType", "primaryDomain", "candidateSummary")))
+    return with_errors(rows, user_request_rules(create=True)).select("doc_id", "errors")
+
+
 # --- texts --------------------------------------------------------------------------------------------
 
 @query(I.with_(I.USERS_SQL, f"subs AS (SELECT *, {EXPIRES_SQL} AS expires FROM users)") + """

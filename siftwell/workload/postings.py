@@ -12,7 +12,7 @@ from siftwell.operators.ledger import (
     attach_ids, cascade_delete, description_objects, export_status, id_map, insert_if_absent, ledger_id,
     migrate, purge, apply_mapping as set_from_mapping,
 )
-from siftwell.operators.normalize import extraction_payload, normalize_jobs
+from siftwell.operators.normalize import extraction_payload, normalize_jobs, to_ledger_rows
 from siftwell.operators.rules import valid_posting
 from siftwell.operators.versions import VersionedTable
 from siftwell.schemas import RAW_POSTING
@@ -202,6 +202,38 @@ def apply_mapping(spark, sf):
     return set_from_mapping(rows, mapping, "id", "description_key")
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN -2 WHEN 3 THEN 8 WHEN 4 THEN -7 WHEN 5 THEN p_size END AS ai_score,
+  CASE WHEN p_partkey % 4 = 0 THEN p_size + 0.5 END AS min_required_yoe, CASE WHEN p_partkey % 4 = 3 THEN p_size END AS max_required_yoe,
+  CASE WHEN p_partkey % 3 = 0 THEN 'from facts' WHEN p_partkey % 3 = 1 THEN '' ELSE p_type END AS location,
+  CASE WHEN p_partkey % 2 = 0 THEN 'facts apply' WHEN p_partkey % 5 = 0 THEN p_brand END AS direct_apply,
+  CASE WHEN p_partkey % 7 <> 0 THEN p_container END AS applicants_count, p_partkey % 3 = 1 AS domain_matches_candidate,
+  p_name AS job_title, 'because ' || p_brand AS ai_reason, p_brand || '|' || p_type AS required, '' AS preferred FROM
+  (SELECT *, CAST(p_partkey AS VARCHAR) || ' asked' AS p_container FROM part)""")
+def ledger_rows(spark, sf):
+    """Ledger rows of evaluated parts: scores and years that are no numbers, ties below zero, fallbacks."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    nan, inf, none = F.lit(float("nan")), F.lit(float("inf")), F.lit(None).cast("string")
+    empty = F.array().cast("array<string>")
+    facts = F.struct(
+        F.lit("d").alias("job_domain"), F.when(k % 4 == 0, size + 0.5).when(k % 4 == 1, nan).when(k % 4 == 2, inf).alias("min_required_yoe"),
+        F.when(k % 4 == 3, size).when(k % 4 == 1, -inf).alias("max_required_yoe"), F.array("p_brand", "p_type").alias("required_skills"),
+        F.lit(None).cast("array<string>").alias("preferred_skills"), empty.alias("candidate_matched_required_skills"),
+        empty.alias("candidate_matched_preferred_skills"), F.when(k % 3 == 1, True).alias("domain_matches_candidate"),
+        F.lit("from facts").alias("job_location"), F.when(k % 2 == 0, "facts apply").otherwise("").alias("direct_apply"))
+    score = F.when(k % 6 == 0, nan).when(k % 6 == 1, inf).when(k % 6 == 2, -2.5).when(k % 6 == 3, 7.5).when(k % 6 == 4, -7.49).otherwise(size)
+    rows = I.table(spark, sf, "part").select(
+        F.lit("u").alias("user_id"), k.alias("ord"), F.lit("l").alias("link"), F.lit("f").alias("fingerprint"), F.col("p_name").alias("title"),
+        F.col("p_brand").alias("company_name"), F.when(k % 3 == 1, "").when(k % 3 == 2, F.col("p_type")).alias("location"), none.alias("posted_at"),
+        none.alias("salary"), score.alias("score"), F.concat(F.lit("because "), "p_brand").alias("reason"), facts.alias("facts"),
+        empty.alias("missing_required"), empty.alias("missing_preferred"), F.when(k % 5 == 0, F.col("p_brand")).alias("apply_url"),
+        F.when(k % 7 != 0, F.concat(k.cast("string"), F.lit(" asked"))).otherwise("").alias("applicants_count"), F.lit("s").alias("source"), F.lit("matched").alias("status"))
+    return to_ledger_rows(rows).select(
+        F.col("ord").alias("p_partkey"), "ai_score", "min_required_yoe", "max_required_yoe", "location", "direct_apply", "applicants_count",
+        "domain_matches_candidate", "job_title", "ai_reason", F.array_join("required_skills", "|").alias("required"),
+        F.array_join("preferred_skills", "|").alias("preferred"))
+
+
 @query("""
 SELECT CAST(o_orderkey AS VARCHAR) AS id, coalesce('key/' || l.n, o_orderstatus) AS description_key
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")

@@ -49,7 +49,7 @@ SELECT platform, task_key, keyword, location, n_users,
     WHEN 'pune' THEN '114806696' WHEN 'chennai' THEN '106888327' WHEN 'india' THEN '102713980' END AS geo_id
 FROM tasks""")
 def search_tasks(spark, sf):
-    tasks = S.search_tasks(S.user_queries(_seekers(spark, sf)))
+    tasks = S.search_tasks(S.user_queries(_seekers(spark, sf), order="ord"))
     return tasks.select("platform", "task_key", "keyword", "location", "n_users", "geo_id")
 
 
@@ -59,7 +59,7 @@ SELECT platform, task_key, part, string_agg(user_id, ',' ORDER BY ord, kp, pp) A
 GROUP BY platform, task_key, part""")
 def task_user_lists(spark, sf):
     """Subscriber lists in parts of 50."""
-    members = S.task_members(S.user_queries(_seekers(spark, sf)))
+    members = S.task_members(S.user_queries(_seekers(spark, sf), order="ord"))
     lists = S.task_user_lists(members, size=50, block=256)
     return lists.select("platform", "task_key", "part", F.array_join("user_ids", ",").alias("user_ids"))
 
@@ -68,7 +68,7 @@ def task_user_lists(spark, sf):
 SELECT platform, task_key, (n - 1) // CASE platform WHEN 'linkedin' THEN 10 ELSE 3 END + 1 AS batch_no FROM (
   SELECT *, row_number() OVER (PARTITION BY platform ORDER BY first_at) AS n FROM tasks)""")
 def task_batches(spark, sf):
-    tasks = S.search_tasks(S.user_queries(_seekers(spark, sf)))
+    tasks = S.search_tasks(S.user_queries(_seekers(spark, sf), order="ord"))
     return S.task_batches(tasks, block=64).select("platform", "task_key", "batch_no")
 
 
@@ -87,7 +87,7 @@ SELECT platform, task_key, CASE WHEN platform = 'linkedin' THEN (n_users % 60) |
   CASE WHEN platform = 'naukri' THEN greatest(1, CAST(ceil(n_users % 60 / 24.0) AS BIGINT)) END AS job_age
 FROM (SELECT * REPLACE (CASE WHEN n_users % 60 = 0 THEN 24 ELSE n_users % 60 END AS n_users) FROM tasks)""")
 def task_lookback(spark, sf):
-    tasks = S.search_tasks(S.user_queries(_seekers(spark, sf)))
+    tasks = S.search_tasks(S.user_queries(_seekers(spark, sf), order="ord"))
     out = S.dispatch_options(tasks, (F.col("n_users") % 60))
     return out.select("platform", "task_key", "date_since_posted", "job_age")
 
@@ -121,3 +121,25 @@ def fan_out_copies(spark, sf):
     copies = fan_out(postings, members).groupBy("user_id").agg(F.count(F.lit(1)).alias("copies"))
     owner = F.split("user_id", "/")
     return copies.select(owner[0].alias("task_key"), owner[1].alias("user_id"), "copies")
+
+
+SEVEN_SQL = """seekers AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE WHEN c_custkey % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey * 37 % 50 AS INTEGER)) END AS created,
+    [c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'Lead' ELSE ' LEAD' END, 'job' || c_custkey % 50, 'work' || c_custkey % 40, 'role' || c_custkey % 30,
+     'sixth' || c_custkey % 5, 'seventh'] AS titles FROM customer),
+kw AS (SELECT user_id, created, unnest(titles[1:5]) AS keyword, generate_subscripts(titles[1:5], 1) AS kp FROM seekers)"""
+
+
+@query(I.with_(SEVEN_SQL) + """
+SELECT lower(trim(keyword)) || ':india' AS task_key, count(*) AS n_users,
+  arg_min(keyword, (created IS NOT NULL, coalesce(created, TIMESTAMP '1970-01-01'), user_id, kp)) AS keyword FROM kw GROUP BY 1""")
+def title_tasks(spark, sf):
+    """Users with seven titles: the first five count, and the spelling of the user who was created first."""
+    k = F.col("c_custkey")
+    title = lambda name, n: F.concat(F.lit(name), (k % n).cast("string"))
+    users = I.table(spark, sf, "customer").select(
+        k.cast("string").alias("id"),
+        F.when(k % 11 != 0, F.timestamp_seconds(F.lit(1704067200) + (k * 37 % 50) * 86400)).alias("created_at"),
+        F.array("c_mktsegment", F.when(k % 2 == 0, "Lead").otherwise(" LEAD"), title("job", 50), title("work", 40), title("role", 30),
+                title("sixth", 5), F.lit("seventh")).alias("suggested_job_titles"), F.lit(None).cast("string").alias("target_locations"))
+    return S.search_tasks(S.user_queries(users, ("naukri",))).select("task_key", "n_users", "keyword")
