@@ -62,6 +62,7 @@ def result_cards(spark, sf):
                        "salary", "jobUrl", "agoTime")
 
 
+TITLE_MARKUP_SQL = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 NAUKRI_CARD = (
     '<div class="x srp-jobtuple-wrapper"><div class="row1"><div><a class="title" href="/j-{k}"><b>{t}</b></a></div></div>'
     '<div class="comp-dtls-wrap"><div><div>on</div><a href="#" title="{c}">shortened</a></div></div>'
@@ -157,6 +158,7 @@ def page_encodings(spark, sf):
         digits_only("url").alias("digits"))
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) <> '' AS has_title FROM pages")
+@query(f"SELECT page_id, trim({INNER(TITLE_MARKUP_SQL)}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS title, {TITLE_MARKUP_SQL} <> '' AS has_title FROM pages")
 def page_titles(spark, sf):
-    return I.table(spark, sf, "pages").select("page_id", (page_title("html") != "").alias("has_title"))
+    """Each page's own title, its entities decoded once."""
+    return I.table(spark, sf, "pages").select("page_id", page_title("html").alias("title"), (page_title("html") != "").alias("has_title"))

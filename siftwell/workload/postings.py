@@ -296,13 +296,23 @@ def migrate_ids(spark, sf):
 
 
 @query(I.with_(I.POSTINGS_SQL) + """
-SELECT ord, title, description_text AS text, source AS company FROM postings""")
+SELECT ord, title, description_text AS text, 'Pune' AS location, seniority_level AS seniority,
+  'Full-time' AS employment, CASE WHEN ord % 4 = 0 THEN 'f' || ord END AS job_function, CASE WHEN ord % 3 = 0 THEN source END AS industries,
+  CASE WHEN ord % 5 = 0 THEN '₹' || ord END AS salary, CASE WHEN ord % 2 = 0 THEN '["' || source || '","x"]' ELSE '[]' END AS benefits,
+  CASE WHEN ord % 6 = 0 THEN ord || '+ years' END AS extracted_yoe, 10 AS n_fields FROM postings""")
 def extraction_payloads(spark, sf):
-    """What a model sees of a posting, read back from its JSON."""
-    rows = extraction_payload(I.postings(spark, sf).withColumn("extracted_yoe_text", F.lit(None).cast("string")))
+    """All a model sees of a posting, read back from its JSON; nulls are written."""
+    k = F.col("ord")
+    rows = I.postings(spark, sf).withColumns({
+        "extracted_yoe_text": F.when(k % 6 == 0, F.concat(k, F.lit("+ years"))), "job_function": F.when(k % 4 == 0, F.concat(F.lit("f"), k)),
+        "industries": F.when(k % 3 == 0, F.col("source")), "salary": F.when(k % 5 == 0, F.concat(F.lit("₹"), k)),
+        "benefits": F.when(k % 2 == 0, F.array("source", F.lit("x"))).otherwise(F.array().cast("array<string>"))})
     field = lambda name: F.get_json_object("payload", f"$.{name}")
-    return rows.select("ord", field("title").alias("title"), field("descriptionText").alias("text"),
-                       F.col("source").alias("company"))
+    names = {"title": "title", "text": "descriptionText", "location": "location", "seniority": "seniorityLevel",
+             "employment": "employmentType", "job_function": "jobFunction", "industries": "industries", "salary": "salary",
+             "benefits": "benefits", "extracted_yoe": "extracted_yoe"}
+    return extraction_payload(rows).select("ord", *(field(f).alias(n) for n, f in names.items()),
+                                           F.size(F.json_object_keys("payload")).alias("n_fields"))
 
 
 @query(I.with_(I.POSTINGS_SQL) + """
