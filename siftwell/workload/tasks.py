@@ -79,7 +79,7 @@ SELECT platform, CAST(sum(n_users) AS BIGINT) AS queries_total, count(*) AS quer
   (SELECT b FROM t) AS titles_unique, (SELECT a - b FROM t) AS titles_duplicate FROM tasks GROUP BY platform""")
 def task_dedup_stats(spark, sf):
     users = _seekers(spark, sf)
-    return S.dedup_stats(users, S.user_queries(users))
+    return S.dedup_stats(users, S.user_queries(users, order="ord"))
 
 
 @query(I.with_(QUERIES_SQL) + """

@@ -112,7 +112,7 @@ def test_search_tasks(spark):
         [("a", 0, ["Dev ", "QA"], "Pune, , GOA"), ("b", 1, ["dev"], " pune"), ("c", 2, None, "Pune"),
          ("d", 3, [f"t{i}" for i in range(7)], None)],
         "id string, ord long, suggested_job_titles array<string>, target_locations string")
-    asked = S.user_queries(people)
+    asked = S.user_queries(people, order="ord")
     tasks = {(r.platform, r.task_key): r for r in S.search_tasks(asked).collect()}
     pune = tasks["linkedin", "dev:pune"]
     assert (pune.keyword, pune.location, pune.geo_id, pune.n_users) == ("Dev ", "pune", "114806696", 2)
