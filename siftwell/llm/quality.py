@@ -317,12 +317,13 @@ def bands(measured: DataFrame) -> DataFrame:
     """_lang, and of each measure its _median_ and _spread_ (a robust deviation of one word) from all of a
     language's documents that pass the fixed rules. One row for each language; null is one of its own."""
     usable = measured.where(~F.col("base_failed")).select(named(F.col("lang")).alias("_lang"), "n_words", *MEASURES)
-    middle = usable.groupBy("_lang").agg(*(F.percentile_approx(m, 0.5, 10_000).alias(f"_median_{m}") for m in MEASURES))
+    # stored: one row a language, which Spark then sends to the documents instead of dealing them by language
+    middle = stored(usable.groupBy("_lang").agg(*(F.percentile_approx(m, 0.5, 10_000).alias(f"_median_{m}") for m in MEASURES)), "medians")
     off = usable.join(middle, "_lang")
     spread = off.groupBy("_lang").agg(*(F.percentile_approx(
         F.abs(F.col(m) - F.col(f"_median_{m}")) * F.sqrt("n_words"), 0.5, 10_000).alias(f"_spread_{m}") for m in MEASURES))
-    return middle.join(spread, "_lang").select("_lang", *(f"_median_{m}" for m in MEASURES),
-                                               *((F.col(f"_spread_{m}") * 1.4826).alias(f"_spread_{m}") for m in MEASURES))
+    return stored(middle.join(spread, "_lang").select("_lang", *(f"_median_{m}" for m in MEASURES), *(
+        (F.col(f"_spread_{m}") * 1.4826).alias(f"_spread_{m}") for m in MEASURES)), "bands")
 
 
 def verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
