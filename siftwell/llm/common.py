@@ -33,13 +33,38 @@ def forget(df: DataFrame) -> None:
         folders.delete(df.sparkSession, folder)
 
 
+def released(run):
+    """The function of ``mapInArrow``, before and after which its worker gives memory it no longer uses back
+    to the system. Workers are kept between tasks, and what one stage of a long job needed would otherwise
+    stay beside what the next one needs."""
+    def trim() -> None:
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if give:
+            give(0)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str,
-              keep: list[str] | None = None, name: str = "text", prune: bool = True) -> DataFrame:
+              keep: list[str] | None = None, name: str = "text", prune: bool = True,
+              tidy: bool = False) -> DataFrame:
     """Columns ``keep`` (all by default) and those of the schema ``added``, computed batch by batch.
 
     ``make`` runs once in each task and returns the function from a record batch to the values of the new
     columns. ``name`` is the column that counts as the text; it is taken along only if kept. Columns that are
-    not needed are not read, unless rows have to be dealt to tasks as by another plan (``prune``).
+    not needed are not read, unless rows have to be dealt to tasks as by another plan (``prune``). ``tidy`` is for stages of long jobs.
     """
     kept = df.columns if keep is None else keep
     new = T._parse_datatype_string(added)
@@ -55,7 +80,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             columns += [pa.array(got[f.name], arrow.field(f.name).type) for f in new.fields]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return (df.select(*dict.fromkeys([*kept, name])) if prune else df).mapInArrow(run, schema)
+    return (df.select(*dict.fromkeys([*kept, name])) if prune else df).mapInArrow(released(run) if tidy else run, schema)
 
 
 def with_row(docs: DataFrame, *columns: Column | str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import per_batch, stored, texts, with_row
+from siftwell.llm.common import per_batch, released, stored, texts, with_row
 from siftwell.session import scratch_path
 
 
@@ -129,7 +129,7 @@ def task_counts(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     # all columns go along, as what a plan deals to a task may depend on its columns
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def named(lang: Column) -> Column:
@@ -299,7 +299,7 @@ def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
         return work
 
     measured = per_batch(docs, make, ", ".join(f"{c} bigint" for c in names) + "".join(f", {m} double" for m in MEASURES),
-                         keep=list(dict.fromkeys([*keep, "lang"])), prune=False)
+                         keep=list(dict.fromkeys([*keep, "lang"])), prune=False, tidy=True)
     return measured.withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
